@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module that defines it.
 MODULES = {
+    "op1_simple8b_ids": "simple8b",
     "op8_ring_shards": "ring",
 }
 
