@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_simple8b_ids": "simple8b",
     "op8_ring_shards": "ring",
+    "op9_seekable_warc": "warc",
 }
 
 
