@@ -53,6 +53,12 @@ def drop_stored(df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of few rows: whole texts are long, and a batch is held in
+    memory on both sides of the Python boundary."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column over all rows."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

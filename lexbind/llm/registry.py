@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module that defines it.
 MODULES = {
     "op1_simple8b_ids": "simple8b",
+    "op3_quality_ngrams": "quality",
     "op6_pii_spans": "pii",
     "op8_ring_shards": "ring",
     "op9_seekable_warc": "warc",

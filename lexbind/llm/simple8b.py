@@ -35,16 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexbind.llm.common import stored, table
+from lexbind.llm.common import small_batches, stored, table
 
 MAGIC = b"S8BIDS01"
 #: (ids in a code word, bits of each) by selector; selector 15 escapes.
 WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
 BLOCK_IDS = 1024
-FILE_IDS = 4_000_000
-#: Words whose ids a worker remembers; beyond that it starts afresh.
-CACHE_WORDS = 200_000
+FILE_IDS = 1_000_000
+#: Words of a cache generation; a worker remembers two generations, so words
+#: that keep coming stay.
+CACHE_WORDS = 250_000
 NULL_ID = 2**63 - 1
 
 
@@ -74,13 +75,11 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits[:n] = _bits(ids)
     window, span = bits.copy(), 1
     best = np.full(len(bits), len(WIDTHS), np.uint8)  # len(WIDTHS): escape
-    sizes = {1: window}
     for size, width in reversed(WIDTHS):
         while span < size:
             step = min(span, size - span)
             window = np.maximum(window, np.concatenate([window[step:], np.full(step, 255, np.uint8)]))
             span += step
-        sizes[size] = window
         best[window <= width] = next(i for i, w in enumerate(WIDTHS) if w[0] == size)
     at = np.arange(blocks, dtype=np.int64) * BLOCK_IDS
     ends = np.minimum(at + BLOCK_IDS, n)
@@ -174,14 +173,14 @@ _TOKENIZERS: dict = {}
 
 
 def _encoder(path: str):
-    """(tokenizer, cache of word -> ids as little-endian u32) of this worker."""
+    """[tokenizer, cache of word -> ids as little-endian u32, older generation] of this worker."""
     if path not in _TOKENIZERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        _TOKENIZERS[path] = [Tokenizer.from_file(path), {}, {}]
     return _TOKENIZERS[path]
 
 
@@ -191,15 +190,23 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     For tokenizers whose pre-tokenizer removes white space, ASCII-white-space
     chunks encode independently; distinct chunks go to the library once.
     """
-    tokenizer, cache = _encoder(path)
+    state = _encoder(path)
+    tokenizer = state[0]
     out: list[bytes] = []
     for lo in range(0, len(texts), 64):
         split = [(t or "").split() for t in texts[lo : lo + 64]]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list(set().union(*split).difference(cache))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
+        if len(state[1]) > CACHE_WORDS:
+            state[1:] = [{}, state[1]]
+        cache, older = state[1:]
+        new = []
+        for w in set().union(*split).difference(cache):
+            known = older.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                cache[w] = known
+        for k in range(0, len(new), 1024):
+            part = new[k : k + 1024]
             for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 cache[w] = np.array(e.ids, "<u4").tobytes()
         get = cache.__getitem__
@@ -246,6 +253,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int | None = 1, name: str = "i
         if names:
             yield flush()
 
+    small_batches(docs.sparkSession)
     ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     return stored(ranged.mapInArrow(files, "part int, seq int, n_ids long, image binary"), name)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexbind.llm.common import stored, table
+from lexbind.llm.common import small_batches, stored, table
 
 FRAME_BYTES = 256 * 1024
 #: Raw bytes after which a task starts its next bundle.
@@ -196,6 +196,7 @@ def write_bundles(records: DataFrame, name: str = "warc") -> DataFrame:
         if writer.raw:
             yield flush()
 
+    small_batches(records.sparkSession)
     return stored(records.mapInArrow(bundles, "bundle string, image binary"), name)
 
 
