@@ -9,6 +9,7 @@ MODULES = {
     "op1_simple8b_ids": "simple8b",
     "op3_quality_ngrams": "quality",
     "op4_toxicity_grammar": "toxicity",
+    "op5_bottomk_neardup": "neardup",
     "op6_pii_spans": "pii",
     "op8_ring_shards": "ring",
     "op9_seekable_warc": "warc",
