@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module that defines it.
 MODULES = {
     "op1_simple8b_ids": "simple8b",
+    "op2_suffix_tree_lm": "suffixtree",
     "op3_quality_ngrams": "quality",
     "op4_toxicity_grammar": "toxicity",
     "op5_bottomk_neardup": "neardup",
