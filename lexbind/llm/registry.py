@@ -14,6 +14,7 @@ MODULES = {
     "op6_pii_spans": "pii",
     "op8_ring_shards": "ring",
     "op9_seekable_warc": "warc",
+    "op10_suffix_array_pieces": "pieces",
 }
 
 
