@@ -12,6 +12,7 @@ MODULES = {
     "op4_toxicity_grammar": "toxicity",
     "op5_bottomk_neardup": "neardup",
     "op6_pii_spans": "pii",
+    "op7_latent_decontamination": "latent",
     "op8_ring_shards": "ring",
     "op9_seekable_warc": "warc",
     "op10_suffix_array_pieces": "pieces",

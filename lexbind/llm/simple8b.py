@@ -28,10 +28,12 @@ texts of any length are encoded whole; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +45,14 @@ WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
 ESCAPE = 15
 BLOCK_IDS = 1024
 FILE_IDS = 1_000_000
+#: The word tokenizer's own pre-tokenizer pattern, and the chunks for which it
+#: may run outside the library: no controls, nothing above Latin Extended-B
+#: (where lower-casing and composing act on single characters), no special token.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = r"(?!.*<\|)[!-~\u00a1-\u024f]+"
 #: Words of a cache generation; a worker remembers two generations, so words
 #: that keep coming stay.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 350_000
 NULL_ID = 2**63 - 1
 
 
@@ -173,45 +180,100 @@ _TOKENIZERS: dict = {}
 
 
 def _encoder(path: str):
-    """[tokenizer, cache of word -> ids as little-endian u32, older generation] of this worker."""
+    """[tokenizer, cache of word -> ids as little-endian u32, older generation,
+    function word -> pieces] of this worker."""
     if path not in _TOKENIZERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = [Tokenizer.from_file(path), {}, {}]
+        _TOKENIZERS[path] = [Tokenizer.from_file(path), {}, {}, _splitter(path)]
     return _TOKENIZERS[path]
 
 
-def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit integers.
+def _splitter(path: str):
+    """Pieces of a chunk that encode independently; the chunk itself where the
+    tokenizer's pre-tokenizer is another or the chunk is not plain."""
+    import json
+
+    import regex
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    lowers = any(x["type"] == "Lowercase" for x in (spec["normalizer"] or {}).get("normalizers", []))
+    if not (lowers and steps and steps[0].get("pattern") == {"Regex": PIECES}):
+        return lambda word: [word]
+    plain, find = regex.compile(PLAIN).fullmatch, regex.compile(PIECES).findall
+
+    def split(word: str) -> tuple | list:
+        if word.isascii():  # most words: letters, then at most one mark
+            if word.isalpha():
+                return (word.lower(),)
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                return (word[:-1].lower(), word[-1])
+        return find(word.lower()) if plain(word) else [word]
+
+    return split
+
+
+def _encode_new(words: list[str], state: list) -> list[bytes]:
+    """Ids of words that neither generation knows; pieces are shared between them."""
+    tokenizer, cache, older, split = state
+    parts = list(map(split, words))
+    made = {p: None for ps in parts for p in ps}
+    new = []
+    for p in made:
+        ids = cache.get(p) or older.get(p)
+        if ids is None:
+            new.append(p)
+        else:
+            made[p] = ids
+    for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        made[p] = cache[p] = array("I", e.ids).tobytes()
+    return [made[ps[0]] if len(ps) == 1 else b"".join([made[p] for p in ps]) for ps in parts]
+
+
+def encode_texts(texts: pa.Array, path: str, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, ids of each text) of a string array; nulls are empty.
 
     For tokenizers whose pre-tokenizer removes white space, ASCII-white-space
-    chunks encode independently; distinct chunks go to the library once.
+    chunks encode independently, so each distinct chunk of a batch is looked up
+    once and unknown ones go to the library; ids are then gathered by index.
     """
     state = _encoder(path)
-    tokenizer = state[0]
-    out: list[bytes] = []
-    for lo in range(0, len(texts), 64):
-        split = [(t or "").split() for t in texts[lo : lo + 64]]
-        if len(state[1]) > CACHE_WORDS:
-            state[1:] = [{}, state[1]]
-        cache, older = state[1:]
-        new = []
-        for w in set().union(*split).difference(cache):
-            known = older.get(w)
-            if known is None:
-                new.append(w)
+    if len(state[1]) > CACHE_WORDS:
+        state[1:3] = [{}, state[1]]
+    _, cache, older, _ = state
+    split = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    found = list(map(cache.get, words))
+    new = []
+    for at, ids in enumerate(found):
+        if ids is None:
+            ids = older.get(words[at])
+            if ids is None:
+                new.append(at)
             else:
-                cache[w] = known
-        for k in range(0, len(new), 1024):
-            part = new[k : k + 1024]
-            for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = cache.__getitem__
-        out += [b"".join(map(get, words)) for words in split]
-    return out
+                found[at] = cache[words[at]] = ids
+    for k in range(0, len(new), 4096):
+        part = new[k : k + 4096]
+        for at, ids in zip(part, _encode_new([words[at] for at in part], state)):
+            found[at] = cache[words[at]] = ids
+    known = np.frombuffer(b"".join(found), "<u4")
+    size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+    first = np.cumsum(size) - size
+    index = coded.indices.to_numpy()
+    sizes = size[index]
+    at = np.cumsum(sizes)
+    ids = known[np.repeat(first[index] - (at - sizes), sizes) + np.arange(at[-1] if len(at) else 0)]
+    bounds = np.concatenate([[0], at])[split.offsets.to_numpy()]
+    lengths = np.diff(bounds)
+    if end_id is not None:
+        ids, lengths = np.insert(ids, bounds[1:], end_id), lengths + 1
+    return ids, lengths
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int | None = 1, name: str = "ids") -> DataFrame:
@@ -221,39 +283,35 @@ def write_ids(docs: DataFrame, path: str, end_id: int | None = 1, name: str = "i
     and the file image.  Parts are doc_id ranges in ascending order; their
     boundaries come from Spark's range partitioner.
     """
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq, base = TaskContext.get().partitionId(), 0, 0
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         names: list[int] = []
-        size = 0
+        sizes: list[int] = []
 
         def flush():
-            nonlocal seq, base, size
-            ids = np.frombuffer(b"".join(held), "<u4")
-            image = pack_file(names, [len(h) // 4 for h in held], ids, base)
+            nonlocal seq, base
+            ids = np.concatenate(held)
+            image = pack_file(names, sizes, ids, base)
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([image], pa.binary())], ["part", "seq", "n_ids", "image"])
-            seq, base, size = seq + 1, base + len(ids), 0
-            held.clear()
-            names.clear()
+            seq, base = seq + 1, base + len(ids)
+            for x in (held, names, sizes):
+                x.clear()
             return row
 
         for batch in batches:
-            keys, column = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(keys), 64):
-                for key, ids in zip(keys[lo : lo + 64], encode_texts(column.slice(lo, 64).to_pylist(), path)):
-                    names.append(NULL_ID if key is None else key)
-                    held.append(ids + tail)
-                    size += len(held[-1]) // 4
-                    if size >= FILE_IDS:
-                        yield flush()
+            ids, lengths = encode_texts(batch.column(1), path, end_id)
+            held.append(ids)
+            names += [NULL_ID if key is None else key for key in batch.column(0).to_pylist()]
+            sizes += lengths.tolist()
+            if sum(map(len, held)) >= FILE_IDS:
+                yield flush()
         if names:
             yield flush()
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 3000)
     ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     return stored(ranged.mapInArrow(files, "part int, seq int, n_ids long, image binary"), name)
