@@ -45,11 +45,13 @@ WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
 ESCAPE = 15
 BLOCK_IDS = 1024
 FILE_IDS = 1_000_000
-#: The word tokenizer's own pre-tokenizer pattern, and the chunks for which it
-#: may run outside the library: no controls, nothing above Latin Extended-B
-#: (where lower-casing and composing act on single characters), no special token.
+#: The word tokenizer's own pre-tokenizer pattern, and what of it stands between
+#: runs of letters.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = r"(?!.*<\|)[!-~\u00a1-\u024f]+"
+BETWEEN = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]+)"
+#: What makes a text not plain: controls, anything above Latin Extended-B (below
+#: it, lower-casing and composing act on single characters), a special token.
+ODD = r"[^\t-\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}]|<\|"
 #: Words of a cache generation; a worker remembers two generations, so words
 #: that keep coming stay.
 CACHE_WORDS = 350_000
@@ -179,74 +181,34 @@ def decode_block(image: bytes, block: int) -> np.ndarray:
 _TOKENIZERS: dict = {}
 
 
-def _encoder(path: str):
-    """[tokenizer, cache of word -> ids as little-endian u32, older generation,
-    function word -> pieces] of this worker."""
+def _encoder(path: str) -> list:
+    """[tokenizer, cache of piece -> ids as little-endian u32, older generation,
+    whether plain texts may be cut into pieces outside the library]."""
     if path not in _TOKENIZERS:
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = [Tokenizer.from_file(path), {}, {}, _splitter(path)]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        lowers = any(x["type"] == "Lowercase" for x in (spec["normalizer"] or {}).get("normalizers", []))
+        cuts = lowers and bool(steps) and steps[0].get("pattern") == {"Regex": PIECES}
+        _TOKENIZERS[path] = [Tokenizer.from_file(path), {}, {}, cuts]
     return _TOKENIZERS[path]
 
 
-def _splitter(path: str):
-    """Pieces of a chunk that encode independently; the chunk itself where the
-    tokenizer's pre-tokenizer is another or the chunk is not plain."""
-    import json
-
-    import regex
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-    lowers = any(x["type"] == "Lowercase" for x in (spec["normalizer"] or {}).get("normalizers", []))
-    if not (lowers and steps and steps[0].get("pattern") == {"Regex": PIECES}):
-        return lambda word: [word]
-    plain, find = regex.compile(PLAIN).fullmatch, regex.compile(PIECES).findall
-
-    def split(word: str) -> tuple | list:
-        if word.isascii():  # most words: letters, then at most one mark
-            if word.isalpha():
-                return (word.lower(),)
-            if word[-1] in ".,;:!?" and word[:-1].isalpha():
-                return (word[:-1].lower(), word[-1])
-        return find(word.lower()) if plain(word) else [word]
-
-    return split
-
-
-def _encode_new(words: list[str], state: list) -> list[bytes]:
-    """Ids of words that neither generation knows; pieces are shared between them."""
-    tokenizer, cache, older, split = state
-    parts = list(map(split, words))
-    made = {p: None for ps in parts for p in ps}
-    new = []
-    for p in made:
-        ids = cache.get(p) or older.get(p)
-        if ids is None:
-            new.append(p)
-        else:
-            made[p] = ids
-    for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-        made[p] = cache[p] = array("I", e.ids).tobytes()
-    return [made[ps[0]] if len(ps) == 1 else b"".join([made[p] for p in ps]) for ps in parts]
-
-
-def encode_texts(texts: pa.Array, path: str, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, ids of each text) of a string array; nulls are empty.
-
-    For tokenizers whose pre-tokenizer removes white space, ASCII-white-space
-    chunks encode independently, so each distinct chunk of a batch is looked up
-    once and unknown ones go to the library; ids are then gathered by index.
-    """
-    state = _encoder(path)
+def _encode_plain(texts: pa.Array, state: list) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, bounds) of plain texts: pieces of the pre-tokenizer encode
+    independently, so each distinct one of a batch is looked up once and unknown
+    ones go to the library; ids are then gathered by index."""
     if len(state[1]) > CACHE_WORDS:
         state[1:3] = [{}, state[1]]
-    _, cache, older, _ = state
-    split = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
+    tokenizer, cache, older, _ = state
+    cut = pc.replace_substring_regex(pc.utf8_lower(texts), BETWEEN, r" \1 ")
+    split = pc.ascii_split_whitespace(cut)
     coded = split.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
     found = list(map(cache.get, words))
@@ -258,10 +220,10 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None = None) -> tuple
                 new.append(at)
             else:
                 found[at] = cache[words[at]] = ids
-    for k in range(0, len(new), 4096):
-        part = new[k : k + 4096]
-        for at, ids in zip(part, _encode_new([words[at] for at in part], state)):
-            found[at] = cache[words[at]] = ids
+    for k in range(0, len(new), 1024):
+        part = new[k : k + 1024]
+        for at, e in zip(part, tokenizer.encode_batch_fast([words[at] for at in part], add_special_tokens=False)):
+            found[at] = cache[words[at]] = array("I", e.ids).tobytes()
     known = np.frombuffer(b"".join(found), "<u4")
     size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
     first = np.cumsum(size) - size
@@ -269,7 +231,31 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None = None) -> tuple
     sizes = size[index]
     at = np.cumsum(sizes)
     ids = known[np.repeat(first[index] - (at - sizes), sizes) + np.arange(at[-1] if len(at) else 0)]
-    bounds = np.concatenate([[0], at])[split.offsets.to_numpy()]
+    return ids, np.concatenate([[0], at])[split.offsets.to_numpy()]
+
+
+def encode_texts(texts: pa.Array, path: str, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, ids of each text) of a string array; nulls are empty.
+
+    Texts that are not plain, and all texts of a tokenizer with other steps, go
+    to the library whole.
+    """
+    state = _encoder(path)
+    texts = texts.fill_null("").cast(pa.large_string())
+    odd = np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)) if state[3] else np.arange(len(texts))
+    if not len(odd):
+        ids, bounds = _encode_plain(texts, state)
+    else:
+        plain = np.setdiff1d(np.arange(len(texts)), odd)
+        ids, bounds = _encode_plain(texts.take(pa.array(plain)), state) if len(plain) else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
+        each: list = [None] * len(texts)
+        for k, row in enumerate(plain.tolist()):
+            each[row] = ids[bounds[k] : bounds[k + 1]]
+        for lo in range(0, len(odd), 256):
+            part = odd[lo : lo + 256]
+            for row, e in zip(part.tolist(), state[0].encode_batch_fast(texts.take(pa.array(part)).to_pylist(), add_special_tokens=False)):
+                each[row] = np.array(e.ids, "<u4")
+        ids, bounds = np.concatenate(each), np.concatenate([[0], np.cumsum([len(e) for e in each])])
     lengths = np.diff(bounds)
     if end_id is not None:
         ids, lengths = np.insert(ids, bounds[1:], end_id), lengths + 1
