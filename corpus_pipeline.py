@@ -1,14 +1,79 @@
-"""Training-data pipeline: quality, near-duplicates, leaks, personal data, tokens."""
+"""Training-data pipeline: quality, near-duplicates, leaks, personal data, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept;
+all but the last return the columns of ``documents``.  ``run`` applies them to
+``documents``; each stage's rows are written and read again before the next.
+
+The rows of the end result cannot be had from SQL (the quality model, the
+retrieval and the trees have no SQL form), so ORACLE_SQL is None and tests
+compare the stages with brute-force versions.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexbind.llm import latent, neardup, pieces, pii, quality
+from lexbind.llm.common import stored, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality rules reject (operator 3)."""
+    columns = docs.columns
+    others = tuple(c for c in columns if c != "doc_id")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), others)
+    return scored.where("kept").select(*columns)
+
+
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: that with the smallest
+    id (operator 5).  Of rows with equal ids one stays; rows without an id stay."""
+    groups = stored(neardup.near_duplicates(docs), "groups")
+    dropped = groups.where("not kept and doc_id is not null").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    ids = groups.where("doc_id is not null")
+    if ids.count() > ids.select("doc_id").distinct().count():
+        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+        kept = named.union(kept.where("doc_id is null"))
+    return kept.select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item (operator 7)."""
+    return latent.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind (operator 6); n_chars follows the text."""
+    out = pii.redact(docs, *pii.fit(docs))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every text and their round trip (operator 10)."""
+    import public_tokenizers
+
+    extra = tuple(c for c in ("lang", "source", "n_chars") if c in docs.columns)
+    return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), extra, with_ids=True)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_one_copy),
+    ("leaks", drop_leaks),
+    ("personal_data", redact_personal),
+    ("pieces", to_pieces),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

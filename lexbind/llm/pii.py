@@ -151,19 +151,22 @@ def _described(kind: str, text: Column):
     return lambda s: F.struct(F.lit(kind).alias("kind"), s["s"].alias("s"), s["e"].alias("e"), _features(text, kind, s).alias("f"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans by kind, and ``wide``: candidates with features, in
-    text order, none overlapping a base span."""
+def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, base spans by kind, ``wide`` (candidates with features, in text
+    order, none overlapping a base span) and the columns named in ``keep``, in a
+    struct ``kept``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = base_spans(F.col("_text"))
-    out = docs.select("doc_id", text.alias("_text")).select("doc_id", "_text", *[v.alias(k) for k, v in base.items()])
+    kept = [F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []
+    held = ["kept"] if keep else []
+    out = docs.select("doc_id", text.alias("_text"), *kept).select("doc_id", "_text", *held, *[v.alias(k) for k, v in base.items()])
     out = out.withColumns({f"_{k}": v for k, v in _wide_spans(F.col("_text")).items()})
     taken = F.concat(*[F.col(k) for k in BASE])
     wide = []
     for kind in KINDS[4:]:
         free = F.filter(F.col(f"_{kind}"), lambda s: ~F.exists(taken, lambda b: (b["s"] < s["e"]) & (s["s"] < b["e"])))
         wide.append(F.transform(free, _described(kind, F.col("_text"))))
-    return out.select("doc_id", *BASE, F.concat(*wide).alias("wide"))
+    return out.select("doc_id", *held, *BASE, F.concat(*wide).alias("wide"))
 
 
 def weak_label(f: Column) -> Column:
@@ -276,10 +279,10 @@ def fit(docs: DataFrame) -> tuple[list, float]:
     return model, calibrate(model, split[True] or split[False])
 
 
-def find_spans(docs: DataFrame, model: list, threshold: float) -> DataFrame:
+def find_spans(docs: DataFrame, model: list, threshold: float, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, base spans by kind, and ``added``: the selected candidates that
     overlap neither a base span nor an earlier or longer selected one."""
-    found = candidates(docs)
+    found = candidates(docs, keep)
     if threshold == math.inf:
         return found.withColumn("added", F.array().cast("array<struct<kind:string,s:int,e:int>>")).drop("wide")
     picked = F.transform(
@@ -311,15 +314,45 @@ def _listed(kinds: list[str]) -> Column:
     return F.array_join(F.concat(*parts), ",")
 
 
-def redacted_text(text: Column, all_spans: Column) -> Column:
-    """The text with each of (kind, s, e), sorted and disjoint, replaced by <kind>."""
+def merged_spans() -> Column:
+    """All spans of a row of :func:`find_spans` as sorted disjoint (kind, s, e);
+    overlapping ones become one span of the first's kind."""
+    every = [F.transform(F.col(k), _tagged(k)) for k in BASE] + [F.transform("added", lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"), s["kind"].alias("kind")))]
+    none = F.array().cast("array<struct<s:int,e:int,kind:string>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), last["kind"].alias("kind"))
+        touching = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] > x["s"])
+        return F.when(touching, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(F.array_sort(F.concat(*every)), none, step)
+
+
+def _tagged(kind: str):
+    return lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"), F.lit(kind).alias("kind"))
+
+
+def redacted_text(text: Column, spans: Column) -> Column:
+    """The text with each of (s, e, kind), sorted and disjoint, replaced by <kind>."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substr(text, acc["at"] + 1, s["s"] - acc["at"])
         return F.struct(s["e"].alias("at"), F.concat(acc["out"], F.array(gap, F.concat(F.lit("<"), s["kind"], F.lit(">")))).alias("out"))
 
-    return F.aggregate(all_spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
+
+
+def redact(docs: DataFrame, model: list, threshold: float) -> DataFrame:
+    """``docs`` with every span in ``text`` replaced by its kind in angle
+    brackets; null texts stay null, other columns stay as they are."""
+    columns = docs.columns
+    found = find_spans(docs, model, threshold, tuple(c for c in columns if c != "doc_id"))
+    found = found.select("doc_id", "kept", merged_spans().alias("_all"))
+    text = F.col("kept.text")
+    clean = F.when(F.size("_all") > 0, redacted_text(text, F.col("_all"))).otherwise(text)
+    return found.select(*[F.col(c) if c == "doc_id" else clean.alias("text") if c == "text" else F.col("kept")[c].alias(c) for c in columns])
 
 
 def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
