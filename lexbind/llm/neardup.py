@@ -3,37 +3,40 @@
 A document's set holds the distinct 64-bit hashes of its 5-word shingles (ASCII
 lower case).  Its sketch is the ``SKETCH`` smallest hashes.
 
-1. Documents with equal sets collapse to one node, named by the smallest doc_id.
-2. Inverted lists of each node's ``LISTED`` smallest values generate candidate
-   pairs.  Small lists give all their pairs, larger ones link each member to the
-   list's smallest member.
+1. Documents with equal sets collapse to one node.
+2. Inverted lists of retained values generate candidate pairs.  A list key is a
+   run of retained values that stand next to each other in the sketch: two for
+   small sets, three for large ones (sets in between have both).  Similar sets
+   share such runs; sets that share only a passage or a line rarely do.  Small
+   lists give all their pairs, larger ones link each member to the list's first.
 3. The bottom-k of the union of two sketches estimates their similarity; pairs
    that are clearly below the threshold go (``SLACK`` is over five standard
    errors).
 4. Exact Jaccard on full sets decides; pairs travel in groups of one centre and
    about ``FAN`` others.
 5. Connected components (hook to the smallest neighbour, contract, repeat).
-6. A large list whose members are not one component is searched further: its
-   members outside the main component meet all others if they are at most
-   ``SMALL``; otherwise the list is refined by a second and a third shared
-   value (two sets of this similarity share three values of their sketches),
-   and what is still large then meets in full.  No list, pair or partner is cut.
-
-Two sets at the threshold miss a shared value among 16 with probability
-0.25 ** 16; three shared values with about 3e-7 (sets of fewer than 16 shingles
-are in the sketch whole, where three shared values are certain).
+6. Larger lists whose members are not one component: the members of all lists
+   that share the first member's component form a bucket, and those outside the
+   component meet all members of the bucket, in blocks of about ``BLOCK``
+   members: first by sketches, then those with a near partner by full sets.
+   No list, pair or partner is cut.
+
+Chance of a missed link at exactly the threshold: two similar large sets share
+no run of three among 48 retained values with probability 0.75 ** 48 = 1e-6; of
+sets with fewer shingles, no run of two among 28 with 0.576 ** 28 = 2e-7; sets
+that are in the sketch whole always share a run of two.  It falls steeply above
+the threshold.
 
 Edge cases: null and empty texts have an empty set and stand alone; a text of
 fewer than five words is one shingle; rows with equal ids are judged by their
-own sets; rows with null ids can be copies but never name a component (a group
-of null ids only has a null component and is kept); an empty table gives an
-empty result; other columns do not matter.
+own sets; rows with null ids take part but never name a component (a group of
+null ids only has a null component and is kept); an empty table gives an empty
+result; other columns do not matter.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,18 +48,18 @@ from pyspark.sql.window import Window
 from lexbind.llm.common import small_batches, stored, table
 
 WIDTH, PERCENT = 5, 75
-SKETCH, LISTED = 64, 16
+SKETCH = 64
+#: (values, run length, least and greatest set size) of list keys.
+RUNS = ((28, 2, 2, 96), (48, 3, 64, 1 << 30))
 SLACK = 0.45
 #: Lists up to this give all pairs at once; larger ones star first.
 DIRECT = 8
-#: Members outside a list's main component that meet all its others.
-SMALL = 64
+BLOCK = 512
 FAN = 64
 SALTS = 16
 #: Needed documents that a filter is broadcast for; beyond it their texts are joined by shuffle.
 BROADCAST_IDS = 100_000
 
-_SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -167,22 +170,19 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b")
 
 
-def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold.  ``pairs`` must be
-    a stored table; a text is read once for all its pairs."""
-    grouped = with_group(pairs, F.col("a"), F.col("b"), _c=(F.lit(1), "sum"))
-    grouped = grouped.withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("_c") / FAN)).cast("int")).select("a", "b", "chunk")
-    roles = grouped.select(F.col("b").alias("id"), "a", "chunk").union(grouped.select(F.col("a").alias("id"), "a", "chunk").distinct())
+def _sets(docs: DataFrame, nodes: DataFrame, roles: DataFrame) -> DataFrame:
+    """(a, chunk, id, set) for every role (id, a, chunk): full sets of nodes in
+    the groups they belong to; a text is read once for all its roles."""
     roles = roles.groupBy("id").agg(F.collect_list(F.struct("a", "chunk")).alias("roles"))
-    roles = stored(roles.join(nodes.select("id", "key"), "id"), "roles")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    roles = stored(roles.join(nodes.select("id", F.col("doc_id").alias("_doc"), "key"), "id"), "roles")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     needed = F.broadcast(roles) if roles.count() <= BROADCAST_IDS else roles
-    inputs = keyed.join(needed, "id").select("id", "text", "key", F.col("roles.a").alias("a"), F.col("roles.chunk").alias("chunk"))
+    inputs = keyed.join(needed, keyed.doc_id.eqNullSafe(needed._doc)).select("id", "text", "key", F.col("roles.a").alias("a"), F.col("roles.chunk").alias("chunk"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         names = ["a", "chunk", "id", "set"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             out: list[tuple] = []
             held = 0
@@ -200,6 +200,15 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
+    return inputs.mapInArrow(spread, "a long, chunk long, id long, set binary")
+
+
+def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a stored table whose full sets reach the threshold."""
+    grouped = with_group(pairs, F.col("a"), F.col("b"), _c=(F.lit(1), "sum"))
+    grouped = grouped.withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("_c") / FAN))).select("a", "b", "chunk")
+    roles = grouped.select(F.col("b").alias("id"), "a", "chunk").union(grouped.select(F.col("a").alias("id"), "a", "chunk").distinct())
+
     def decide(group: pa.Table) -> pa.Table:
         a = group.column("a")[0].as_py()
         sets = {i.as_py(): np.frombuffer(s.as_py(), np.int64) for i, s in zip(group.column("id"), group.column("set"))}
@@ -211,84 +220,144 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                     out.append(b)
         return pa.table([pa.array([a] * len(out), pa.int64()), pa.array(out, pa.int64())], names=["a", "b"])
 
-    sets = inputs.mapInArrow(spread, "a long, chunk int, id long, set binary")
-    return sets.groupBy("a", "chunk").applyInArrow(decide, "a long, b long")
-
-
-def _lists(nodes: DataFrame, depth: int) -> DataFrame:
-    """(g, id): list keys of combinations of ``depth`` listed values."""
-    values = nodes.select("id", F.slice("sketch", 1, LISTED).alias("_v"))
-    out = values.select("id", F.posexplode("_v").alias("_p1", "_k1"), "_v")
-    for d in range(2, depth + 1):
-        rest = F.slice("_v", F.col(f"_p{d - 1}") + 2, F.lit(LISTED))
-        out = out.select("*", F.posexplode(rest).alias("_q", f"_k{d}")).withColumn(f"_p{d}", F.col(f"_p{d - 1}") + 1 + F.col("_q")).drop("_q")
-    keys = [F.col(f"_k{d}") for d in range(1, depth + 1)]
-    return out.select("id", *keys, (keys[0] if depth == 1 else F.xxhash64(*keys)).alias("g"))
+    return _sets(docs, nodes, roles).groupBy("a", "chunk").applyInArrow(decide, "a long, b long")
+
+
+def _common(owners: np.ndarray, values: np.ndarray, rows: int, minor: np.ndarray) -> np.ndarray:
+    """Shared values of each minor row with each row: one pass over the values
+    in order, adding a block for each value's holders."""
+    slot = np.cumsum(minor) - 1
+    out = np.zeros((int(minor.sum()), rows), np.int32)
+    order = np.argsort(values, kind="stable")
+    owners, values = owners[order], values[order]
+    cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b - a > 1:
+            held = owners[a:b]
+            mine = held[minor[held]]
+            if len(mine):
+                out[np.ix_(slot[mine], held)] += 1
+    return out
+
+
+def _blocked(members: DataFrame) -> DataFrame:
+    """(a, chunk, id, minor): each member of a bucket in the groups of all pairs
+    of blocks that its block is part of."""
+    dealt = with_group(members, F.col("a"), F.col("id"), _c=(F.lit(1), "sum")).withColumn("_nb", F.ceil(F.col("_c") / BLOCK))
+    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_nb")))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)).alias("_o"))
+    return dealt.select("a", (F.least("_b", "_o") * F.col("_nb") + F.greatest("_b", "_o")).alias("chunk"), "id", "minor")
+
+
+def _near_members(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, id) of bucket members that have a partner, one of the two a minor,
+    whose sketch shares enough values."""
+
+    def near(group: pa.Table) -> pa.Table:
+        ids = group.column("id").to_numpy()
+        n, minor = group.column("n").to_numpy(), group.column("minor").to_numpy(zero_copy_only=False)
+        hit = np.zeros(len(ids), bool)
+        if minor.any():
+            sketch = group.column("sketch").combine_chunks()
+            sizes = np.diff(sketch.offsets.to_numpy())
+            common = _common(np.repeat(np.arange(len(ids)), sizes), sketch.flatten().to_numpy(), len(ids), minor)
+            mine = np.flatnonzero(minor)
+            good = common >= SLACK * np.minimum(SKETCH, np.maximum(n[mine][:, None], n[None, :]))
+            good &= np.minimum(n[mine][:, None], n[None, :]) * 100 >= np.maximum(n[mine][:, None], n[None, :]) * PERCENT
+            good[np.arange(len(mine)), mine] = False
+            hit[mine[good.any(axis=1)]] = True
+            hit[good.any(axis=0)] = True
+        return pa.table([group.column("a").combine_chunks().filter(pa.array(hit)), pa.array(ids[hit])], names=["a", "id"])
+
+    rows = groups.join(nodes.select("id", "n", "sketch"), "id").select("a", "chunk", "id", "minor", "n", "sketch")
+    return rows.groupBy("a", "chunk").applyInArrow(near, "a long, id long").distinct()
+
+
+def _bucket_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links (a, b) of bucket members by full sets, thinned to a forest in each
+    group (components are what they are for)."""
+
+    def exact(group: pa.Table) -> pa.Table:
+        sets = {i.as_py(): np.frombuffer(s.as_py(), np.int64) for i, s in zip(group.column("id"), group.column("set"))}
+        ids = np.array(sorted(sets), np.int64)
+        n = np.array([len(sets[i]) for i in ids.tolist()])
+        minor = np.ones(len(ids), bool)
+        a, b = [], []
+        if len(ids) > 1:
+            common = _common(np.repeat(np.arange(len(ids)), n), np.concatenate([sets[i] for i in ids.tolist()]), len(ids), minor)
+            x, y = np.nonzero(np.triu(100 * common.astype(np.int64) >= PERCENT * (n[:, None] + n[None, :] - common), 1))
+            root = list(range(len(ids)))
+
+            def find(k):
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            for p, q in zip(x.tolist(), y.tolist()):
+                rp, rq = find(p), find(q)
+                if rp != rq:
+                    root[max(rp, rq)] = min(rp, rq)
+                    a.append(int(ids[p]))
+                    b.append(int(ids[q]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _sets(docs, nodes, groups.select("id", "a", "chunk")).groupBy("a", "chunk").applyInArrow(exact, "a long, b long")
+
+
+def _keys(nodes: DataFrame) -> DataFrame:
+    """(g, id): list keys, hashes of runs of neighbouring retained values."""
+    parts = []
+    for values, run, least, most in RUNS:
+        kept = F.slice("sketch", 1, values)
+        starts = F.sequence(F.lit(1), F.size("_v") - (run - 1))
+        mine = nodes.where(F.col("n").between(least, most - 1)).select("id", kept.alias("_v")).where(F.size("_v") >= run)
+        mine = mine.select("id", "_v", F.explode(starts).alias("_p"))
+        parts.append(mine.select(F.xxhash64(F.lit(run), *[F.element_at("_v", F.col("_p") + k) for k in range(run)]).alias("g"), "id"))
+    return parts[0].union(parts[1])
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, n, id of the node; labels: id, component of linked nodes)."""
+    """(rows: doc_id, n, node; labels: id, component of linked nodes)."""
     small_batches(docs.sparkSession)
-    base = stored(sketches(docs), "sketches")
-    rows = with_group(base.where("key is not null").select("doc_id", "n", "key"), F.col("key"), F.coalesce("doc_id", F.lit(0)), id=(F.col("doc_id"), "min"))
-    rows = rows.select("doc_id", "n", "key", "id").union(base.where("key is null").select("doc_id", "n", "key", F.col("doc_id").alias("id")))
-    rows = stored(rows, "rows")
-    named = rows.where("key is not null and id = doc_id").select(F.col("id"), "key").distinct()
-    # A node's sketch: of the rows that name it (one, unless ids repeat).
-    nodes = base.where("key is not null").join(named, (base.doc_id == named.id) & (base.key == named.key)).select("id", "n", base.key, "sketch")
-    nodes = stored(nodes.dropDuplicates(["id"]), "nodes")
-
-    # Lists that more than one node is on.
-    lists = with_group(_lists(nodes, 1).select("id", "g"), F.col("g"), F.col("id"), c=(F.lit(1), "sum"), first=(F.col("id"), "min")).where("c > 1")
-    lists = stored(lists, "lists")
+    base = stored(sketches(docs).withColumn("tag", F.monotonically_increasing_id()), "sketches")
+    lead = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "tag")
+    full = with_group(base.where("key is not null"), F.col("key"), F.col("tag"), lead=(lead, "min"))
+    full = stored(full.select("doc_id", "n", "key", "tag", F.col("lead.tag").alias("node"), F.when(F.col("lead.tag") == F.col("tag"), F.col("sketch")).alias("sketch")), "rows")
+    rows = full.select("doc_id", "n", "node").union(base.where("key is null").select("doc_id", "n", F.col("tag").alias("node")))
+    nodes = full.where("tag = node").select(F.col("node").alias("id"), "doc_id", "n", "key", "sketch")
+
+    keys = _keys(nodes)
+    shared = keys.groupBy("g").agg(F.count("*").alias("c"), F.min("id").alias("first")).where("c > 1")
+    lists = stored(keys.join(shared, "g"), "lists")
     few = lists.where(F.col("c") <= DIRECT)
     all_pairs = few.alias("x").join(few.alias("y"), "g").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    stars = lists.where((F.col("c") > DIRECT) & (F.col("id") > F.col("first"))).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    tried = stored(_estimated(all_pairs.union(stars).distinct(), nodes), "pairs")
-    edges = stored(verify(docs, nodes, tried), "links")
+    large = lists.where(F.col("c") > DIRECT)
+    stars = large.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    pairs = stored(_estimated(all_pairs.union(stars).distinct(), nodes), "pairs")
+    edges = stored(verify(docs, nodes, pairs), "links")
     labels = components(edges)
 
-    # Large lists that are not one component, refined level by level.
-    open_lists = lists.where(F.col("c") > DIRECT).select("g", "id")
-    for depth in (1, 2, 3):
-        if depth > 1:
-            busy = deep.select("id").distinct()
-            members = _lists(nodes.join(busy, "id"), depth)
-            # Only combinations that extend a list found too large one level up.
-            parents = deep.select("p", "id").withColumnRenamed("p", "_parent").distinct()
-            up = F.col("_k1") if depth == 2 else F.xxhash64("_k1", "_k2")
-            open_lists = members.withColumn("_parent", up).join(parents, ["_parent", "id"]).select("g", "id")
-        comp = F.coalesce("component", "id")
-        marked = open_lists.join(labels, "id", "left").select("g", "id", comp.alias("comp"))
-        marked = with_group(marked, F.col("g"), F.col("id"), lo=(F.struct("id", "comp"), "min"), cmin=(F.col("comp"), "min"), cmax=(F.col("comp"), "max")).where("cmin <> cmax")
-        marked = with_group(marked.withColumn("minor", F.col("comp") != F.col("lo.comp")), F.col("g"), F.col("id"), minors=(F.col("minor").cast("long"), "sum"), c=(F.lit(1), "sum"))
-        marked = stored(marked.select("g", "id", "comp", "minor", "minors", "c"), "marked")
-        if marked.isEmpty():
-            break
-        ready = marked if depth == 3 else marked.where(F.col("minors") <= SMALL)
-        big = F.when(F.col("c") > 1000, F.lit(SALTS)).otherwise(F.lit(1))
-        left = ready.where("minor").select("g", F.col("id").alias("x"), F.col("comp").alias("xc"), F.explode(F.sequence(F.lit(0), big - 1)).alias("_s"))
-        right = ready.select("g", F.col("id").alias("y"), F.col("comp").alias("yc"), F.pmod(F.xxhash64("id"), big).cast("int").alias("_s"))
-        met = left.join(right, ["g", "_s"]).where("xc <> yc").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        fresh = stored(_estimated(met.join(tried, ["a", "b"], "left_anti"), nodes), "pairs")
-        if not fresh.isEmpty():
-            more = stored(verify(docs, nodes, fresh), "links")
-            tried = tried.union(fresh)
-            if not more.isEmpty():
-                edges = edges.union(more)
-                labels = components(edges)
-        if depth == 3:
-            break
-        deep = marked.where(F.col("minors") > SMALL).select(F.col("g").alias("p"), "id")
-        if deep.isEmpty():
-            break
-    return rows, labels
+    # Large lists that are not one component.
+    firsts = labels.select(F.col("id").alias("first"), F.col("component").alias("_fc"))
+    marked = large.join(labels, "id", "left").join(firsts, "first", "left")
+    marked = marked.select("g", "id", F.coalesce("_fc", "first").alias("a"), (F.coalesce("component", "id") != F.coalesce("_fc", "first")).alias("minor"))
+    mixed = marked.where("minor").select("g").distinct()
+    members = stored(marked.join(mixed, "g", "left_semi").select("a", "id", "minor").distinct(), "members")
+    if members.isEmpty():
+        return rows, labels
+    near = stored(_near_members(_blocked(members), nodes), "near")
+    if near.isEmpty():
+        return rows, labels
+    more = stored(_bucket_links(docs, nodes, _blocked(members.join(near, ["a", "id"], "left_semi"))), "links")
+    return rows, labels if more.isEmpty() else components(edges.union(more))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     rows, labels = link(docs)
-    out = rows.join(labels, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
+    grouped = rows.join(labels, rows.node == labels.id, "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("_c"))
+    out = with_group(grouped, F.col("_c"), F.coalesce("doc_id", F.lit(0)), component_id=(F.col("doc_id"), "min"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
