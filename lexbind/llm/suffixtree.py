@@ -9,12 +9,14 @@ distribution diverges from its suffix's (count * KL divergence of at least
 DIVERGENCE nats, and KL of at least MIN_KL) or a longer retained context ends
 in it.  Next-symbol distributions are smoothed with the suffix state's
 distribution (weight: distinct symbols seen, plus pruned counts), down to an
-add-half order-0 distribution over bytes.  A text's score sums log10 of each
-symbol's probability in its longest suffix state.
+add-half order-0 distribution over bytes.  A token's probability by the tree is
+the product over its symbols of the probability in the longest suffix state; it
+is mixed with the token's training frequency (the tree's leaf for whole words)
+by the weight MIX.  A text's score sums log10 of its tokens' probabilities.
 
 Data flow.  One pass cuts each task's texts into blocks of about BLOCK_BYTES
-and writes, per block: its distinct words with training counts, its distinct
-symbol windows with training counts, and the texts as word indices.  Global
+and writes, per block, its distinct words with training counts and the texts as
+word indices, and, per task, the distinct symbol windows with training counts.  Global
 word counts return to the blocks that asked (block, word) by join; the tree's
 states are collected: contexts have a relative frequency of at least
 MIN_CONTEXT and entries of MIN_ENTRY, so there are at most
@@ -39,11 +41,13 @@ from pyspark.sql import functions as F
 
 from lexbind.llm.common import fold_of, small_batches, stored, table
 
-DEPTH, HEAD, TAIL = 6, 3, 3
+DEPTH, HEAD, TAIL = 5, 3, 3
 LONGEST = DEPTH + 1
-BLOCK_BYTES = 8 << 20
-MIN_CONTEXT, MIN_ENTRY = 2e-6, 2e-7
+BLOCK_BYTES = 12 << 20
+MIN_CONTEXT, MIN_ENTRY = 2e-6, 5e-7
 DIVERGENCE, MIN_KL = 12.0, 0.01
+#: Weight of a token's training frequency beside its spelling in the tree.
+MIX = 0.35
 STEP, END, START = 0x20, 0x0A, 0x09
 
 
@@ -190,7 +194,7 @@ def build_tree(total: int, contexts: dict[int, tuple], entries: dict[int, tuple]
     if 0 in entries:
         roots[entries[0][0].astype(np.int64)] = entries[0][1]
     tree = Tree(total, roots)
-    needed: set[int] = set()  # suffixes of retained contexts
+    needed = np.zeros(0, np.uint64)  # suffixes of retained contexts
     full = Tree(total, roots)
     gains: dict[int, np.ndarray] = {}
     for length in range(1, DEPTH + 1):
@@ -209,8 +213,8 @@ def build_tree(total: int, contexts: dict[int, tuple], entries: dict[int, tuple]
         full.levels[length] = (keys, seen + weight, weight, ekeys, ecounts)
     for length in range(DEPTH, 0, -1):
         keys, denominator, weight, ekeys, ecounts = full.levels[length]
-        mine = gains[length] | np.isin(keys, np.array(sorted(needed), np.uint64))
-        needed = set((keys[mine] & np.uint64((1 << 8 * (length - 1)) - 1)).tolist()) if length > 1 else set()
+        mine = gains[length] | np.isin(keys, needed)
+        needed = np.unique(keys[mine] & np.uint64((1 << 8 * (length - 1)) - 1))
         kept = keys[mine]
         own = np.isin(ekeys >> np.uint64(8), kept)
         tree.levels[length] = (kept, denominator[mine], weight[mine], ekeys[own], ecounts[own])
@@ -244,7 +248,16 @@ def count_blocks(docs: DataFrame) -> DataFrame:
         columns |= {"kind": pa.array(np.full(rows, kind, np.int32)), "block": pa.array(np.full(rows, block, np.int64))}
         return pa.RecordBatch.from_arrays([columns.get(c) if c in columns else pa.nulls(rows, k) for c, k in zip(names, kinds)], names)
 
-    def one(block: int, ids: list, held: list, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    def merge(windows: list, wins: np.ndarray, n: np.ndarray) -> None:
+        """Add window counts to the task's sorted distinct ones."""
+        if windows:
+            wins, n = np.concatenate([windows[0], wins]), np.concatenate([windows[1], n])
+        order = np.argsort(wins)
+        wins, n = wins[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], wins[1:] != wins[:-1]])) if len(wins) else np.zeros(0, np.int64)
+        windows[:] = [wins[first], np.add.reduceat(n, first) if len(first) else n]
+
+    def one(block: int, ids: list, held: list, texts: pa.Array, windows: list) -> Iterator[pa.RecordBatch]:
         codes, bounds, words = split_words(texts)
         held_out = np.array(held, bool)
         sizes = np.diff(bounds)
@@ -257,37 +270,39 @@ def count_blocks(docs: DataFrame) -> DataFrame:
         inner, word = inner_windows(words)
         weights = counts[word]
         cross, pair = pair_windows(pairs)
-        wins = np.concatenate([inner[weights > 0], cross])
-        order = np.argsort(wins)
-        wins, n = wins[order], np.concatenate([weights[weights > 0], pair_n[pair]])[order]
-        first = np.flatnonzero(np.concatenate([[True], wins[1:] != wins[:-1]])) if len(wins) else np.zeros(0, np.int64)
-        yield rows_of(len(first), block, 2, win=pa.array(wins[first].astype(np.int64)), n=pa.array(np.add.reduceat(n, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)))
+        merge(windows, np.concatenate([inner[weights > 0], cross]), np.concatenate([weights[weights > 0], pair_n[pair]]))
         yield rows_of(len(words), block, 1, idx=pa.array(np.arange(len(words), dtype=np.int32)), word=words.cast(pa.binary()), n=pa.array(counts.astype(np.int64)))
         packed = [_compress(codes[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         yield rows_of(len(ids), block, 0, n=pa.array(sizes.astype(np.int64)), doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held, pa.bool_()), payload=pa.array(packed, pa.binary()))
         data, at = _bytes_of(words)
-        blob = np.diff(at).astype("<u4").tobytes() + data.tobytes()
+        blob = np.diff(at).astype("<u4").tobytes() + counts.astype("<u4").tobytes() + data.tobytes()
         yield rows_of(1, block, 3, n=pa.array([len(words)]), payload=pa.array([_compress(blob)], pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq, held_rows, size = TaskContext.get().partitionId(), 0, [], 0
+        windows: list[np.ndarray] = []
         for batch in batches:
             if batch.num_rows:
                 held_rows.append(batch)
                 size += batch.column(2).nbytes
             if size >= BLOCK_BYTES:
-                yield from flush((part << 32) + seq, held_rows)
+                yield from flush((part << 32) + seq, held_rows, windows)
                 seq, held_rows, size = seq + 1, [], 0
         if held_rows:
-            yield from flush((part << 32) + seq, held_rows)
+            yield from flush((part << 32) + seq, held_rows, windows)
+
+        if windows:
+            for lo in range(0, len(windows[0]), 500_000):
+                wins, n = (x[lo : lo + 500_000] for x in windows)
+                yield rows_of(len(wins), part << 32, 2, win=pa.array(wins.astype(np.int64)), n=pa.array(n.astype(np.int64)))
 
-    def flush(block: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush(block: int, batches: list[pa.RecordBatch], windows: list) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(batches).combine_chunks()
         texts = whole.column(2).combine_chunks()
         texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        yield from one(block, whole.column(0).to_pylist(), whole.column(1).to_pylist(), texts)
+        yield from one(block, whole.column(0).to_pylist(), whole.column(1).to_pylist(), texts, windows)
 
     small_batches(docs.sparkSession)
     held = F.coalesce(fold_of() % 10 == 0, F.lit(False))
@@ -308,16 +323,18 @@ def fit_tree(blocks: DataFrame) -> Tree:
     grams = grams.where((F.col("length") == 0) | (F.call_function("shiftrightunsigned", F.col("win"), top) != 0))
     grams = grams.groupBy("length", F.col("win").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n"))
     grams = stored(grams, "grams")
-    entries = grams.where(F.col("n") >= math.ceil(MIN_ENTRY * total)).toPandas()
+    entries = grams.where(F.col("n") >= math.ceil(MIN_ENTRY * total)).toArrow()
     ctx = grams.where("length > 0").groupBy("length", F.shiftright("key", 8).alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    ctx = ctx.where(F.col("n") >= max(2, math.ceil(MIN_CONTEXT * total))).toPandas()
+    ctx = ctx.where(F.col("n") >= max(2, math.ceil(MIN_CONTEXT * total))).toArrow()
 
     def by_length(frame, *columns):
         out = {}
-        for length, rows in frame.groupby("length"):
-            keys = rows["key"].to_numpy().astype(np.uint64)
-            order = np.argsort(keys)
-            out[int(length)] = (keys[order], *(rows[c].to_numpy().astype(float)[order] for c in columns))
+        lengths, all_keys = frame.column("length").to_numpy(), frame.column("key").to_numpy().astype(np.uint64)
+        values = [frame.column(c).to_numpy().astype(float) for c in columns]
+        for length in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == length)
+            rows = rows[np.argsort(all_keys[rows])]
+            out[length] = (all_keys[rows], *(v[rows] for v in values))
         return out
 
     return build_tree(total, by_length(ctx, "n", "kinds"), by_length(entries, "n"))
@@ -331,7 +348,8 @@ def score_blocks(blocks: DataFrame, tree: Tree) -> DataFrame:
     sums = counts.where("c > 0").agg(F.sum("c"), F.count("*")).first()
     ends = blocks.where("kind = 0 and not held_out").count()
     all_n, distinct = (sums[0] or 0) + ends, sums[1] + (ends > 0)
-    answers = words.select("block", "idx", "word").join(counts, "word").select(F.col("block").alias("asker"), "idx", "c")
+    # A block knows its own counts; only words that others hold too are answered.
+    answers = words.select("block", "idx", "word", "n").join(counts, "word").where("c <> n").select(F.col("block").alias("asker"), "idx", "c")
     shared = blocks.sparkSession.sparkContext.broadcast(tree)
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -343,8 +361,8 @@ def score_blocks(blocks: DataFrame, tree: Tree) -> DataFrame:
         blob = _expand(payloads[at])
         sizes = np.frombuffer(blob, "<u4", n)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(blob[4 * n :])])
-        c = np.zeros(n)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(blob[8 * n :])])
+        c = np.frombuffer(blob, "<u4", n, 4 * n).astype(float)
         c[found.column("idx").to_numpy()] = found.column("c").to_numpy()
         # Doubles near each other: one logarithm for each distinct count.
         scale = all_n + 0.1 * (distinct + 1)
@@ -365,7 +383,13 @@ def score_blocks(blocks: DataFrame, tree: Tree) -> DataFrame:
         pair_score = np.bincount(which, np.log10(model.probabilities(wins)), len(pairs))
         text_of = np.repeat(np.arange(len(rows)), lengths)
         base = np.bincount(text_of, base_of[flat], len(rows)) + end_base
-        score_ = np.bincount(text_of, inner_score[flat], len(rows)) + np.bincount(owner, pair_score[pair_of], len(rows))
+        # A token's spelling in the tree, mixed with its training frequency.
+        at = np.arange(len(flat)) + text_of
+        spelled, seen = pair_score[pair_of], np.full(len(keys), ends / all_n if all_n else 0.0)
+        spelled[at] += inner_score[flat]
+        seen[at] = c[flat] / all_n if all_n else 0.0
+        mix = MIX if all_n else 0.0
+        score_ = np.bincount(owner, np.log10((1 - mix) * np.power(10.0, spelled) + mix * seen + 1e-300), len(rows))
         known = np.bincount(text_of, c[flat] > 0, len(rows)).astype(np.int64) + (ends > 0)
         kept = texts.take(pa.array(rows))
         return pa.table([kept.column("doc_id"), kept.column("held_out"), pa.array(lengths + 1), pa.array(known), pa.array(np.full(len(rows), all_n)), pa.array(base), pa.array(score_)], names=OUT)
