@@ -1,0 +1,191 @@
+"""Catalog records from raw metadata, their constraints, and merges."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lexbind.functions import text as T
+
+VERSION = 1
+#: Shortest alias keys: titles, and names derived from others.
+TITLE_KEY, DERIVED_KEY = 2, 4
+
+
+class ConstraintError(ValueError):
+    """Rows break a constraint; the message names the first ones."""
+
+
+def require_none(bad: DataFrame, what: str, shown: int = 5) -> None:
+    """Fail if a constraint query returns rows."""
+    rows = bad.take(shown)
+    if rows:
+        raise ConstraintError(f"{what}: {[r.asDict(True) for r in rows]}")
+
+
+def first_text(*columns: Column) -> Column:
+    """The first column with something other than white space, trimmed, or null."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
+
+
+def first_of(payload: Column | str, names: tuple[str, ...]) -> Column:
+    """The first member of a VARIANT object that is a non-empty array, else the payload."""
+    v = F.col(payload) if isinstance(payload, str) else payload
+    members = [F.try_variant_get(v, f"$.{n}", "array<variant>") for n in names]
+    picked = F.coalesce(*[F.when(F.size(m) > 0, m) for m in members])
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), picked, F.array().cast("array<variant>"))
+
+
+def record(raw: Column | str) -> dict[str, Column]:
+    """Catalog columns of a raw metadata VARIANT."""
+    v = F.col(raw) if isinstance(raw, str) else raw
+
+    def text(path: str) -> Column:
+        return F.try_variant_get(v, path, "string")
+
+    def nested(path: str) -> Column:
+        return F.coalesce(F.try_variant_get(v, f"{path}.name", "string"), text(path))
+
+    name = first_text(text("$.name"), text("$.raw_metadata.title"), text("$.detailed_metadata.title"))
+    producer = first_text(text("$.producer"), text("$.raw_metadata.manufacturer"), nested("$.detailed_metadata.manufacturer"))
+    region = first_text(text("$.region"), text("$.raw_metadata.region"), nested("$.detailed_metadata.region"))
+    styles = T.distinct_text(F.array(text("$.sugar"), text("$.raw_metadata.category"), nested("$.detailed_metadata.category")))
+    grapes = T.distinct_text(
+        F.concat(
+            F.coalesce(F.transform(F.try_variant_get(v, "$.grape", "array<variant>"), T.nested_name), F.array(nested("$.grape"))),
+            F.coalesce(F.transform(F.try_variant_get(v, "$.detailed_metadata.grapes", "array<variant>"), T.nested_name), F.array().cast("array<string>")),
+        )
+    )
+    alcohol = F.try_variant_get(v, "$.detailed_metadata.alcohol", "double")
+    truth = F.schema_of_variant(F.try_variant_get(v, "$.detailed_metadata.alcohol", "variant")) == "BOOLEAN"
+    return {
+        "id": text("$.scraped_id"),
+        "name": name,
+        "producer": producer,
+        "region": region,
+        "style": styles,
+        "color": first_text(text("$.color")),
+        "grapes": grapes,
+        "year": T.catalog_year(text("$.year")),
+        "alcohol_percent": F.when(~F.coalesce(truth, F.lit(False)) & (alcohol > 0) & (alcohol < 30), alcohol),
+        "slug": first_text(text("$.detailed_metadata.slug"), text("$.raw_metadata.slug")),
+        "image_url": first_text(text("$.remote_image_url")),
+        "_titles": F.array(text("$.name"), text("$.raw_metadata.title"), text("$.detailed_metadata.title")),
+    }
+
+
+def admitted_aliases(titles: Column, styles: Column, slug: Column) -> Column:
+    """Aliases (text, key, source) of titles, names without a style and slug
+    names: long enough, first source of a key wins."""
+    empty = F.array().cast("array<struct<text:string,key:string,source:string>>")
+
+    def entry(t: Column, source: str) -> Column:
+        return F.struct(T.display(t).alias("text"), T.key(t).alias("key"), F.lit(source).alias("source"))
+
+    titled = F.filter(F.transform(titles, lambda t: entry(t, "title")), lambda a: F.length(a["key"]) >= TITLE_KEY)
+    derived = F.filter(F.transform(titles, lambda t: entry(T.without_style(t, styles), "derived")), lambda a: F.length(a["key"]) >= DERIVED_KEY)
+    slugged = F.filter(F.array(entry(T.name_from_slug(slug), "slug")), lambda a: F.length(a["key"]) >= DERIVED_KEY)
+    return F.aggregate(F.concat(titled, derived, slugged), empty, lambda acc, a: F.when(F.exists(acc, lambda x: x["key"] == a["key"]), acc).otherwise(F.array_append(acc, a)))
+
+
+def build_catalog(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """Catalog rows of raw metadata (a VARIANT column); rows without id or name fail."""
+    shaped = record(column)
+    rows = raw.select(*[c.alias(k) for k, c in shaped.items()])
+    rows = rows.withColumn("aliases", admitted_aliases(F.col("_titles"), F.col("style"), F.col("slug"))).drop("_titles")
+    search = F.array_join(F.array_compact(F.concat(F.transform("aliases", lambda a: a["text"]), F.array("producer", "region"), F.col("grapes"), F.col("style"))), " ")
+    rows = rows.withColumns({"schema_version": F.lit(VERSION), "search_text": T.key(search), "source": F.lit(None).cast("string")})
+    require_none(rows.where("id is null or name is null").select("id", "name"), "records without id or name")
+    require_none(duplicate_keys(rows, "id"), "duplicate ids")
+    return rows
+
+
+def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key, n) of keys that occur more than once."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def catalog_problems(catalog: DataFrame) -> DataFrame:
+    """(id, reason) of rows that break the catalog's contract."""
+    reason = F.when(~F.col("schema_version").eqNullSafe(F.lit(VERSION)), "schema version").when(F.coalesce(F.trim("id"), F.lit("")) == "", "missing id").when(F.coalesce(F.trim("name"), F.lit("")) == "", "missing name")
+    twice = duplicate_keys(catalog.where("id is not null"), "id").select("id", F.lit("duplicate id").alias("reason"))
+    return catalog.select("id", reason.alias("reason")).where("reason is not null").union(twice)
+
+
+def addition_problems(additions: DataFrame, catalog: DataFrame, prefix: str = "manual:") -> DataFrame:
+    """(id, reason) of verified additions (id, name, grapes, aliases) to refuse."""
+    short = F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: (F.length(T.key(a)) < 6) | (F.size(T.tokens(T.key(a))) < 2))
+    blank = F.exists(F.coalesce("grapes", F.array().cast("array<string>")), lambda g: g.isNull() | (F.trim(g) == ""))
+    good_id = F.col("id").startswith(prefix) & (F.length("id") > len(prefix))
+    reason = F.when(~F.coalesce(good_id, F.lit(False)), "id").when(F.coalesce(F.trim("name"), F.lit("")) == "", "name").when(blank, "grapes").when(short, "alias")
+    rows = additions.select("id", reason.alias("reason")).where("reason is not null")
+    twice = duplicate_keys(additions.select("id").union(catalog.select("id")), "id").join(additions.select("id").distinct(), "id").select("id", F.lit("duplicate id").alias("reason"))
+    return rows.union(twice)
+
+
+def with_additions(catalog: DataFrame, additions: DataFrame) -> DataFrame:
+    """Catalog rows followed by verified additions, with an order column."""
+    return catalog.withColumn("_part", F.lit(0)).unionByName(additions.withColumn("_part", F.lit(1)), allowMissingColumns=True)
+
+
+# Merge of a keyed table into a base ------------------------------------------
+
+
+def merge_conflicts(base: DataFrame, rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Keys of both tables whose ``columns`` differ."""
+    differ = F.lit(False)
+    for c in columns:
+        differ = differ | ~F.col(f"b.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return base.alias("b").join(rows.alias("r"), key).where(differ).select(key, *[F.col(f"b.{c}").alias(f"base_{c}") for c in columns], *[F.col(f"r.{c}").alias(f"new_{c}") for c in columns])
+
+
+def conflicting_rows(rows: DataFrame, key: str) -> DataFrame:
+    """(key, versions) of keys with more than one distinct row."""
+    return rows.distinct().groupBy(key).agg(F.count("*").alias("versions")).where("versions > 1")
+
+
+def new_rows(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Distinct rows whose key the base lacks."""
+    return rows.distinct().join(base.select(key), key, "left_anti")
+
+
+def assign_ids(fresh: DataFrame, previous: DataFrame, key: str, start: int) -> DataFrame:
+    """``fresh`` with ``assigned_id``: the id of an earlier run for the key, or
+    the next free ones in key order.
+
+    The rank over all new keys is one sorted pass; only keys and ids go through it.
+    """
+    known = fresh.join(previous.select(key, F.col("assigned_id").alias("_old")), key, "left")
+    highest = previous.agg(F.max("assigned_id").alias("_m"))
+    order = Window.orderBy(key)
+    numbered = known.where("_old is null").select(key).distinct().withColumn("_n", F.row_number().over(order)).crossJoin(F.broadcast(highest))
+    numbered = numbered.select(key, (F.greatest(F.coalesce("_m", F.lit(start - 1)), F.lit(start - 1)) + F.col("_n")).cast("long").alias("_new"))
+    return known.join(numbered, key, "left").withColumn("assigned_id", F.coalesce(F.col("_old").cast("long"), F.col("_new"))).drop("_old", "_new")
+
+
+def csv_record(rows: DataFrame) -> DataFrame:
+    """Metadata records of cleaned admin rows (name, category, color, region,
+    grapes, description, producer, slug, photo, assigned_id)."""
+    grapes = F.filter(F.transform(F.split("grapes", ","), lambda g: F.trim(g)), lambda g: g != "")
+    return rows.select(
+        F.col("assigned_id").cast("string").alias("scraped_id"), "name", "producer", F.lit(None).cast("string").alias("year"), "color",
+        F.col("category").alias("sugar"), "region", grapes.alias("grape"), F.col("photo").alias("remote_image_url"),
+        F.struct(F.col("name").alias("title"), F.col("producer").alias("manufacturer"), "region", "category", "slug").alias("raw_metadata"),
+        F.struct("slug", "description").alias("detailed_metadata"),
+    )
+
+
+def enrich(candidates: DataFrame, catalog: DataFrame, columns: list[str]) -> DataFrame:
+    """Candidates with catalog columns: where both have a name the catalog's
+    value wins; candidates the catalog lacks stay as they are (``known`` false)."""
+    side = catalog.select("id", *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_known"))
+    out = candidates.join(side, "id", "left")
+    for c in columns:
+        out = out.withColumn(c, F.when(F.col("_known"), F.col(f"_{c}")).otherwise(F.col(c) if c in candidates.columns else F.lit(None))).drop(f"_{c}")
+    return out.withColumn("known", F.coalesce("_known", F.lit(False))).drop("_known")
+
+
+def to_enrich(records: DataFrame) -> DataFrame:
+    """Records worth a lookup: a slug, and no year or no rating."""
+    return records.where("slug is not null and slug <> '' and not (year is not null and rating is not null)")
