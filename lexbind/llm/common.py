@@ -59,6 +59,21 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def release_memory() -> None:
+    """Give a worker's free memory back at the end of a task: workers live on
+    beside the JVM, and allocators keep what they once held."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column over all rows."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexbind.llm.common import small_batches, stored, table
+from lexbind.llm.common import release_memory, small_batches, stored, table
 
 WIDTH, PERCENT = 5, 75
 SKETCH = 64
@@ -76,7 +76,7 @@ def shingle_set(text: str | None, cache: dict[bytes, int]) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    if len(cache) > 300_000:
+    if len(cache) > 150_000:
         cache.clear()
     get, digest = cache.get, xxhash.xxh3_64_intdigest
     hashes = []
@@ -109,6 +109,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             values = np.concatenate(heads) if heads else np.zeros(0, np.int64)
             columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([_set_key(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "sketch"])
+        del cache
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n int, key binary, sketch array<long>")
 
@@ -199,6 +201,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, roles: DataFrame) -> DataFrame:
                         out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        del cache
+        release_memory()
 
     return inputs.mapInArrow(spread, "a long, chunk long, id long, set binary")
 

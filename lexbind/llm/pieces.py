@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexbind.llm.common import small_batches, table
+from lexbind.llm.common import release_memory, small_batches, table
 
 SPACE = "▁"
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 100_000
 #: Segments of at most so many characters advance together in rounds.
 ROUND_CHARS = 64
 #: Characters of segments that one suffix array indexes.
-INDEX_CHARS = 1_500_000
+INDEX_CHARS = 300_000
 
 
 class Vocabulary:
@@ -61,12 +61,14 @@ class Vocabulary:
                 normal.append(i)
         self.has_bytes = bool((self.byte_ids != self.unknown).any())
         self.id_of = {self.piece[i]: i for i in normal}
-        coded = [(self.piece[i].encode("utf-32-le"), i) for i in normal]
-        self.longest = max(len(c) // 4 for c, _ in coded)
-        #: Searchable pieces (more than one character), as fixed-width big-endian code points.
+        self.longest = max(len(self.piece[i]) for i in normal)
+        #: Searchable pieces (more than one character): ids, lengths, and code points padded with -1.
         many = [i for i in normal if len(self.piece[i]) > 1]
         self.many = np.array(many, np.int64)
         self.widths = np.array([len(self.piece[i]) for i in many], np.int64)
+        self.points = np.full((len(many), self.longest), -1, np.int64)
+        for row, i in enumerate(many):
+            self.points[row, : len(self.piece[i])] = list(map(ord, self.piece[i]))
         self.single = {ord(self.piece[i]): i for i in normal if len(self.piece[i]) == 1}
         self.bpe = _is_bpe(path)
         #: Bytes of each piece when decoded.
@@ -122,30 +124,31 @@ def suffix_array(codes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarra
     return np.lexsort(keys[::-1]), keys
 
 
-def occurrences(codes: np.ndarray, pieces: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, piece index) of every occurrence of every piece, sorted by
-    position.  ``codes`` are dense ranks from 1; 0 ends a segment."""
+def occurrences(codes: np.ndarray, pieces: np.ndarray, size: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, piece row) of every occurrence of every piece, sorted by
+    position.  ``codes`` are dense ranks from 1 (0 ends a segment); ``pieces``
+    has a row of such ranks for each piece, of which the first ``size`` count."""
     order, keys = suffix_array(codes, longest)
     bits = max(1, int(codes.max()).bit_length()) if len(codes) else 1
     per = 63 // bits
     lo_bound, hi_bound = np.zeros(len(pieces), np.int64), np.full(len(pieces), len(order), np.int64)
-    size = np.array([len(p) for p in pieces], np.int64)
     for w in range(len(keys)):
         live = np.flatnonzero((size > w * per) & (lo_bound < hi_bound))
         low, high = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
         for k in range(per):
             at = w * per + k
-            symbol = np.array([pieces[i][at] if at < len(pieces[i]) else -1 for i in live.tolist()], np.int64)
-            low = (low << bits) | np.where(symbol < 0, 0, symbol)
-            high = (high << bits) | np.where(symbol < 0, (1 << bits) - 1, symbol)
+            inside = size[live] > at
+            symbol = pieces[live, at] if at < pieces.shape[1] else np.zeros(len(live), np.int64)
+            low = (low << bits) | np.where(inside, symbol, 0)
+            high = (high << bits) | np.where(inside, symbol, (1 << bits) - 1)
         column = keys[w][order]
         if w == 0:
             lo_bound[live] = np.searchsorted(column, low, "left")
             hi_bound[live] = np.searchsorted(column, high, "right")
         else:  # inside the range that the earlier words left
             for i, a, b in zip(live.tolist(), low.tolist(), high.tolist()):
-                part = column[lo_bound[i] : hi_bound[i]]
                 begin = lo_bound[i]
+                part = column[begin : hi_bound[i]]
                 lo_bound[i], hi_bound[i] = begin + np.searchsorted(part, a, "left"), begin + np.searchsorted(part, b, "right")
     counts = np.maximum(0, hi_bound - lo_bound)
     which = np.repeat(np.arange(len(pieces)), counts)
@@ -208,17 +211,11 @@ class Encoder:
         inside[stops] = False
         alphabet = np.unique(points[inside])
         codes = np.where(inside, np.searchsorted(alphabet, points) + 1, 0)
-        rank = {int(c): i + 1 for i, c in enumerate(alphabet)}
-        known, pieces = [], []
-        for i in v.many.tolist():
-            coded = [rank.get(ord(c)) for c in v.piece[i]]
-            if None not in coded:
-                known.append(i)
-                pieces.append(np.array(coded, np.int64))
-        position, which = occurrences(codes, pieces, v.longest)
-        known = np.array(known, np.int64)
-        ids = known[which] if len(which) else np.zeros(0, np.int64)
-        width = np.array([len(p) for p in pieces], np.int64)[which] if len(which) else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(alphabet, v.points), max(0, len(alphabet) - 1))
+        ranks = np.where((v.points >= 0) & (alphabet[at] == v.points), at + 1, 0) if len(alphabet) else np.zeros_like(v.points)
+        usable = np.flatnonzero((ranks > 0).sum(axis=1) == v.widths)
+        position, which = occurrences(codes, ranks[usable], v.widths[usable], v.longest)
+        ids, width = v.many[usable][which], v.widths[usable][which]
         stride = v.longest + 1
         edge = position * stride + width
         sort = np.argsort(edge, kind="stable")
@@ -427,7 +424,7 @@ def encoder(path: str) -> Encoder:
 def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, decoded_crc32 (UTF-8), round_trip, the ids
     if asked for, and the columns named in ``keep``."""
-    small_batches(docs.sparkSession, 2000)
+    small_batches(docs.sparkSession, 500)
     inputs = docs.select("doc_id", "text", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,6 +443,7 @@ def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = (), with_i
             if with_ids:
                 columns.append(pa.array([i.astype(np.int32) for i in coded], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names)
+        release_memory()
 
     names = ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip", *(["piece_ids"] if with_ids else []), *[f"_k{i}" for i in range(len(keep))]]
     schema = f"doc_id {inputs.schema[0].dataType.simpleString()}, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean" + (", piece_ids array<int>" if with_ids else "")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexbind.llm.common import small_batches, table
+from lexbind.llm.common import release_memory, small_batches, table
 
 #: Labelled rows that training looks at (those with the smallest hash of the
 #: id); a text of the sample counts whole.
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float], keep: tuple[s
         w, a, b = shared.value
         cache: dict[bytes, int] = {}
         for batch in batches:
-            if len(cache) > 200_000:
+            if len(cache) > 100_000:
                 cache.clear()
             out = []
             for text in batch.column(1).to_pylist():
@@ -218,6 +218,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float], keep: tuple[s
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], names)
+        del cache
+        release_memory()
 
     fixed = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     names = ["doc_id", *fixed, "base_failed", "quality", "kept", *[f"_k{i}" for i in range(len(keep))]]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexbind.llm.common import small_batches, table
+from lexbind.llm.common import release_memory, small_batches, table
 
 #: Labelled rows that learning looks at (those with the smallest hash of the id).
 SAMPLE_ROWS = 8000
@@ -242,6 +242,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray]) -> DataFr
             x = np.array([grammar.evidence(t or "") for t in batch.column(2).to_pylist()]).reshape(-1, len(weights) - 1)
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        release_memory()
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
     kind = docs.schema["doc_id"].dataType.simpleString()
