@@ -73,7 +73,14 @@ def consensus(readings: DataFrame) -> DataFrame:
     agree = a.join(b, same).groupBy("a.obs_id", "a.crop_index", "a.pass_index").agg(F.avg(edit_similarity("a.text", "b.text")).alias("agreement"))
     groups = groups.join(agree, [*keys, "pass_index"], "left")
     score = F.col("mean") + 0.08 * F.coalesce("agreement", F.lit(1.0)) - 0.001 * F.length("text")
-    place = F.when(F.col("votes") >= 2, F.struct(F.col("votes").cast("double"), F.col("lead"), (-F.col("at")).cast("double"), F.col("mean"), (-F.col("pass_index")).cast("double"))).otherwise(F.struct(F.lit(1.0), F.lit(0.0), F.lit(0.0), score, (-F.col("pass_index")).cast("double")))
+    voted = F.col("votes") >= 2
+    place = F.struct(
+        F.when(voted, F.col("votes").cast("double")).otherwise(1.0).alias("votes"),
+        F.when(voted, F.col("lead")).otherwise(0.0).alias("lead"),
+        F.when(voted, -F.col("at")).otherwise(0).alias("first"),
+        F.when(voted, F.col("mean")).otherwise(score).alias("score"),
+        (-F.col("pass_index")).alias("pass"),
+    )
     picked = groups.groupBy(*keys).agg(F.max_by(F.struct("text", "mean"), place).alias("p"))
     rest = rows.join(picked.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.max_by(F.struct("text", "mean"), F.struct("mean", -F.col("pass_index"))).alias("p"))
     return picked.withColumn("accepted", F.lit(True)).union(rest.withColumn("accepted", F.lit(False))).select(*keys, "p.text", "p.mean", "accepted")

@@ -10,6 +10,7 @@ from lexbind.functions import text as T
 from lexbind.functions.similarity import edit_similarity
 from lexbind.operators import blocking, evidence, lines, matcher, ranking
 from lexbind.operators import index as X
+from lexbind.operators.store import stored
 from lexbind.plans.data import benchmark_catalog, benchmark_titles, part_catalog, printed_lines, table
 from lexbind.plans.text_queries import ACCENTLESS, KEY, LINES
 
@@ -245,9 +246,9 @@ def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, matcher.Catalo
 
 def _ranked(spark: SparkSession, sf_dir: str):
     observed, ix = _labels(spark, sf_dir)
-    parsed = lines.parse_lines(observed)
-    queries = lines.query_lines(parsed)
-    candidates = blocking.retrieve(queries, ix.tokens, ix.grams, ix.size)
+    parsed = stored(lines.parse_lines(observed), "parsed")
+    queries = stored(lines.query_lines(parsed), "queries")
+    candidates = stored(blocking.retrieve(queries, ix.tokens, ix.grams, ix.size), "candidates")
     return observed, ix, parsed, queries, candidates
 
 

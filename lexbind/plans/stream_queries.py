@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexbind.operators.matcher import CatalogIndex
+from lexbind.operators.store import shared_dir
 from lexbind.plans.data import benchmark_catalog, printed_lines, table
 from lexbind.streaming import worker
 
@@ -59,8 +60,7 @@ def stream_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The worker end to end: messages from files, micro-batches, responses."""
     lines = printed_lines(spark, sf_dir).select(F.col("obs_id").cast("string").alias("object_key"), "line_idx", "text", (F.col("pct") / 100.0).alias("confidence"))
     ix = CatalogIndex.build(benchmark_catalog(spark, sf_dir))
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     _messages(spark, sf_dir).where("event_id < 60").select("value").repartition(2).write.text(f"{root}/in")
 
     def lines_of(tasks: DataFrame) -> DataFrame:
