@@ -228,7 +228,7 @@ def years(c: Column | str) -> Column:
 def catalog_year(c: Column | str) -> Column:
     """The year of a field that is nothing else, or null."""
     t = _col(c).cast("string")
-    return F.when(t.rlike(r"^(19|20)\d{2}$") & t.cast("int").between(1900, 2100), t.cast("int"))
+    return F.when(t.rlike(r"^(19|20)\d{2}$") & t.try_cast("int").between(1900, 2100), t.try_cast("int"))
 
 
 def safe_name(c: Column | str) -> Column:
