@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from lexbind.llm.common import release_memory, small_batches, table
 
 SPACE = "▁"
-CACHE_SEGMENTS = 100_000
+CACHE_SEGMENTS = 250_000
 #: Segments of at most so many characters advance together in rounds.
 ROUND_CHARS = 64
 #: Characters of segments that one suffix array indexes.
-INDEX_CHARS = 300_000
+INDEX_CHARS = 600_000
 
 
 class Vocabulary:
@@ -424,7 +424,7 @@ def encoder(path: str) -> Encoder:
 def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, decoded_crc32 (UTF-8), round_trip, the ids
     if asked for, and the columns named in ``keep``."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession, 1000)
     inputs = docs.select("doc_id", "text", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
