@@ -330,6 +330,26 @@ def test_decontamination(spark, empty):
     assert latent.decontaminate(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_common_passages(spark):
+    items = [(i, prose(500 + i, 30 + i % 20)) for i in range(40)] + [(50, "alpha beta")]
+    texts = [prose(i, 150) for i in range(120)]
+    held = {k: {0} for k in range(0, 120, 3)}  # item 0 in a third of the rows
+    for k in held:
+        texts[k] += f" {items[0][1]}"
+    for k in range(1, 120, 12):  # item 1 in every twelfth
+        texts[k] += f" {items[1][1]} " + prose(900 + k, 30)
+        held[k] = {1}
+    texts[2] += " Alpha, beta!"
+    held[2] = {50}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: set(r.item_ids) for r in latent.decontaminate(df, bench).collect() if r.contaminated} == held
+    # A table of few rows: every word that occurs is common there.
+    few = df.where("doc_id < 8")
+    assert {r.doc_id: set(r.item_ids) for r in latent.decontaminate(few, bench).collect() if r.contaminated} == {k: v for k, v in held.items() if k < 8}
+    assert {r.doc_id for r in latent.clean(few, bench).collect()} == {4, 5, 7}
+
+
 def test_lcs():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
