@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,8 +163,8 @@ def _ratio(a: int, b: int, base: float) -> float:
 
 
 def learn_terms(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Stem -> log-odds weight, by greedy cover of the toxic rows with stems
-    that clean rows hardly have."""
+    """Stem -> log-odds weight of every stem that toxic rows have and clean rows
+    hardly; of a word's prefixes with equal rows only the longest stays."""
     words = [set(w for w in _WORD.findall(t.lower()) if len(w) >= MIN_STEM) for t, y in rows if y]
     n1, n0 = len(words), sum(1 for _, y in rows if not y)
     if not n1 or not n0:
@@ -180,18 +180,9 @@ def learn_terms(rows: list[tuple[str, int]]) -> dict[str, float]:
     odds = {s: math.log((n + 0.5) / (n1 + 1)) - math.log((clean[s] + 0.5) / (n0 + 1)) for s, n in toxic.items()}
     # A stem must be rare among clean rows, and several times likelier among toxic ones.
     good = {s for s in toxic if clean[s] <= MAX_CLEAN * n0 and odds[s] >= math.log(20) and _ratio(toxic[s], clean[s], n1 / (n1 + n0)) >= MIN_RATIO}
-    holders = defaultdict(set)
-    for k, ss in enumerate(stems):
-        for s in ss & good:
-            holders[s].add(k)
-    left, out = set(range(n1)), {}
-    while left and holders:
-        best = max(holders, key=lambda s: (len(holders[s] & left), toxic[s], len(s), s))
-        if not holders[best] & left:
-            break
-        out[best] = odds[best]
-        left -= holders.pop(best)
-    return out
+    # A longer stem has a part of the shorter one's rows: with equal counts, the same.
+    merged = {s[:n] for s in good for n in range(MIN_STEM, len(s)) if s[:n] in good and (toxic[s[:n]], clean[s[:n]]) == (toxic[s], clean[s])}
+    return {s: odds[s] for s in sorted(good - merged)}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -234,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[di
 def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray]) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     small_batches(docs.sparkSession)
-    terms, weights = model  # at most one term for each toxic row of the sample
+    terms, weights = model  # stems of the sample's toxic rows, each of MIN_ROWS rows at least
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(terms)

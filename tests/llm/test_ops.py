@@ -207,6 +207,19 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).count() == docs.count()
 
 
+def test_terms_beside_others_are_learned():
+    rows = []
+    for i in range(300):
+        toxic = i % 5 == 0
+        # Every toxic row has the first term; the others only occur beside it.
+        more = ["zorgling"] + ["crumpot"] * (i % 2) + ["blathek", "blatheks"][: i % 3] if toxic else []
+        rows.append((" ".join([prose(i, 40), *more]) + ".", int(toxic)))
+    terms = toxicity.learn_terms(rows)
+    assert {"zorgling", "crumpot", "blathek", "blatheks"} == {t for t in terms if t[0] in "zb" or t.startswith("cr")}
+    grammar = toxicity.Grammar(terms)
+    assert all(grammar.evidence(f"a {w} here")[0] > 0 for w in ("zorgling", "crumpot", "blathek", "blatheks"))
+
+
 def test_grammar_contexts():
     g = toxicity.Grammar({"blathek": 8.0})
     plain, aimed, negated, told = (g.evidence(t) for t in ("a blathek here", "you blathek", "not a blathek", "he said blathek"))
