@@ -143,7 +143,7 @@ def conf_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def consensus_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.consensus(R.gated(readings(spark, sf_dir)))
+    rows = R.consensus(R.gated(readings(spark, sf_dir, whole=True)))
     return rows.select("obs_id", "crop_index", "text", F.round("mean", 6).alias("mean"), "accepted")
 
 

@@ -54,9 +54,9 @@ def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.lit("name").alias("field"), F.lit(0).alias("field_pos"), "form_pos", "form")
 
 
-def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printed lines as observations with a derived confidence."""
-    return printed_lines(spark, sf_dir).select("obs_id", "line_idx", "text", (F.col("pct") / 100.0).alias("confidence"))
+def _observed(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Printed (or ``whole``) lines as observations with a derived confidence."""
+    return printed_lines(spark, sf_dir, whole).select("obs_id", "line_idx", "text", (F.col("pct") / 100.0).alias("confidence"))
 
 
 
@@ -294,8 +294,8 @@ def match_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def resolve_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' printed lines against short benchmark titles."""
-    rows = matcher.resolve(_observed(spark, sf_dir), matcher.CatalogIndex.build(benchmark_catalog(spark, sf_dir)))
+    """Documents' whole lines against whole benchmark items."""
+    rows = matcher.resolve(_observed(spark, sf_dir, whole=True), matcher.CatalogIndex.build(benchmark_catalog(spark, sf_dir)))
     return rows.select("obs_id", "status", "best_match.id", "best_match.match_score", F.size("candidates").cast("long").alias("n_candidates"))
 
 

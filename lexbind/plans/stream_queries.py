@@ -58,7 +58,7 @@ def task_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The worker end to end: messages from files, micro-batches, responses."""
-    lines = printed_lines(spark, sf_dir).select(F.col("obs_id").cast("string").alias("object_key"), "line_idx", "text", (F.col("pct") / 100.0).alias("confidence"))
+    lines = printed_lines(spark, sf_dir, whole=True).select(F.col("obs_id").cast("string").alias("object_key"), "line_idx", "text", (F.col("pct") / 100.0).alias("confidence"))
     ix = CatalogIndex.build(benchmark_catalog(spark, sf_dir))
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     _messages(spark, sf_dir).where("event_id < 60").select("value").repartition(2).write.text(f"{root}/in")

@@ -236,3 +236,17 @@ def test_entry_points():
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 80
+
+
+def test_whole_lines_are_resolved(spark, tmp_path):
+    from lexbind.plans import box_queries, match_queries
+
+    head = "one two three four five"
+    items = [(1, f"{head} zorgling crumpot blathek"), (2, f"{head} quistern vaddock hummel")]
+    docs = [(10 + i, f"{text}\nother words") for i, (_, text) in enumerate(items)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r.obs_id: r.id for r in match_queries.QUERIES["resolve_documents"](spark, str(tmp_path)).collect()}
+    assert found == {10: "1", 11: "2"}
+    read = {(r.obs_id, r.crop_index): r.text for r in box_queries.QUERIES["consensus_pick"](spark, str(tmp_path)).collect()}
+    assert len(read[10, 0].split()) == len(read[11, 0].split()) == 8
