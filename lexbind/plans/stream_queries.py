@@ -12,6 +12,9 @@ from lexbind.operators.store import shared_dir
 from lexbind.plans.data import benchmark_catalog, printed_lines, table
 from lexbind.streaming import worker
 
+#: Most messages of a file, and so of a micro-batch.
+BATCH_MESSAGES = 20_000
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -61,7 +64,7 @@ def stream_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = printed_lines(spark, sf_dir, whole=True).select(F.col("obs_id").cast("string").alias("object_key"), "line_idx", "text", (F.col("pct") / 100.0).alias("confidence"))
     ix = CatalogIndex.build(benchmark_catalog(spark, sf_dir))
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    _messages(spark, sf_dir).where("event_id < 60").select("value").repartition(2).write.text(f"{root}/in")
+    _messages(spark, sf_dir).select("value").write.option("maxRecordsPerFile", BATCH_MESSAGES).text(f"{root}/in")
 
     def lines_of(tasks: DataFrame) -> DataFrame:
         return tasks.join(lines, "object_key").select(F.col("task_id").alias("obs_id"), "line_idx", "text", "confidence")

@@ -250,3 +250,16 @@ def test_whole_lines_are_resolved(spark, tmp_path):
     assert found == {10: "1", 11: "2"}
     read = {(r.obs_id, r.crop_index): r.text for r in box_queries.QUERIES["consensus_pick"](spark, str(tmp_path)).collect()}
     assert len(read[10, 0].split()) == len(read[11, 0].split()) == 8
+
+
+def test_stream_resolves_every_event(spark, tmp_path, monkeypatch):
+    from lexbind.plans import stream_queries
+
+    monkeypatch.setattr(stream_queries, "BATCH_MESSAGES", 30)
+    events = [14, 23, 58, 64, 75, 86, 90, 91, 92, 1234, 99999]
+    spark.createDataFrame([(64, "alpha beta gamma"), (34, "delta epsilon")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon zeta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(e,) for e in events], "event_id long").coalesce(2).write.parquet(f"{tmp_path}/events.parquet")
+    out = {r.task_id: r.status for r in stream_queries.QUERIES["stream_resolve"](spark, str(tmp_path)).collect()}
+    assert set(out) == {f"t{e}" for e in events if e % 10 > 2}
+    assert {t for t, status in out.items() if status != "error"} == {"t64", "t1234"}
