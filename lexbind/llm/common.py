@@ -50,6 +50,15 @@ def drop_stored(df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files that no frame can read again:
+    it follows the driver's garbage collection, which is otherwise rare."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of few rows: whole texts are long, and a batch is held in
     memory on both sides of the Python boundary."""

@@ -111,17 +111,82 @@ def test_language_model(docs, rows):
     n, v = sum(c.values()), len(c)
     want = sorted((str(r[0]), held(r[0]), len(tokens(r[1])), sum(c[t] > 0 for t in tokens(r[1])), n, round(sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens(r[1])), 6)) for r in rows)
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in out)
+    model = brute_tree([r[1] for r in rows if not held(r[0])])
+    want = sorted((str(r[0]), round(brute_score(model, r[1]), 6)) for r in rows)
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in out) == want
+
+
+def test_language_model_small_chunks(spark):
+    docs = spark.createDataFrame([(i, prose(i, 40)) for i in range(20)], "doc_id long, text string").repartition(4)
+    blocks = suffixtree.count_blocks(docs)
+    tree = suffixtree.fit_tree(blocks)
+    whole, cut = (sorted(suffixtree.score_blocks(blocks, tree, n).collect()) for n in (10**6, 2))
+    assert whole == cut and len(cut) == 20
+
+
+def symbols(text):
+    """(context, symbol, word so far) of every symbol of a text."""
+    tail, out = b"\t", []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()):
+        for j, s in enumerate(w + b" "):
+            out.append(((tail + b" " + w[:j])[-4:] if j < 3 else b" " + w[:j], s, w[:j]))
+        tail = w[-3:]
+    out.append(((tail + b" ")[-4:], 10, b""))
+    return out
+
+
+def states_of(context):
+    """The contexts that a place counts for, shortest first."""
+    out = [context[len(context) - k :] for k in range(1, min(4, len(context)) + 1)]
+    return out + ([context] if 5 <= len(context) else [])
+
+
+def brute_tree(texts):
+    """(order-0 probabilities, counts of contexts, retained contexts), by dictionaries."""
+    order0, counts = Counter(), {}
+    for t in texts:
+        for context, s, _ in symbols(t):
+            order0[s] += 1
+            for c in states_of(context):
+                counts.setdefault(c, Counter())[s] += 1
+    counts = {c: n for c, n in counts.items() if sum(n.values()) >= 2}
+    root = {s: (order0[s] + 0.5) / (sum(order0.values()) + 128) for s in range(256)}
+
+    def grows(c, states):
+        n = counts[c]
+        total = sum(n.values())
+        kl = sum(k / total * math.log(k / total / chain((root, counts), states, s)) for s, k in n.items())
+        return kl >= suffixtree.MIN_KL and kl * total >= suffixtree.DIVERGENCE + len(n)
+
+    kept = {c for c in counts if len(c) <= 6 and grows(c, [x for x in states_of(c) if x != c and x in counts])}
+    for k in (6, 5, 4, 3, 2):
+        kept |= {c[-min(k - 1, 4) :] for c in kept if len(c) == k and c[-min(k - 1, 4) :] in counts}
+    both = (root, counts)
+    kept |= {c for c in counts if len(c) > 6 and grows(c, [x for x in states_of(c[-4:]) if x in kept])}
+    return both, kept
+
+
+def chain(model, states, s):
+    p, counts = model[0][s], model[1]
+    for c in states:
+        n = counts[c]
+        p = (n[s] + len(n) * p) / (sum(n.values()) + len(n))
+    return p
+
+
+def brute_score(model, text):
+    both, kept = model
+    return sum(math.log10(chain(both, [c for c in states_of(context) if c in kept], s)) for context, s, _ in symbols(text))
 
 
 def test_tree_probabilities_sum_to_one():
-    windows, word = suffixtree.inner_windows(pa.array(["abcabc", "abcabd", "xyzzy"], pa.large_string()))
+    windows, word, _ = suffixtree.inner_windows(pa.array(["abcabc", "abcabd", "xyzzy"], pa.large_string()))
     counts = Counter(windows.tolist())
     entries, contexts = {}, {}
-    for k in range(suffixtree.DEPTH + 1):
+    for k in range(suffixtree.WINDOW):
         grams, ctx = Counter(), {}
         for w, n in counts.items():
-            if k == 0 or w >> (8 * k):
+            if k == 0 or w >> (8 * k) and (k <= suffixtree.DEPTH or w >> (8 * k) < 256):
                 key = w & ((1 << 8 * (k + 1)) - 1)
                 grams[key] += n
                 ctx.setdefault(key >> 8, Counter())[key & 255] += n
