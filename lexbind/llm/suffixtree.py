@@ -412,8 +412,8 @@ def fit_tree(blocks: DataFrame) -> Tree:
 
 
 def answers_of(words: DataFrame, vocabulary: DataFrame, tree: Tree, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(asker, idx, c, logp) for every (block, idx, word) of ``words``: training
-    count of the word and :func:`spell`.
+    """(asker, found) with idx, training count and :func:`spell` of every (block,
+    idx, word) of ``words``, packed by asker as far as a chunk has them together.
 
     Rows of a prefix arrive vocabulary first, so a task holds the vocabulary of
     one prefix at a time and passes the askers through.
@@ -440,7 +440,11 @@ def answers_of(words: DataFrame, vocabulary: DataFrame, tree: Tree, chunk_rows:
             which = part.filter(pa.array(asks))
             at = pc.index_in(which.column("word").combine_chunks(), lexicon[0]).to_numpy(zero_copy_only=False)
             open_ = lexicon if goes_on else None
-            return pa.RecordBatch.from_arrays([which.column("n").combine_chunks(), which.column("idx").combine_chunks(), pa.array(lexicon[1][at]), pa.array(lexicon[2][at])], ["asker", "idx", "c", "logp"])
+            askers, idx, c, logp = which.column("n").to_numpy(), which.column("idx").to_numpy(), lexicon[1][at], lexicon[2][at]
+            order = np.lexsort((idx, askers))
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(askers[order]) != 0, [True]])) if len(order) else np.zeros(1, np.int64)
+            packed = [_compress(idx[r].astype("<u4").tobytes() + c[r].astype("<i8").tobytes() + logp[r].astype("<f8").tobytes()) for r in (order[a:b] for a, b in zip(cuts[:-1], cuts[1:]))]
+            return pa.RecordBatch.from_arrays([pa.array(askers[order[cuts[:-1]]], pa.int64()), pa.array(packed, pa.binary())], ["asker", "found"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -466,7 +470,7 @@ def answers_of(words: DataFrame, vocabulary: DataFrame, tree: Tree, chunk_rows:
         release_memory()
 
     small_batches(words.sparkSession, 10_000)
-    return stored(dealt.mapInArrow(run, "asker long, idx int, c long, logp double"), "answers")
+    return stored(dealt.mapInArrow(run, "asker long, found binary"), "answers")
 
 
 def score_blocks(blocks: DataFrame, tree: Tree, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -492,8 +496,11 @@ def score_blocks(blocks: DataFrame, tree: Tree, chunk_rows: int = CHUNK_ROWS) ->
         edges = np.frombuffer(_expand(payloads[at].as_py()), "<u4").astype(np.uint64)
         head, tail = edges[:n], edges[n:]
         c, inner = np.zeros(n), np.zeros(n)
-        idx = found.column("idx").to_numpy()
-        c[idx], inner[idx] = found.column("c").to_numpy(), found.column("logp").to_numpy()
+        for packed in found.column("found"):
+            raw = _expand(packed.as_py())
+            m = len(raw) // 20
+            idx = np.frombuffer(raw, "<u4", m)
+            c[idx], inner[idx] = np.frombuffer(raw, "<i8", m, 4 * m), np.frombuffer(raw, "<f8", m, 12 * m)
         scale = all_n + 0.1 * (distinct + 1)
         base_of = np.log10((c + 0.1) / scale) if all_n else np.zeros(n)
         end_base = math.log10((ends + 0.1) / scale) if all_n else 0.0
