@@ -50,6 +50,35 @@ def drop_stored(df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: A key with this share of a side's rows is hot; at most 1 / HOT_SHARE keys are.
+HOT_SHARE = 1 / 256
+#: Parts that a hot key's rows are dealt to.
+HOT_PARTS = 32
+
+
+def hot_safe_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", count: str | None = None, of: DataFrame | None = None) -> DataFrame:
+    """``left`` joined on ``key`` with ``right``, which has a row a key at most.
+
+    Rows of ``left`` whose key is hot are dealt to HOT_PARTS parts, and the key's
+    row of ``right`` is copied to them.  ``count`` names a column of ``right``
+    with the key's rows in ``left``, which saves counting them; ``of`` is a table
+    with ``left``'s rows by key that is cheaper to count.  The hot keys are
+    1 / HOT_SHARE at most, and only they reach the driver.
+    """
+    of = left if of is None else of
+    if count:
+        counted = right.select(F.col(key).alias("_hot"), F.col(count).alias("_n"))
+    else:
+        counted = of.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
+    total = (counted.agg(F.sum("_n")).first()[0] or 0) if count else of.count()
+    hot = [r[0] for r in counted.where(F.col("_n") > max(1000, total * HOT_SHARE)).select("_hot").limit(math.ceil(1 / HOT_SHARE)).collect() if r[0] is not None]
+    if not hot:
+        return left.join(right, key, how)
+    part = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*left.columns), F.lit(HOT_PARTS))).otherwise(0)
+    parts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(HOT_PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return left.withColumn("_part", part).join(right.withColumn("_part", F.explode(parts)), [key, "_part"], how).drop("_part")
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files that no frame can read again:
     it follows the driver's garbage collection, which is otherwise rare."""

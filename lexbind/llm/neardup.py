@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexbind.llm.common import release_memory, small_batches, stored, table
+from lexbind.llm.common import drop_stored, free_shuffles, hot_safe_join, release_memory, small_batches, stored, table
 
 WIDTH, PERCENT = 5, 75
 SKETCH = 64
@@ -98,7 +98,8 @@ def _set_key(s: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key (of the whole set) and sketch (ascending) of every row."""
+    """doc_id, digest (of the text), n, key (of the whole set) and sketch
+    (ascending) of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
@@ -107,12 +108,17 @@ def sketches(docs: DataFrame) -> DataFrame:
             heads = [s[:SKETCH] for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             values = np.concatenate(heads) if heads else np.zeros(0, np.int64)
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([_set_key(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "sketch"])
+            columns = [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int32()), pa.array([_set_key(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "key", "sketch"])
         del cache
         release_memory()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n int, key binary, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest()).mapInArrow(rows, "doc_id long, digest long, n int, key binary, sketch array<long>")
+
+
+def digest() -> Column:
+    """Hash of the text: with the id it tells rows apart, up to equal ones."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest")
 
 
 def with_group(df: DataFrame, key: Column, spread: Column, **aggs: tuple[Column, str]) -> DataFrame:
@@ -143,19 +149,25 @@ def components(edges: DataFrame) -> DataFrame:
         parent = stored(ends.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "hooks")
         while True:
             up = parent.select(F.col("id").alias("root"), F.col("root").alias("_next"))
-            jumped = stored(parent.join(up, "root").select("id", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("moved")), "hooks")
-            parent = jumped.select("id", "root")
-            if jumped.where("moved").isEmpty():
+            jumped = hot_safe_join(parent.select("id", "root"), up, "root").select("id", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("moved"))
+            before, parent = parent, stored(jumped, "hooks")
+            drop_stored(before)
+            if parent.where("moved").isEmpty():
                 break
+        parent = parent.select("id", "root")
         if label is None:
             label = parent
         else:
             ups = parent.select(F.col("id").alias("root"), F.col("root").alias("_next"))
-            moved = label.join(ups, "root", "left").select("id", F.coalesce("_next", "root").alias("root"))
-            label = stored(moved, "labels")
+            moved = hot_safe_join(label, ups, "root", "left").select("id", F.coalesce("_next", "root").alias("root"))
+            before, label = label, stored(moved, "labels")
+            drop_stored(before)
         ra = parent.select(F.col("id").alias("a"), F.col("root").alias("ra"))
         rb = parent.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        live = stored(live.join(ra, "a").join(rb, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct(), "edges")
+        moved = hot_safe_join(hot_safe_join(live, ra, "a"), rb, "b", of=live)
+        before, live = live, stored(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct(), "edges")
+        drop_stored(before)
+    drop_stored(live)
     if label is None:
         return edges.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
     return label.select("id", F.col("root").alias("component"))
@@ -172,9 +184,10 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, roles: DataFrame) -> DataFrame:
-    """(a, chunk, id, set) for every role (id, a, chunk): full sets of nodes in
-    the groups they belong to; a text is read once for all its roles."""
+def _sets(docs: DataFrame, nodes: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((a, chunk, id, set) for every role (id, a, chunk), a stored table that it
+    reads): full sets of nodes in the groups they belong to; a text is read once
+    for all its roles."""
     roles = roles.groupBy("id").agg(F.collect_list(F.struct("a", "chunk")).alias("roles"))
     roles = stored(roles.join(nodes.select("id", F.col("doc_id").alias("_doc"), "key"), "id"), "roles")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -204,11 +217,11 @@ def _sets(docs: DataFrame, nodes: DataFrame, roles: DataFrame) -> DataFrame:
         del cache
         release_memory()
 
-    return inputs.mapInArrow(spread, "a long, chunk long, id long, set binary")
+    return inputs.mapInArrow(spread, "a long, chunk long, id long, set binary"), roles
 
 
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a stored table whose full sets reach the threshold."""
+    """The pairs (a, b) of a stored table whose full sets reach the threshold, stored."""
     grouped = with_group(pairs, F.col("a"), F.col("b"), _c=(F.lit(1), "sum"))
     grouped = grouped.withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("_c") / FAN))).select("a", "b", "chunk")
     roles = grouped.select(F.col("b").alias("id"), "a", "chunk").union(grouped.select(F.col("a").alias("id"), "a", "chunk").distinct())
@@ -224,7 +237,10 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                     out.append(b)
         return pa.table([pa.array([a] * len(out), pa.int64()), pa.array(out, pa.int64())], names=["a", "b"])
 
-    return _sets(docs, nodes, roles).groupBy("a", "chunk").applyInArrow(decide, "a long, b long")
+    sets, used = _sets(docs, nodes, roles)
+    out = stored(sets.groupBy("a", "chunk").applyInArrow(decide, "a long, b long"), "links")
+    drop_stored(used)
+    return out
 
 
 def _common(owners: np.ndarray, values: np.ndarray, rows: int, minor: np.ndarray) -> np.ndarray:
@@ -306,7 +322,10 @@ def _bucket_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataF
                     b.append(int(ids[q]))
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _sets(docs, nodes, groups.select("id", "a", "chunk")).groupBy("a", "chunk").applyInArrow(exact, "a long, b long")
+    sets, used = _sets(docs, nodes, groups.select("id", "a", "chunk"))
+    out = stored(sets.groupBy("a", "chunk").applyInArrow(exact, "a long, b long"), "links")
+    drop_stored(used)
+    return out
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
@@ -322,47 +341,102 @@ def _keys(nodes: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, n, node; labels: id, component of linked nodes)."""
-    small_batches(docs.sparkSession)
+    """(stored rows: doc_id, digest, n, tag, node and more; labels: id, component
+    of linked nodes)."""
+    spark = docs.sparkSession
+    small_batches(spark)
     base = stored(sketches(docs).withColumn("tag", F.monotonically_increasing_id()), "sketches")
     lead = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "tag")
     full = with_group(base.where("key is not null"), F.col("key"), F.col("tag"), lead=(lead, "min"))
-    full = stored(full.select("doc_id", "n", "key", "tag", F.col("lead.tag").alias("node"), F.when(F.col("lead.tag") == F.col("tag"), F.col("sketch")).alias("sketch")), "rows")
-    rows = full.select("doc_id", "n", "node").union(base.where("key is null").select("doc_id", "n", F.col("tag").alias("node")))
-    nodes = full.where("tag = node").select(F.col("node").alias("id"), "doc_id", "n", "key", "sketch")
+    full = full.select("doc_id", "digest", "n", "key", "tag", F.col("lead.tag").alias("node"), F.when(F.col("lead.tag") == F.col("tag"), F.col("sketch")).alias("sketch"))
+    alone = base.where("key is null").select("doc_id", "digest", "n", "key", "tag", F.col("tag").alias("node"), "sketch")
+    rows = stored(full.union(alone), "rows")
+    drop_stored(base)
+    nodes = rows.where("tag = node and key is not null").select(F.col("node").alias("id"), "doc_id", "n", "key", "sketch")
 
     keys = _keys(nodes)
     shared = keys.groupBy("g").agg(F.count("*").alias("c"), F.min("id").alias("first")).where("c > 1")
-    lists = stored(keys.join(shared, "g"), "lists")
+    shared = stored(shared, "shared")
+    lists = stored(hot_safe_join(keys, shared, "g", count="c"), "lists")
+    drop_stored(shared)
+    free_shuffles(spark)
     few = lists.where(F.col("c") <= DIRECT)
     all_pairs = few.alias("x").join(few.alias("y"), "g").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     large = lists.where(F.col("c") > DIRECT)
     stars = large.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     pairs = stored(_estimated(all_pairs.union(stars).distinct(), nodes), "pairs")
-    edges = stored(verify(docs, nodes, pairs), "links")
+    free_shuffles(spark)
+    edges = verify(docs, nodes, pairs)
+    drop_stored(pairs)
     labels = components(edges)
+    free_shuffles(spark)
 
     # Large lists that are not one component.
     firsts = labels.select(F.col("id").alias("first"), F.col("component").alias("_fc"))
-    marked = large.join(labels, "id", "left").join(firsts, "first", "left")
+    marked = hot_safe_join(large.join(labels, "id", "left"), firsts, "first", "left", of=large)
     marked = marked.select("g", "id", F.coalesce("_fc", "first").alias("a"), (F.coalesce("component", "id") != F.coalesce("_fc", "first")).alias("minor"))
-    mixed = marked.where("minor").select("g").distinct()
-    members = stored(marked.join(mixed, "g", "left_semi").select("a", "id", "minor").distinct(), "members")
+    marked = stored(marked, "marked")
+    drop_stored(lists)
+    mixed = marked.groupBy("g").agg(F.max("minor").alias("mixed"), F.count("*").alias("c")).where("mixed")
+    members = stored(hot_safe_join(marked, stored(mixed, "mixed"), "g", count="c").select("a", "id", "minor").distinct(), "members")
+    drop_stored(marked)
+    free_shuffles(spark)
     if members.isEmpty():
+        drop_stored(edges)
         return rows, labels
     near = stored(_near_members(_blocked(members), nodes), "near")
+    free_shuffles(spark)
     if near.isEmpty():
+        drop_stored(edges)
         return rows, labels
-    more = stored(_bucket_links(docs, nodes, _blocked(members.join(near, ["a", "id"], "left_semi"))), "links")
-    return rows, labels if more.isEmpty() else components(edges.union(more))
+    more = _bucket_links(docs, nodes, _blocked(members.join(near, ["a", "id"], "left_semi")))
+    drop_stored(members)
+    drop_stored(near)
+    if not more.isEmpty():
+        labels = components(edges.union(more))
+    drop_stored(edges)
+    drop_stored(more)
+    free_shuffles(spark)
+    return rows, labels
+
+
+def _decided(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, n, component_id and stay (one row of each component: the
+    first of those with the smallest id; null ids last)."""
+    rows, labels = link(docs)
+    grouped = hot_safe_join(rows.select("doc_id", "digest", "n", "tag", F.col("node").alias("id")), labels, "id", "left")
+    lead = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "tag")
+    out = with_group(grouped, F.coalesce("component", "id"), F.col("tag"), component_id=(F.col("doc_id"), "min"), lead=(lead, "min"))
+    return out.select("doc_id", "digest", "n", "component_id", (F.col("lead.tag") == F.col("tag")).alias("stay"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    rows, labels = link(docs)
-    grouped = rows.join(labels, rows.node == labels.id, "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("_c"))
-    out = with_group(grouped, F.col("_c"), F.coalesce("doc_id", F.lit(0)), component_id=(F.col("doc_id"), "min"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return _decided(docs).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all columns of ``docs``: that with the
+    smallest id.  Of rows with equal ids and texts one stays (the one whose other
+    columns hash lowest); rows with equal ids and different texts are judged one
+    by one; of a component without ids one row stays."""
+    names = docs.columns
+    decided = stored(_decided(docs), "decided")
+    each = decided.groupBy("doc_id", "digest").agg(F.max("stay").alias("stay"), F.count("*").alias("c"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("_id"), digest().alias("_digest"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)])
+
+    def by_row(rows: DataFrame) -> Column:
+        return marked["_id"].eqNullSafe(rows["doc_id"]) & (marked["_digest"] == rows["digest"])
+
+    gone, twice = each.where("not stay"), each.where("stay and c > 1")
+    kept = marked.join(gone, by_row(gone), "left_anti")
+    if not twice.isEmpty():
+        one = kept.join(twice, by_row(twice), "left_semi").groupBy("_id", "_digest")
+        plain = [f"_k{i}" for i, f in enumerate(docs.schema) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        whole = F.struct(*[F.col(f"_k{i}") for i in range(len(names))])
+        one = one.agg(F.min_by(whole, F.xxhash64(*plain)).alias("_row")).select("_row.*")
+        kept = kept.join(twice, by_row(twice), "left_anti").select(*one.columns).union(one)
+    return kept.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op5_bottomk_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

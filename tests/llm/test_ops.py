@@ -343,6 +343,45 @@ def test_near_duplicate_clusters(spark):
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in out) == brute_components(rows)
 
 
+@pytest.mark.parametrize("size", [20, 60, 100, 1000])
+def test_recall_at_the_threshold(spark, size):
+    """Pairs whose sets have exactly or hardly more than the least similarity."""
+    r, texts, want = random.Random(size), [], {}
+    for k in range(40):
+        words = [f"w{r.randrange(10**9)}" for _ in range(size + 4)]
+        other = list(words)
+        # Changing a run of words at the end changes as many shingles.
+        changed = (size + 2) // 8 if k % 2 else (size - 1) // 7
+        other[-changed:] = [f"x{r.randrange(10**9)}" for _ in range(changed)]
+        a, b = (set(zip(*[w[i:] for i in range(5)])) for w in (words, other))
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        want[2 * k + 1] = 2 * k if 100 * len(a & b) >= 75 * len(a | b) else 2 * k + 1
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()}
+    assert {k: out[k] for k in want} == want and any(k != v for k, v in want.items())
+
+
+def test_hot_safe_join(spark):
+    from lexbind.llm.common import hot_safe_join
+
+    left = spark.createDataFrame([(i, i if i % 3 else -1) for i in range(6000)] + [(-5, None)], "id long, k long")
+    right = spark.createDataFrame([(-1, 7)] + [(i, i) for i in range(0, 6000, 2)], "k long, v long")
+    for how in ("inner", "left"):
+        got, want = (sorted(map(tuple, d.select("id", "k", "v").fillna(-9).collect())) for d in (hot_safe_join(left, right, "k", how), left.join(right, "k", how)))
+        assert got == want
+
+
+def test_one_of_each(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(5, a, 1), (5, a, 2), (5, b, 3), (7, b, 4), (None, a, 5), (None, prose(3, 60), 6), (None, prose(3, 60), 7), (9, None, 8), (9, "", 9), (None, None, 10)]
+    df = spark.createDataFrame([(*r, {"m": 1}, 0, 0) for r in rows], "doc_id long, text string, kept int, tag map<string,int>, stay int, _id int")
+    out = neardup.one_of_each(df)
+    assert out.columns == df.columns
+    got = sorted((str(r.doc_id), r.text or "", r.kept) for r in out.collect())
+    assert [g[:2] for g in got] == sorted([("5", a), ("5", b), ("None", prose(3, 60)), ("9", ""), ("None", "")])
+    assert neardup.one_of_each(df.limit(0)).count() == 0
+
+
 # 6 ---------------------------------------------------------------------------
 
 
