@@ -467,6 +467,49 @@ def test_decontamination_of_common_passages(spark):
     assert {r.doc_id for r in latent.clean(few, bench).collect()} == {4, 5, 7}
 
 
+def test_decontamination_rows_and_blocks(spark, monkeypatch):
+    """Rows are judged one by one, over several blocks of items; no shared word, ties, long and short texts."""
+    items = [(i, prose(500 + i, 30)) for i in range(5)] + [(7, "one two three"), (8, prose(503, 30))]
+    rows = [(1, prose(1, 80) + " " + items[0][1]), (1, "#"), (None, items[1][1]), (None, "nothing"), (2, prose(3, 20000) + " " + items[2][1] + " " + prose(4, 20000))]
+    rows += [(3, "one gap two three"), (4, "say: One, two three."), (5, items[3][1]), (6, None), (6, "")]
+    df = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "doc_id long, text string, item_ids int, share int, _items int").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([("1", [0]), ("1", []), ("None", [1]), ("None", []), ("2", [2]), ("3", []), ("4", [7]), ("5", [3, 8]), ("6", []), ("6", [])])
+    for block in (5000, 2):
+        monkeypatch.setattr(latent, "ITEM_BLOCK", block)
+        assert sorted((str(r.doc_id), list(r.item_ids)) for r in latent.decontaminate(df, bench).collect()) == want
+        kept = latent.clean(df, bench)
+        assert kept.columns == df.columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(k for k, v in want if not v)
+    # No document has a word of the benchmark.
+    odd = spark.createDataFrame([(1, "?!"), (2, "zzz yyy")], "doc_id long, text string")
+    assert latent.decontaminate(odd, bench).where("contaminated").count() == 0
+
+
+def test_retrieval_against_brute_force(spark):
+    """Recall over planted copies with a growing share of changed words: whatever
+    the subsequence and answer checks confirm anywhere in a text must be found."""
+    r = random.Random(5)
+    items = [(i, prose(700 + i, r.randint(15, 60))) for i in range(60)]
+    texts = []
+    for i in range(150):
+        words = items[i % 60][1].split()
+        changed = [w if r.random() > i % 6 * 0.1 else prose(10**6 + i, 1) for w in words]
+        texts.append((i, f"{prose(2000 + i, 90)} {' '.join(changed)} {prose(4000 + i, 40)}"))
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(row.doc_id, i) for row in latent.decontaminate(df, bench).collect() for i in row.item_ids}
+    (block,) = latent.item_blocks(bench)
+    block.weigh(*latent.document_frequencies(df, block))
+    want = set()
+    for d, t in texts:
+        codes, _ = latent._coded(pa.array([t]), block.index)
+        for k, item in enumerate(block.codes):
+            masks = {c: sum(1 << j for j, x in enumerate(item.tolist()) if x == c) for c in set(item.tolist())}
+            if any(latent.confirmed(codes[a : a + 16 * 4 + 16], item, masks, block.answers[k]) for a in range(0, len(codes), 16)):
+                want.add((d, k))
+    assert len(want & found) >= 0.95 * len(want) and len(want) > 90
+
+
 def test_lcs():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
