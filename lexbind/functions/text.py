@@ -11,6 +11,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -85,20 +86,19 @@ def lexicon_script(c: Column | str) -> Column:
 
 
 #: Punctuation that lexicon phrases keep (fixed values).
-LEXICON_MARKS = r" .,;:!?&%()+/'№°-"
+LEXICON_MARKS = ".,'’&+%°/:-()№"
 
 
 def lexicon_clean(c: Column | str) -> Column:
-    """A phrase for the lexicon: control characters, odd dashes and quotes
-    unified, other marks to spaces, unbalanced parentheses removed, outer marks off."""
-    t = F.regexp_replace(_col(c), r"[\x00-\x1F\x7F ]", " ")
-    t = F.translate(t, "‐‑‒–—−", "------")
-    t = F.translate(t, "“”„«»‘’`", '"""""' + "'''")
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}" + LEXICON_MARKS.replace("-", r"\-") + "]", " ")
+    """A phrase for the lexicon: control characters to spaces, long dashes and
+    back ticks unified, other marks to spaces, unbalanced parentheses removed,
+    outer marks off; null to empty."""
+    t = F.translate(F.regexp_replace(_col(c), r"[\x00-\x1F\x7F\x{A0}]", " "), "–—−`", "---'")
+    t = F.regexp_replace(t, r"[^\p{L}\p{N}\s\Q" + LEXICON_MARKS + r"\E]", " ")
     opened = F.length(t) - F.length(F.replace(t, F.lit("("), F.lit("")))
     closed = F.length(t) - F.length(F.replace(t, F.lit(")"), F.lit("")))
     t = F.when(opened == closed, t).otherwise(F.regexp_replace(t, r"[()]", " "))
-    return F.regexp_replace(collapse(t), r"^[ .,:;/\-]+|[ .,:;/\-]+$", "")
+    return F.coalesce(F.btrim(collapse(t), F.lit(" .,:;-/")), F.lit(""))
 
 
 def vocabulary_clean(c: Column | str) -> Column:
@@ -114,10 +114,10 @@ def is_usable(c: Column | str, least: int = 2) -> Column:
 
 
 def chunk_phrase(c: Column | str, most: int) -> Column:
-    """A phrase as it is if short enough, else its segments packed word by word
-    into chunks of at most ``most`` characters; over-long words are dropped and
-    end the current chunk."""
-    t = _col(c)
+    """A cleaned phrase as it is if short enough, else its cleaned segments, long
+    ones packed word by word into chunks of at most ``most`` characters, as far
+    as they are usable; over-long words are dropped and end the current chunk."""
+    t = lexicon_clean(c)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
     def flushed(acc: Column) -> Column:
@@ -131,41 +131,46 @@ def chunk_phrase(c: Column | str, most: int) -> Column:
             .otherwise(F.struct(flushed(acc).alias("done"), w.alias("cur")))
         )
 
-    segments = F.transform(F.split(t, r"[,;|]| [/\-] "), lambda s: tokens(collapse(s)))
-    packed = F.flatten(F.transform(segments, lambda ws: F.aggregate(ws, start, step, flushed)))
-    return F.filter(F.when(F.length(t) <= most, F.array(t)).otherwise(packed), lambda p: is_usable(p))
+    segments = F.transform(F.split(t, r"[,;|]|\s+[/\-]\s+"), lambda s: tokens(lexicon_clean(s)))
+    packed = F.filter(F.flatten(F.transform(segments, lambda ws: F.aggregate(ws, start, step, flushed))), lambda p: is_usable(p))
+    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= most, F.array(t)).otherwise(packed)
 
 
 def strip_suffix(c: Column | str, suffixes: list[str]) -> Column:
-    """Remove the first of the suffixes, longest first, that ends the text after
-    optional marks, ignoring case, if something remains."""
-    t = _col(c)
+    """The cleaned text without the first of the suffixes, longest first, that
+    ends it, ignoring case, with a mark and spaces before it if there are any;
+    something must remain."""
+    t = lexicon_clean(c)
     out = F.lit(None).cast("string")
     for s in sorted(suffixes, key=lambda s: (-len(s), s)):
-        rest = F.regexp_replace(t, r"(?iu)[\s,.\-]+\Q" + s + r"\E$", "")
-        out = F.coalesce(out, F.when((rest != t) & (F.trim(rest) != ""), F.trim(rest)))
+        ending = lexicon_clean(F.lit(s))
+        pattern = F.concat(F.lit(r"(?ius)^(.+?)[,.\-]?\s*\Q"), ending, F.lit(r"\E$"))
+        rest = F.nullif(F.call_function("regexp_extract", t, pattern, F.lit(1)), F.lit(""))
+        out = F.coalesce(out, F.when(ending != "", F.btrim(rest, F.lit(" ,.-"))))
     return F.coalesce(out, t)
 
 
 def without_style(name: Column | str, styles: Column | str) -> Column:
-    """The name without the longest style that ends it (by key), or null if none
-    does or too little remains."""
-    n, k = _col(name), key(name)
-    ordered = F.array_sort(_col(styles), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    ending = F.filter(ordered, lambda s: (key(s) != "") & F.endswith(k, F.concat(F.lit(" "), key(s))))
-    words = F.split(collapse(n), " ")
-    cut = F.try_element_at(ending, F.lit(1))
-    left = F.slice(words, F.lit(1), F.greatest(F.size(words) - F.size(F.split(collapse(cut), " ")), F.lit(0)))
-    text = F.regexp_replace(F.array_join(left, " "), r"[\s,.;:\-]+$", "")
-    return F.when(cut.isNotNull() & (F.length(key(text)) >= 4), text)
+    """The name without a style that ends it (by key): the longest key first, the
+    first that leaves enough; null if none does."""
+    words = tokens(collapse(_col(name)))
+    ordered = F.array_sort(F.transform(_col(styles), lambda s, i: F.struct((-F.length(key(s))).alias("n"), i.alias("i"), s.alias("s"))))
+    ending = F.filter(ordered, lambda x: (x["n"] < 0) & F.endswith(key(name), F.concat(F.lit(" "), key(x["s"]))))
+
+    def left(x: Column) -> Column:
+        rest = F.slice(words, F.lit(1), F.greatest(F.size(words) - F.size(tokens(collapse(x["s"]))), F.lit(0)))
+        return F.rtrim(F.array_join(rest, " "), F.lit(" ,.;-–—"))
+
+    return F.try_element_at(F.filter(F.transform(ending, left), lambda r: F.length(key(r)) >= 4), F.lit(1))
 
 
 def name_from_slug(c: Column | str) -> Column:
-    """Words of a slug, or null if it is no plain slug or says too little."""
-    t = _col(c)
+    """Words of a slug (outer slashes do not count), or null if it is no plain
+    slug or says too little."""
+    t = F.btrim(display(c), F.lit("/ "))
     words = F.translate(t, "_-", "  ")
-    good = t.rlike(r"^[A-Za-z0-9_\-]+$") & (F.length(key(words)) >= 6) & (F.size(tokens(key(words))) >= 2)
-    return F.when(good, collapse(words))
+    good = t.rlike(r"^[A-Za-z0-9_\-]+$") & (F.length(key(words)) >= 6) & (F.size(tokens(collapse(words))) >= 2)
+    return F.when(good, words)
 
 
 def nested_name(variant: Column | str) -> Column:
@@ -190,12 +195,12 @@ def duplicate_key(c: Column | str) -> Column:
 
 def collapse_repeats(c: Column | str) -> Column:
     """Drop words whose duplicate key equals that of the word kept before."""
-
-    def step(acc: Column, w: Column) -> Column:
-        same = (F.size(acc) > 0) & (duplicate_key(w) != "") & (duplicate_key(w) == duplicate_key(F.try_element_at(acc, F.lit(-1))))
-        return F.when(same, acc).otherwise(F.array_append(acc, w))
-
-    return F.array_join(F.aggregate(tokens(collapse(c)), F.array().cast("array<string>"), step), " ")
+    words = tokens(collapse(c))
+    keys = F.transform(words, duplicate_key)
+    # The word kept last has the key of the word before, kept or not.
+    rows = F.arrays_zip(words.alias("w"), keys.alias("k"), F.concat(F.array(F.lit(None).cast("string")), keys).alias("p"))
+    kept = F.filter(rows, lambda x: x["w"].isNotNull() & ((x["k"] == "") | ~x["k"].eqNullSafe(x["p"])))
+    return F.array_join(F.transform(kept, lambda x: x["w"]), " ")
 
 
 def allowed_script(c: Column | str, multilingual: bool = True) -> Column:
@@ -272,33 +277,25 @@ def join_url(base: str, c: Column | str) -> Column:
 
 # Exact forms ------------------------------------------------------------------
 
+_WORDS = regex.compile(r"[^\W_]+")
+#: Marks that stand on a Latin letter.
+_LATIN_MARKS = regex.compile(r"(?<=\p{Latin}\p{M}*)\p{M}")
+
 
 def display_text(value: str | None) -> str:
     """Exact printable text of any Unicode string."""
-    if not isinstance(value, str):
-        return ""
-    composed = unicodedata.normalize("NFC", value)
-    return " ".join("".join(" " if unicodedata.category(ch)[0] == "C" else ch for ch in composed).split())
+    return " ".join(regex.sub(r"\p{C}", " ", unicodedata.normalize("NFC", value or "")).split())
 
 
 def exact_key(value: str | None) -> str:
-    """Exact search key."""
-    folded = unicodedata.normalize("NFKC", display_text(value)).casefold().replace("ё", "е")
-    return " ".join("".join(ch if ch.isalnum() else " " for ch in folded).split())
+    """Exact search key: the words of the folded text."""
+    return " ".join(_WORDS.findall(unicodedata.normalize("NFKC", display_text(value)).casefold().replace("ё", "е")))
 
 
 def exact_accentless(k: str) -> str:
-    """A key without the marks that follow Latin base letters."""
-    text = "".join(UNDECOMPOSED.get(ch, ch) for ch in k)
-    out, latin = [], False
-    for ch in unicodedata.normalize("NFKD", text):
-        if unicodedata.combining(ch):
-            if latin:
-                continue
-        else:
-            latin = "LATIN" in unicodedata.name(ch, "")
-        out.append(ch)
-    return exact_key(unicodedata.normalize("NFC", "".join(out)))
+    """A key without the marks that stand on Latin letters."""
+    apart = unicodedata.normalize("NFKD", k.translate(str.maketrans(UNDECOMPOSED)))
+    return exact_key(unicodedata.normalize("NFC", _LATIN_MARKS.sub("", apart)))
 
 
 @F.pandas_udf(StructType([StructField(c, StringType()) for c in ("display", "key", "accent")]))

@@ -58,7 +58,7 @@ def record(raw: Column | str) -> dict[str, Column]:
         )
     )
     alcohol = F.try_variant_get(v, "$.detailed_metadata.alcohol", "double")
-    truth = F.schema_of_variant(F.try_variant_get(v, "$.detailed_metadata.alcohol", "variant")) == "BOOLEAN"
+    number = ~F.schema_of_variant(F.try_variant_get(v, "$.detailed_metadata.alcohol", "variant")).isin("BOOLEAN", "STRING")
     return {
         "id": text("$.scraped_id"),
         "name": name,
@@ -68,34 +68,32 @@ def record(raw: Column | str) -> dict[str, Column]:
         "color": first_text(text("$.color")),
         "grapes": grapes,
         "year": T.catalog_year(text("$.year")),
-        "alcohol_percent": F.when(~F.coalesce(truth, F.lit(False)) & (alcohol > 0) & (alcohol < 30), alcohol),
+        "alcohol_percent": F.when(number & (alcohol > 0) & (alcohol < 30), alcohol),
         "slug": first_text(text("$.detailed_metadata.slug"), text("$.raw_metadata.slug")),
         "image_url": first_text(text("$.remote_image_url")),
-        "_titles": F.array(text("$.name"), text("$.raw_metadata.title"), text("$.detailed_metadata.title")),
+        "_raw_title": text("$.raw_metadata.title"),
+        "_detailed_title": text("$.detailed_metadata.title"),
     }
 
 
-def admitted_aliases(titles: Column, styles: Column, slug: Column) -> Column:
-    """Aliases (text, key, source) of titles, names without a style and slug
-    names: long enough, first source of a key wins."""
+def admitted_aliases(name: Column, raw_title: Column, detailed_title: Column, styles: Column, slug: Column) -> Column:
+    """Aliases (text, key, source): the titles, the name without a style, the
+    slug's words; long enough, first source of a key wins."""
     empty = F.array().cast("array<struct<text:string,key:string,source:string>>")
-
-    def entry(t: Column, source: str) -> Column:
-        return F.struct(T.display(t).alias("text"), T.key(t).alias("key"), F.lit(source).alias("source"))
-
-    titled = F.filter(F.transform(titles, lambda t: entry(t, "title")), lambda a: F.length(a["key"]) >= TITLE_KEY)
-    derived = F.filter(F.transform(titles, lambda t: entry(T.without_style(t, styles), "derived")), lambda a: F.length(a["key"]) >= DERIVED_KEY)
-    slugged = F.filter(F.array(entry(T.name_from_slug(slug), "slug")), lambda a: F.length(a["key"]) >= DERIVED_KEY)
-    return F.aggregate(F.concat(titled, derived, slugged), empty, lambda acc, a: F.when(F.exists(acc, lambda x: x["key"] == a["key"]), acc).otherwise(F.array_append(acc, a)))
+    sources = [("name", name, TITLE_KEY), ("raw_title", raw_title, TITLE_KEY), ("detailed_title", detailed_title, TITLE_KEY)]
+    sources += [("name_without_style", T.without_style(name, styles), DERIVED_KEY), ("slug", T.name_from_slug(slug), DERIVED_KEY)]
+    entries = F.array(*[F.when(F.length(T.key(t)) >= least, F.struct(T.display(t).alias("text"), T.key(t).alias("key"), F.lit(source).alias("source"))) for source, t, least in sources])
+    return F.aggregate(F.array_compact(entries), empty, lambda acc, a: F.when(F.exists(acc, lambda x: x["key"] == a["key"]), acc).otherwise(F.array_append(acc, a)))
 
 
 def build_catalog(raw: DataFrame, column: str = "raw") -> DataFrame:
     """Catalog rows of raw metadata (a VARIANT column); rows without id or name fail."""
     shaped = record(column)
     rows = raw.select(*[c.alias(k) for k, c in shaped.items()])
-    rows = rows.withColumn("aliases", admitted_aliases(F.col("_titles"), F.col("style"), F.col("slug"))).drop("_titles")
-    search = F.array_join(F.array_compact(F.concat(F.transform("aliases", lambda a: a["text"]), F.array("producer", "region"), F.col("grapes"), F.col("style"))), " ")
-    rows = rows.withColumns({"schema_version": F.lit(VERSION), "search_text": T.key(search), "source": F.lit(None).cast("string")})
+    aliases = admitted_aliases(F.col("name"), F.col("_raw_title"), F.col("_detailed_title"), F.col("style"), F.col("slug"))
+    rows = rows.withColumn("aliases", aliases).drop("_raw_title", "_detailed_title")
+    described = T.distinct_text(F.concat(F.array("name", "producer"), F.col("grapes"), F.array("region"), F.col("style")))
+    rows = rows.withColumns({"schema_version": F.lit(VERSION), "search_text": F.array_join(described, " | "), "source": F.lit(None).cast("string")})
     require_none(rows.where("id is null or name is null").select("id", "name"), "records without id or name")
     require_none(duplicate_keys(rows, "id"), "duplicate ids")
     return rows

@@ -44,7 +44,7 @@ def catalog_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "name", "producer", F.array_join("style", "|").alias("style"), F.array_join("grapes", "|").alias("grapes"), F.col("year").cast("long").alias("year"), F.col("alcohol_percent").alias("alcohol"), "slug")
 
 
-@query(f"SELECT CAST(p_partkey AS VARCHAR) AS id, 'title' AS source, p_name AS text, {KEY('p_name')} AS key FROM part")
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS id, 'name' AS source, p_name AS text, {KEY('p_name')} AS key FROM part")
 def alias_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.build_catalog(_raw(spark, sf_dir)).select("id", F.explode("aliases").alias("a"))
     return rows.select("id", "a.source", "a.text", "a.key")

@@ -7,22 +7,17 @@ from pyspark.sql import functions as F
 
 from lexbind.functions import text as T
 
-#: Words of a text line that count as the printed line in queries with SQL (whose
-#: SQL has the same); the others read whole lines.
-PRINTED_WORDS = 5
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def printed_lines(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(obs_id long, line_idx, text, pct): each line's first words, or ``whole``
-    lines; a derived confidence in percent."""
+def printed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(obs_id long, line_idx, text, pct): each document's lines, with one space
+    between words, and a derived confidence in percent."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
     words = F.filter(F.split("line", " "), lambda w: w != "")
-    printed = words if whole else F.slice(words, 1, PRINTED_WORDS)
-    rows = rows.select("doc_id", F.col("line_idx").cast("long").alias("line_idx"), F.array_join(printed, " ").alias("text")).where("text <> ''")
+    rows = rows.select("doc_id", F.col("line_idx").cast("long").alias("line_idx"), F.array_join(words, " ").alias("text")).where("text <> ''")
     return rows.select(F.col("doc_id").alias("obs_id"), "line_idx", "text", ((F.col("doc_id") * 31 + F.col("line_idx") * 17) % 41 + 60).alias("pct"))
 
 
@@ -66,10 +61,10 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("obs_id", "box_id", r.alias("r"), F.lit(500).alias("image_w"), F.lit(100).alias("image_h"))
 
 
-def readings(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(obs_id, crop_index, pass_index, text, char_conf): three passes over each
-    printed (or ``whole``) line; passes misread by rule, confidences are derived."""
-    rows = printed_lines(spark, sf_dir, whole).withColumnsRenamed({"line_idx": "crop_index"}).select("obs_id", "crop_index", "text", "pct", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("pass_index"))
+    line; passes misread by rule, confidences are derived."""
+    rows = printed_lines(spark, sf_dir).withColumnsRenamed({"line_idx": "crop_index"}).select("obs_id", "crop_index", "text", "pct", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("pass_index"))
     odd = (F.col("obs_id") + F.col("crop_index") * 3 + F.col("pass_index") * 5) % 7
     text = F.when(odd == 0, F.translate("text", "e", "c")).when(odd == 1, F.translate("text", "o", "0")).otherwise(F.col("text"))
     n = F.length(F.regexp_replace("text", r"(?U)\s", ""))

@@ -54,9 +54,9 @@ def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.lit("name").alias("field"), F.lit(0).alias("field_pos"), "form_pos", "form")
 
 
-def _observed(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Printed (or ``whole``) lines as observations with a derived confidence."""
-    return printed_lines(spark, sf_dir, whole).select("obs_id", "line_idx", "text", (F.col("pct") / 100.0).alias("confidence"))
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as observations with a derived confidence."""
+    return printed_lines(spark, sf_dir).select("obs_id", "line_idx", "text", (F.col("pct") / 100.0).alias("confidence"))
 
 
 
@@ -146,10 +146,9 @@ SELECT obs_id, line_idx, CAST(rank AS BIGINT) AS rank, item_id, CAST(votes AS BI
 def block_grams_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = _forms(spark, sf_dir)
     n = table(spark, sf_dir, "benchmark").count()
-    rows = printed_lines(spark, sf_dir).select("obs_id", F.col("line_idx").alias("qpos"), T.forms("text").alias("keys"))
-    no_tokens = X.token_postings(forms).limit(0)
-    top = blocking.top_per_line(blocking.line_votes(rows, no_tokens, X.gram_postings(forms), n), 5)
-    return top.select("obs_id", F.col("qpos").alias("line_idx"), F.col("rank").cast("long").alias("rank"), F.col("id").alias("item_id"), "votes")
+    rows = printed_lines(spark, sf_dir).select("obs_id", "line_idx", T.forms("text").alias("keys"))
+    top = blocking.best_by_line(rows, None, X.gram_postings(forms), n, 5)
+    return top.select("obs_id", "line_idx", F.col("rank").cast("long").alias("rank"), F.col("id").alias("item_id"), "votes")
 
 
 @query(f"""
@@ -295,7 +294,7 @@ def match_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def resolve_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' whole lines against whole benchmark items."""
-    rows = matcher.resolve(_observed(spark, sf_dir, whole=True), matcher.CatalogIndex.build(benchmark_catalog(spark, sf_dir)))
+    rows = matcher.resolve(_observed(spark, sf_dir), matcher.CatalogIndex.build(benchmark_catalog(spark, sf_dir)))
     return rows.select("obs_id", "status", "best_match.id", "best_match.match_score", F.size("candidates").cast("long").alias("n_candidates"))
 
 

@@ -28,17 +28,21 @@ def DUP(c: str) -> str:
     return rf"regexp_replace(replace(lower({c}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]', '', 'g')"
 
 
-#: The printed lines of documents: obs_id, line_idx, text, pct.
+#: The lines of documents: obs_id, line_idx, text, pct.
 LINES = r"""
 lines AS (
   SELECT doc_id AS obs_id, line_idx,
-         array_to_string(list_slice(list_filter(string_split(line, ' '), lambda w: w <> ''), 1, 5), ' ') AS text,
+         array_to_string(list_filter(string_split(line, ' '), lambda w: w <> ''), ' ') AS text,
          (doc_id * 31 + line_idx * 17) % 41 + 60 AS pct
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_idx FROM documents)
-  WHERE array_to_string(list_slice(list_filter(string_split(line, ' '), lambda w: w <> ''), 1, 5), ' ') <> '')
+  WHERE array_to_string(list_filter(string_split(line, ' '), lambda w: w <> ''), ' ') <> '')
 """
 
 
+#: Terms that a term table may have; a larger one is refused.
+MOST_TERMS = 1000
+
+
 def query(sql: str | None = None):
     """Register a query, and its SQL if it has any."""
 
@@ -169,7 +173,9 @@ SELECT p_partkey, substr(full_name, 1, length(full_name) - length(p_type) - 2) A
 """)
 def strip_known_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    types = sorted(r[0] for r in part.select("p_type").distinct().limit(1000).collect())  # the caller's term table
+    types = [r[0] for r in part.select("p_type").distinct().take(MOST_TERMS + 1)]  # the caller's term table
+    if len(types) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
     rows = part.select("p_partkey", F.concat("p_name", F.lit(", "), "p_type").alias("full_name"))
     return rows.select("p_partkey", T.strip_suffix("full_name", types).alias("stripped"), T.key("full_name").alias("key"))
 
@@ -191,7 +197,7 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH s AS (SELECT page_id, replace({_PATH}, '/', '-') || '-label' AS slug FROM pages)
 SELECT page_id, CASE WHEN regexp_matches(slug, '^[A-Za-z0-9_\\-]+$') AND length({KEY('slug')}) >= 6 AND len(string_split({KEY('slug')}, ' ')) >= 2
-       THEN trim(regexp_replace(replace(replace(slug, '_', ' '), '-', ' '), '\\s+', ' ', 'g')) END AS name FROM s
+       THEN replace(replace(slug, '_', ' '), '-', ' ') END AS name FROM s
 """)
 def slug_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     slug = F.concat(F.replace(T.url_path("url"), F.lit("/"), F.lit("-")), F.lit("-label"))
