@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexbind.functions import text as T
+from lexbind.operators.order import running
 
 VERSION = 1
 #: Shortest alias keys: titles, and names derived from others.
@@ -29,12 +30,15 @@ def first_text(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
 
 
-def first_of(payload: Column | str, names: tuple[str, ...]) -> Column:
-    """The first member of a VARIANT object that is a non-empty array, else the payload."""
+#: Members that wrap a list, in order (fixed values).
+WRAPPERS = ("wines", "items", "results", "data")
+
+
+def first_of(payload: Column | str, names: tuple[str, ...] = WRAPPERS) -> Column:
+    """A VARIANT list, or the first member of an object among ``names`` that is a list."""
     v = F.col(payload) if isinstance(payload, str) else payload
     members = [F.try_variant_get(v, f"$.{n}", "array<variant>") for n in names]
-    picked = F.coalesce(*[F.when(F.size(m) > 0, m) for m in members])
-    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), picked, F.array().cast("array<variant>"))
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), *members, F.array().cast("array<variant>"))
 
 
 def record(raw: Column | str) -> dict[str, Column]:
@@ -150,18 +154,42 @@ def new_rows(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 def assign_ids(fresh: DataFrame, previous: DataFrame, key: str, start: int) -> DataFrame:
     """``fresh`` with ``assigned_id``: the id of an earlier run for the key, or
-    the next free ones in key order.
-
-    The rank over all new keys is one sorted pass; only keys and ids go through it.
-    """
+    the next free ones in key order."""
     known = fresh.join(previous.select(key, F.col("assigned_id").alias("_old")), key, "left")
-    highest = previous.agg(F.max("assigned_id").alias("_m"))
-    order = Window.orderBy(key)
-    numbered = known.where("_old is null").select(key).distinct().withColumn("_n", F.row_number().over(order)).crossJoin(F.broadcast(highest))
-    numbered = numbered.select(key, (F.greatest(F.coalesce("_m", F.lit(start - 1)), F.lit(start - 1)) + F.col("_n")).cast("long").alias("_new"))
+    highest = previous.agg(F.max("assigned_id")).first()[0]
+    first = max(start, start if highest is None else highest + 1)
+    numbered = running(known.where("_old is null").select(key).distinct(), [], [key], _new=F.lit(1))
+    numbered = numbered.withColumn("_new", F.col("_new") + first)
     return known.join(numbered, key, "left").withColumn("assigned_id", F.coalesce(F.col("_old").cast("long"), F.col("_new"))).drop("_old", "_new")
 
 
+def scraped_record(raw: Column | str, position: Column) -> dict[str, Column]:
+    """Metadata columns of a scraped item (a VARIANT): the first filled of the
+    member names that sources use; the item itself stays as ``raw_metadata``."""
+    v = F.col(raw) if isinstance(raw, str) else raw
+
+    def text(*names: str) -> Column:
+        return F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{n}", "string"), F.lit("")) for n in names])
+
+    image = text("image_url", "image", "photo")
+    scraped_id = F.coalesce(text("id", "code"), (position + 1).cast("string"))
+    suffix = F.coalesce(F.nullif(T.url_suffix(image), F.lit("")), F.lit(".png"))
+    return {
+        "scraped_id": scraped_id,
+        "name": text("name", "title"),
+        "producer": text("producer", "winery"),
+        "year": text("year", "vintage"),
+        "color": text("color"),
+        "sugar": text("sugar", "category"),
+        "region": text("region"),
+        "grape": text("grape", "varieties"),
+        "rating": text("rating_roskachestvo", "rating"),
+        "remote_image_url": image,
+        "local_name": F.when(image.isNotNull(), F.concat(F.lit("wine_"), scraped_id, suffix)),
+        "raw_metadata": v,
+    }
+
+
 def csv_record(rows: DataFrame) -> DataFrame:
     """Metadata records of cleaned admin rows (name, category, color, region,
     grapes, description, producer, slug, photo, assigned_id)."""

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexbind.operators.order import running
+from lexbind.operators.store import stored
+
 
 def error_rates(rows: DataFrame) -> DataFrame:
     """Per pool and overall (pool null): samples, cer, exact_match,
@@ -48,8 +51,16 @@ def length_histogram(rows: DataFrame, label: str, width: int) -> DataFrame:
 
 def timing_summary(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Median, P95 (the value at int(0.95 * (n - 1)) of the sorted ones) and maximum."""
-    values = F.array_sort(F.collect_list(column))
-    return rows.groupBy(*by).agg(F.expr(f"percentile({column}, 0.5)").alias("median"), values.alias("_v"), F.max(column).alias("greatest")).withColumn("p95", F.element_at("_v", (F.floor(0.95 * (F.size("_v") - 1)) + 1).cast("int"))).drop("_v")
+    known = stored(rows.where(F.col(column).isNotNull()).select(*by, column), "timings")
+    sizes = known.groupBy(*by).agg(F.count("*").alias("_n"), F.max(column).alias("greatest")).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = F.lit(True)
+    placed = running(known, by, [column], _at=F.lit(1))
+    for c in by:
+        same = same & placed[c].eqNullSafe(sizes[f"_by_{c}"])
+    placed = placed.join(sizes, same)
+    middle = F.col("_at").between(F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2))
+    late = F.col("_at") == F.floor(0.95 * (F.col("_n") - 1))
+    return placed.groupBy(*by).agg(F.avg(F.when(middle, F.col(column))).alias("median"), F.max(F.when(late, F.col(column))).alias("p95"), F.max("greatest").alias("greatest"))
 
 
 def coverage(fonts: DataFrame, required: DataFrame) -> DataFrame:
@@ -70,17 +81,19 @@ def font_pools(covered: DataFrame, full: float = 1.0) -> DataFrame:
 
 def dedupe_content(rows: DataFrame, content: str, order: str) -> DataFrame:
     """Rows with ``content_hash``, ``place`` among equal contents and their ``copies``."""
-    hashed = rows.withColumn("content_hash", F.sha2(F.col(content).cast("binary"), 256))
-    w = Window.partitionBy("content_hash")
-    return hashed.withColumns({"place": F.row_number().over(w.orderBy(order)), "copies": F.count("*").over(w)})
-
-
-def best_epochs(metrics: DataFrame, tolerance: float = 1e-5, patience: int = 5) -> DataFrame:
-    """``metrics`` (epoch, cer, exact) with ``improved`` and ``stale``: epochs
-    since the last improvement (a lower error, or an equal one and more exact)."""
-    w = Window.partitionBy(F.lit(0)).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    rows = metrics.withColumn("_best", F.min(F.struct("cer", -F.col("exact"))).over(w))
-    better = F.col("_best").isNull() | (F.col("cer") < F.col("_best.cer") - tolerance) | ((F.abs(F.col("cer") - F.col("_best.cer")) <= tolerance) & (F.col("exact") > -F.col("_best.col2")))
+    hashed = stored(rows.withColumn("content_hash", F.sha2(F.col(content).cast("binary"), 256)).drop(content), "hashed")
+    sizes = hashed.groupBy(F.col("content_hash").alias("_hash")).agg(F.count("*").alias("copies"))
+    placed = running(hashed, ["content_hash"], [order], place=F.lit(1)).withColumn("place", F.col("place") + 1)
+    return placed.join(sizes, placed["content_hash"].eqNullSafe(sizes["_hash"])).drop("_hash")
+
+
+def best_epochs(metrics: DataFrame, tolerance: float = 1e-5, patience: int = 5, by: str = "run") -> DataFrame:
+    """``metrics`` (run, epoch, cer, exact) with ``improved`` and ``stale``: epochs of
+    the run since the last improvement (a lower error, or an equal one and more exact)."""
+    order = Window.partitionBy(by).orderBy("epoch")
+    w = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = metrics.withColumn("_best", F.min(F.struct("cer", (-F.col("exact")).alias("minus"))).over(w))
+    better = F.col("_best").isNull() | (F.col("cer") < F.col("_best.cer") - tolerance) | ((F.abs(F.col("cer") - F.col("_best.cer")) <= tolerance) & (F.col("exact") > -F.col("_best.minus")))
     rows = rows.withColumn("improved", better)
-    last = F.max(F.when(F.col("improved"), F.col("epoch"))).over(Window.partitionBy(F.lit(0)).orderBy("epoch"))
+    last = F.max(F.when(F.col("improved"), F.col("epoch"))).over(order)
     return rows.withColumn("stale", F.col("epoch") - last).withColumn("stop", F.col("stale") >= patience).drop("_best")

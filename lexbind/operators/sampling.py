@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from lexbind.operators.order import running
+from lexbind.operators.store import stored
+
 
 def largest_remainder(pools: DataFrame, total: int) -> DataFrame:
     """(pos, pool, ratio, count): counts that sum to ``total``; what rounding
@@ -45,13 +54,13 @@ def grouped_split(samples: DataFrame, fraction: float, seed: int) -> DataFrame:
     group of a pool stays in ``train``."""
     folded = samples.withColumn("_g", F.lower("label"))
     groups = folded.groupBy("_g").agg(F.min_by("pool", "sample_id").alias("_p"), F.count("*").alias("_n"))
-    groups = groups.withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}|"), F.col("_g")), 256))
-    pool = Window.partitionBy("_p")
-    order = pool.orderBy("_h", "_g")
-    before = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    groups = groups.withColumns({"_before": before, "_target": F.greatest(F.lit(1), F.bround(F.sum("_n").over(pool) * fraction).cast("long")), "_left": F.count("*").over(pool) - F.row_number().over(order) + 1})
-    groups = groups.withColumn("fold", F.when((F.col("_before") < F.col("_target")) & (F.col("_left") > 1), "val").otherwise("train"))
-    return folded.join(groups.select("_g", "fold"), "_g").drop("_g")
+    groups = stored(groups.withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}|"), F.col("_g")), 256)), "groups")
+    sizes = groups.groupBy("_p").agg(F.sum("_n").alias("_rows"), F.count("*").alias("_groups"))
+    placed = running(groups, ["_p"], ["_h", "_g"], _before=F.col("_n"), _place=F.lit(1)).withColumnRenamed("_p", "_q")
+    placed = placed.join(sizes, placed["_q"].eqNullSafe(sizes["_p"]))
+    target = F.greatest(F.lit(1), F.bround(F.col("_rows") * fraction).cast("long"))
+    placed = placed.withColumn("fold", F.when((F.col("_before") < target) & (F.col("_groups") - F.col("_place") > 1), "val").otherwise("train"))
+    return folded.join(placed.select("_g", "fold"), "_g").drop("_g")
 
 
 def leakage(split: DataFrame) -> DataFrame:
@@ -61,8 +70,32 @@ def leakage(split: DataFrame) -> DataFrame:
 
 
 def fingerprint(labels: DataFrame, by: list[str], label: str = "label") -> DataFrame:
-    """sha256 of each group's sorted case-folded labels, one a line."""
-    return labels.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.lower(label))), "\n"), 256).alias("fingerprint"))
+    """sha256 of each group's sorted case-folded labels, one a line.
+
+    A group's labels stream through one task in order; nothing of it is held.
+    """
+    rows = labels.select(F.struct(*by).alias("by"), F.lower(label).alias("label")).where("label is not null")
+    dealt = rows.repartition("by").sortWithinPartitions("by", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, digest, done = None, None, []
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if digest is None or key != group:
+                    if digest is not None:
+                        done.append((group, digest.hexdigest()))
+                    group, digest = key, hashlib.sha256(text.encode())
+                else:
+                    digest.update(b"\n" + text.encode())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], kind), pa.array([d for _, d in done])], ["by", "fingerprint"])
+                done = []
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([group], kind), pa.array([digest.hexdigest()])], ["by", "fingerprint"])
+
+    schema = StructType([rows.schema["by"], StructField("fingerprint", StringType())])
+    kind = to_arrow_type(rows.schema["by"].dataType)
+    return dealt.mapInArrow(run, schema).select("by.*", "fingerprint")
 
 
 def with_variants(labels: DataFrame, variants: int) -> DataFrame:

@@ -145,7 +145,7 @@ def wrapped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects out of bare lists, wrapper objects and other payloads."""
     e = F.col("event_id")
     item = F.concat(F.lit('{"id":'), e.cast("string"), F.lit(',"p":'), F.col("props"), F.lit("}"))
-    payload = F.when(e % 2 == 0, F.concat(F.lit("["), item, F.lit(",3]"))).when(e % 4 == 1, F.concat(F.lit('{"items":[],"results":['), item, F.lit("]}"))).otherwise(F.lit('{"other":1}'))
+    payload = F.when(e % 2 == 0, F.concat(F.lit("["), item, F.lit(",3]"))).when(e % 4 == 1, F.concat(F.lit('{"items":1,"results":['), item, F.lit("]}"))).otherwise(F.lit('{"other":1}'))
     rows = table(spark, sf_dir, "events").select(F.explode(C.first_of(F.parse_json(payload), ("items", "results", "data"))).alias("v"))
     rows = rows.where(F.schema_of_variant("v").startswith("OBJECT"))
     return rows.select(F.try_variant_get("v", "$.id", "long").alias("event_id"), F.try_variant_get("v", "$.p.k", "long").alias("k"))

@@ -210,7 +210,7 @@ w AS (SELECT obs_id, i, unnest(string_split(key, ' ')) AS tok FROM p),
 d AS (SELECT DISTINCT obs_id, i FROM w WHERE length(tok) >= 4 AND regexp_matches(tok, '\\p{{L}}')),
 e AS (SELECT DISTINCT obs_id, item_id, i FROM w JOIN ct USING (tok)),
 n AS (SELECT obs_id, count(*) AS n FROM d GROUP BY obs_id)
-SELECT e.obs_id, e.item_id, round(count(d.i) / CAST(any_value(n.n) AS DOUBLE), 6) AS coverage FROM e JOIN n ON e.obs_id = n.obs_id LEFT JOIN d ON d.obs_id = e.obs_id AND d.i = e.i GROUP BY 1, 2
+SELECT e.obs_id, e.item_id, coalesce(round_even(count(d.i) / CAST(any_value(n.n) AS DOUBLE), 3), 0.0) AS coverage FROM e LEFT JOIN n ON e.obs_id = n.obs_id LEFT JOIN d ON d.obs_id = e.obs_id AND d.i = e.i GROUP BY 1, 2
 """)
 def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of descriptive lines that exact token matches explain."""
@@ -219,11 +219,7 @@ def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = parsed.select("obs_id", "line_idx", F.explode(T.tokens(F.element_at("keys", 1))).alias("token")).join(tokens, "token")
     item = F.struct(F.lit("name").alias("field"), F.lit(1.0).alias("similarity"), F.array("line_idx").alias("ocr_indices"))
     firsts = hits.select("obs_id", "id", "line_idx").distinct().groupBy("obs_id", "id").agg(F.collect_list(item).alias("evidence"))
-    descriptive = parsed.where(F.exists(T.tokens(F.element_at("keys", 1)), lambda w: (F.length(w) >= 4) & w.rlike(r"\p{L}"))).groupBy("obs_id").agg(F.collect_set("line_idx").alias("lines"))
-    explained = F.array_distinct(F.flatten(F.transform("evidence", lambda e: e["ocr_indices"])))
-    rows = firsts.join(descriptive, "obs_id")
-    share = F.size(F.array_intersect(explained, F.col("lines"))) / F.size("lines")
-    return rows.select("obs_id", F.col("id").alias("item_id"), F.round(share, 6).alias("coverage"))
+    return ranking.coverage(parsed, firsts).select("obs_id", F.col("id").alias("item_id"), F.col("evidence_coverage").alias("coverage"))
 
 
 # Whole matching runs on likeness, which SQL cannot express -------------------

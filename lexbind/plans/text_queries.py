@@ -267,9 +267,9 @@ def pool_setops(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT string_agg(c, '' ORDER BY c) AS unseen FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM benchmark) WHERE NOT contains('abcdefghijklmnopqrstuvwxyz', c)
 """)
 def charset_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").distinct()
-    unseen = chars.where(~F.lit("abcdefghijklmnopqrstuvwxyz").contains(F.col("c")))
-    return unseen.agg(F.array_join(F.array_sort(F.collect_list("c")), "").alias("unseen"))
+    base = "abcdefghijklmnopqrstuvwxyz"
+    made = lexicon.charset(table(spark, sf_dir, "benchmark"), base, "text")
+    return spark.createDataFrame([(made[len(base) :],)], "unseen string")
 
 
 @query("""

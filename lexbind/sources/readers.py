@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexbind import schemas
-from lexbind.operators.catalog import ConstraintError, catalog_problems, first_of, require_none
+from lexbind.operators.catalog import WRAPPERS, ConstraintError, catalog_problems, first_of, require_none
 
 BAD = "_corrupt_record"
 
@@ -25,8 +25,8 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return catalog
 
 
-def read_objects(spark: SparkSession, path: str, wrappers: tuple[str, ...] = ("items", "results", "data")) -> DataFrame:
-    """(pos, raw VARIANT): the objects of a JSON list, or of the first non-empty
+def read_objects(spark: SparkSession, path: str, wrappers: tuple[str, ...] = WRAPPERS) -> DataFrame:
+    """(pos, raw VARIANT): the objects of a JSON list, or of the first
     list under one of ``wrappers``; anything that is no object is dropped."""
     whole = spark.read.text(path, wholetext=True).withColumn("value", F.regexp_replace("value", "^﻿", ""))
     rows = whole.select(F.posexplode(first_of(F.parse_json("value"), wrappers)).alias("pos", "raw"))
@@ -59,13 +59,22 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def labels_from_names(files: DataFrame) -> DataFrame:
-    """(filename, label, pool) from names like ``latin-0001_Some text.png``: the
-    label stands before the last underscore or after it as rendered, the pool
-    before the first dash."""
+    """(filename, label, pool) from names like ``Some text_latin-0001.png``: the
+    label stands before the last underscore, the pool after it and before a dash;
+    names without an underscore are left out."""
     stem = F.regexp_replace("filename", r"\.[^.]*$", "")
-    label = F.when(F.instr(stem, "_") > 0, F.regexp_replace(stem, r"_[^_]*$", "")).otherwise(stem)
-    pool = F.when(F.instr(stem, "-") > 0, F.element_at(F.split(stem, "-"), 1)).otherwise(F.lit("unknown"))
-    return files.select("filename", label.alias("label"), pool.alias("pool"))
+    tail = F.regexp_extract(stem, r"_([^_]*)$", 1)
+    pool = F.when(F.instr(tail, "-") > 0, F.element_at(F.split(tail, "-"), 1)).otherwise(F.lit("unknown"))
+    return files.where(F.instr(stem, "_") > 0).select("filename", F.regexp_replace(stem, r"_[^_]*$", "").alias("label"), pool.alias("pool"))
+
+
+def read_labels(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """(filename, label, pool) of a sample folder: its ``labels.tsv``, or else the
+    names of its files."""
+    names = list_files(spark, folder, (*suffixes, "labels.tsv")).select(F.element_at(F.split("path", "/"), -1).alias("filename"))
+    if names.where("filename = 'labels.tsv'").isEmpty():
+        return labels_from_names(names)
+    return read_manifest(spark, f"{folder.rstrip('/')}/labels.tsv")
 
 
 def read_phrases(spark: SparkSession, path: str, least: int = 2, most: int = 32) -> DataFrame:
@@ -95,7 +104,12 @@ def first_paths(explicit: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def fetch_objects(spark: SparkSession, tasks: DataFrame, root: str) -> DataFrame:
-    """Tasks with the content of their object under a root folder or bucket URL."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+    """Tasks (a micro-batch of them) with the content of their object under a root
+    folder or bucket URL; only the files that they name are read."""
     key = F.regexp_replace("path", "^.*?" + root.rstrip("/").split("://")[-1].replace(".", r"\.") + "/", "")
-    return tasks.join(files.select(key.alias("object_key"), "content"), "object_key", "left")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", key.alias("object_key"))
+    paths = [r.path for r in listed.join(tasks.select("object_key").distinct(), "object_key", "left_semi").collect()]
+    if not paths:
+        return tasks.withColumn("content", F.lit(None).cast("binary"))
+    files = spark.read.format("binaryFile").load(paths).select(key.alias("object_key"), "content")
+    return tasks.join(files, "object_key", "left")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,15 +39,36 @@ def route(tasks: DataFrame, objects: DataFrame) -> DataFrame:
     return rows.withColumn("route", F.when(~F.col("valid"), "drop").when(F.col("_has").isNull(), "error").otherwise("resolve")).drop("_has")
 
 
+#: Catalog columns that responses show beside a candidate's own.
+SHOWN = ("region", "style", "color", "grapes", "year", "alcohol_percent", "slug")
+
+
+def enriched(decided: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Decisions whose best match, alternatives and candidates carry the
+    catalog's columns; where both have a column the candidate's stays, and
+    candidates that the catalog lacks stay as they are."""
+    lists = ("candidates", "alternatives", "best_match")
+    ids = F.array_compact(F.flatten(F.array(F.transform("candidates", lambda c: c["id"]), F.array("best_match.id"))))
+    asked = decided.select("obs_id", F.explode(F.array_distinct(ids)).alias("id"))
+    known = asked.join(catalog.select("id", F.struct(*SHOWN).alias("product")), "id").groupBy("obs_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "product"))).alias("_products"))
+    rows = decided.join(known, "obs_id", "left")
+
+    def wider(c: Column) -> Column:
+        return c.withField("product", F.try_element_at("_products", c["id"]))
+
+    return rows.withColumns({f: F.when(F.col(f).isNotNull(), wider(F.col(f))) if f == "best_match" else F.transform(f, wider) for f in lists}).drop("_products")
+
+
 def respond(tasks: DataFrame, lines_of: Callable[[DataFrame], DataFrame], ix: CatalogIndex, top_k: int = 5) -> DataFrame:
     """(task_id, status, error, result as JSON) of parsed tasks.
 
     ``lines_of`` maps tasks (task_id, object_key) to observed lines (obs_id =
     task_id); a task without any row there is an error.
     """
-    valid = tasks.where("valid").select("task_id", "object_key").dropDuplicates(["task_id"])
+    # Of messages with one task_id the smallest object_key counts.
+    valid = tasks.where("valid").groupBy("task_id").agg(F.min("object_key").alias("object_key"))
     observed = lines_of(valid)
-    decided = resolve(observed, ix, top_k).withColumnRenamed("obs_id", "task_id")
+    decided = enriched(resolve(observed, ix, top_k), ix.catalog).withColumnRenamed("obs_id", "task_id")
     rows = valid.join(decided, "task_id", "left")
     lost = F.col("status").isNull()
     return rows.select(

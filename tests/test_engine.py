@@ -60,6 +60,111 @@ def test_text_rules(spark):
     assert one(spark, T.url_suffix, "https://x.org/a/b.JPG?x=1") == ".jpg"
 
 
+def test_suffix_and_style_rules(spark):
+    strip = lambda t, *terms: one(spark, lambda c: T.strip_suffix(c, list(terms)), t)
+    assert strip("Casa Semidry", "dry") == "Casa Semi" and strip("dry", "dry") == "dry" and strip("Monte dry Rosso", "dry") == "Monte dry Rosso"
+    assert strip("Casa, semi-dry", "dry", "Semi-Dry") == "Casa" and strip("Casa.Dry", "dry") == "Casa"
+    style = lambda t, *terms: one(spark, lambda c: T.without_style(c, F.array(*map(F.lit, terms))), t)
+    assert style("Monte Rosso semi dry", "dry", "semi dry") == "Monte Rosso" and style("Abc dry", "dry") is None
+    assert style("Mon semi dry", "dry", "semi dry") == "Mon semi"  # the longer style leaves too little
+    assert style("Monte Rosso – dry", "Dry") == "Monte Rosso" and style("Monte: dry", "dry") == "Monte:"
+    assert one(spark, T.name_from_slug, "/monte-rosso-bianco/") == "monte rosso bianco" and one(spark, T.name_from_slug, "abc") is None
+    assert one(spark, T.lexicon_clean, "Rosso; bianco! (a) d’oro?") == "Rosso bianco (a) d’oro"
+    assert one(spark, lambda c: T.chunk_phrase(c, 12), "-x-") == ["x"] and one(spark, lambda c: T.chunk_phrase(c, 12), "...") == []
+    assert one(spark, lambda c: T.chunk_phrase(c, 6), "alpha, (be; gamma") == ["alpha", "be", "gamma"]
+    assert one(spark, T.safe_name, "a b/ç-1") == "a_b_ç-1"
+
+
+def test_accents_by_character():
+    """Every letter alone and after others: marks go from Latin letters only."""
+    import unicodedata
+
+    for ch in map(chr, range(0x80, 0x2000)):
+        if unicodedata.category(ch) == "Cn":
+            continue
+        k = T.exact_key("a" + ch)
+        want, latin = "", False
+        for c in unicodedata.normalize("NFKD", k.translate(str.maketrans(T.UNDECOMPOSED))):
+            if unicodedata.category(c)[0] == "M":
+                want += "" if latin else c
+            else:
+                latin, want = "LATIN" in unicodedata.name(c, ""), want + c
+        assert T.exact_accentless(k) == T.exact_key(unicodedata.normalize("NFC", want)), hex(ord(ch))
+
+
+def test_running(spark):
+    from lexbind.operators.order import running
+
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), r.randrange(50), k) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, o int, k int").repartition(7)
+    got = running(df, ["g"], ["o", "k"], at=F.lit(1), before=F.col("o")).collect()
+    for group in ("a", "b", None):
+        mine = sorted((x.o, x.k, x.at, x.before) for x in got if x.g == group)
+        assert [x[2] for x in mine] == list(range(len(mine)))
+        assert [x[3] for x in mine] == [sum(y[0] for y in mine[:i]) for i in range(len(mine))]
+    assert len(got) == 400 and running(df.limit(0), [], ["k"], at=F.lit(1)).count() == 0
+
+
+def test_catalog_details(spark):
+    raw = {"scraped_id": "7", "name": "Monte Rosso dry", "sugar": "dry", "raw_metadata": {"title": "Rosso X dry"}, "detailed_metadata": {"alcohol": "12.5", "slug": "monte-rosso", "title": "Monte Rosso dry"}}
+    row = catalog.build_catalog(spark.createDataFrame([(json.dumps(raw),)], "j string").select(F.parse_json("j").alias("raw"))).first()
+    assert row.alcohol_percent is None and row.search_text == "Monte Rosso dry | dry"
+    assert [(a.source, a.text) for a in row.aliases] == [("name", "Monte Rosso dry"), ("raw_title", "Rosso X dry"), ("name_without_style", "Monte Rosso")]
+    items = [{"code": "c1", "title": "T", "winery": "W", "vintage": 2019, "image": "https://x.org/a.JPG?s=1", "rating": 4}, {"name": "N", "producer": "P"}]
+    df = spark.createDataFrame([(k, json.dumps(i)) for k, i in enumerate(items)], "pos int, j string").select("pos", F.parse_json("j").alias("raw"))
+    out = df.select(*[c.alias(k) for k, c in catalog.scraped_record("raw", F.col("pos")).items()]).orderBy("scraped_id").collect()
+    assert [(r.scraped_id, r.name, r.producer, r.year, r.rating, r.local_name) for r in out] == [("2", "N", "P", None, None, None), ("c1", "T", "W", "2019", "4", "wine_c1.jpg")]
+    base = spark.createDataFrame([("1", "a")], "id string, name string")
+    both = catalog.with_additions(base, spark.createDataFrame([("manual:1", "b", 5)], "id string, name string, year int"))
+    assert [(r.id, r.year) for r in both.orderBy("_part").collect()] == [("1", None), ("manual:1", 5)]
+
+
+def test_enriched_and_checked(spark, ix):
+    observed = spark.createDataFrame([("o", 0, "Château Montbrise", 1.0)], schemas.LINES)
+    got = worker.enriched(matcher.resolve(observed, ix), ix.catalog).first()
+    assert got.best_match.product.grapes == ["tarnac"] and got.candidates[0].product.grapes == ["tarnac"]
+    with pytest.raises(catalog.ConstraintError):
+        matcher.resolve(spark.createDataFrame([("o", 0, "x", float("nan"))], schemas.LINES), ix)
+    # Text that is not composed matches with the exact normaliser on both sides.
+    rows = [(1, "5", "Cha\u0302teau Vérité", None, None, [], None, [], None, None, None, None, None, None, None)]
+    exact = matcher.CatalogIndex.build(spark.createDataFrame(rows, schemas.CATALOG), exact_text=True)
+    assert [r.form for r in exact.forms.orderBy("form_pos").collect()] == ["château vérité", "chateau verite"]
+    assert matcher.resolve(spark.createDataFrame([("o", 0, "CHA\u0302TEAU VÉRITÉ", 1.0)], schemas.LINES), exact, exact_text=True).first().best_match.id == "5"
+
+
+def test_equivalents(spark, ix):
+    """A word's equivalent counts at a lower confidence where nothing else was read."""
+    from lexbind.operators import evidence
+
+    parsed = lines.parse_lines(spark.createDataFrame([("o", 0, "golden prairie", 1.0), ("o", 1, "zzz", 0.5), ("o", 2, "meadow", 0.8)], schemas.LINES))
+    words = spark.createDataFrame([("prairie", "meadow"), ("zzz", "ridge")], "word string, alternate string")
+    seen = {r.word: (r.line_idx, round(r.confidence, 3)) for r in evidence.observed_words(parsed, words).collect()}
+    assert seen["ridge"] == (1, 0.46) and seen["meadow"] == (0, 0.92) and seen["golden"] == (0, 1.0)
+
+
+def test_label_folders_and_objects(spark, tmp_path):
+    for name in ("Some text_latin-1.png", "no underscore.png", "Riva_x.PNG"):
+        (tmp_path / name).write_bytes(b"x")
+    rows = readers.read_labels(spark, str(tmp_path), (".png",)).orderBy("filename").collect()
+    assert [(r.label, r.pool) for r in rows] == [("Riva", "unknown"), ("Some text", "latin")]
+    (tmp_path / "labels.tsv").write_text("filename\tlabel\tpool\na.png\tA\tlatin\n")
+    assert [(r.label, r.pool) for r in readers.read_labels(spark, str(tmp_path), (".png",)).collect()] == [("A", "latin")]
+    tasks = spark.createDataFrame([("t1", "Riva_x.PNG"), ("t2", "gone")], "task_id string, object_key string")
+    got = {r.task_id: r.content for r in readers.fetch_objects(spark, tasks, str(tmp_path)).collect()}
+    assert bytes(got["t1"]) == b"x" and got["t2"] is None
+    assert readers.fetch_objects(spark, tasks.where("task_id = 't2'"), str(tmp_path)).first().content is None
+    found = readers.list_files(spark, str(tmp_path), (".png",))
+    explicit = found.where("path like '%Riva%'").select("path", F.lit(0).alias("pos"))
+    assert readers.first_paths(explicit, found).where("part = 0").count() == 1 and readers.first_paths(explicit, found).count() == 3
+
+
+def test_font_pools(spark):
+    rows = [("f", "english", 1.0), ("f", "french", 1.0), ("f", "cyrillic", 1.0), ("g", "english", 1.0), ("g", "french", 0.5), ("g", "cyrillic", 0.0)]
+    df = spark.createDataFrame(rows, "filename string, set_name string, coverage double")
+    assert sorted((r.pool, r.filename) for r in evaluation.font_pools(df).collect()) == [("cyrillic", "f"), ("french", "f"), ("latin", "f"), ("latin", "g"), ("multilingual", "f")]
+
+
 def test_rounding_is_binary(spark):
     rows = spark.createDataFrame([(2.675, 2.67), (0.8125, 0.812), (0.0125, 0.013)], "x double, n double").select(rounded("x", 3).alias("a"), rounded("x", 2).alias("b")).collect()
     assert [(r.a, r.b) for r in rows] == [(round(x, 3), round(x, 2)) for x in (2.675, 0.8125, 0.0125)]
@@ -167,7 +272,8 @@ def test_catalog_constraints(spark, tmp_path):
     for k, rows in enumerate(([good, good], [good | {"schema_version": 2}], [good | {"id": None}], ["{bad"], [""])):
         with pytest.raises(catalog.ConstraintError):
             readers.read_catalog(spark, write(f"bad{k}", *rows))
-    wrapped = write("wrapped", json.dumps({"items": [], "results": [{"a": 1}, 3]}))
+    assert readers.read_objects(spark, write("empty", json.dumps({"items": [], "results": [{"a": 1}]}))).count() == 0
+    wrapped = write("wrapped", json.dumps({"items": 5, "results": [{"a": 1}, 3]}))
     assert readers.read_objects(spark, wrapped).count() == 1
     with pytest.raises(catalog.ConstraintError):
         readers.read_list(spark, wrapped)
