@@ -286,13 +286,72 @@ def test_terms_beside_others_are_learned():
 
 
 def test_grammar_contexts():
-    g = toxicity.Grammar({"blathek": 8.0})
+    g = toxicity.Grammar({"blathek": (toxicity.INSULT, 8.0)})
     plain, aimed, negated, told = (g.evidence(t) for t in ("a blathek here", "you blathek", "not a blathek", "he said blathek"))
     assert plain[0] > 0 and aimed[1] > 0 and negated[2] > 0 and told[3] > 0
     assert negated[4] < plain[4] < aimed[4]
     assert g.evidence("xblathek")[5] == 0 and g.evidence("")[5] == 0
 
 
+def brute_clause(words, terms):
+    """Terms of a clause by looking at each one's surroundings."""
+    out, targets = [], [k for k, w in enumerate(words) if w in toxicity.CUES[toxicity.TARGET]]
+    waiting = []
+    for k, w in enumerate(words):
+        hit = next((terms[w[:n]] for n in range(len(w), 0, -1) if w[:n] in terms), None)
+        if hit is None:
+            if w in toxicity.CUES[toxicity.TARGET] and waiting:
+                t = max(waiting, key=lambda x: (x[1], -x[3]))
+                out.append((k, t[0], t[1], "targeted" if t[2] == "plain" else t[2]))
+                waiting = []
+            continue
+        before = words[:k]
+        path = "negated" if any(x in toxicity.CUES[toxicity.NEGATION] for x in before[-3:]) else "reported" if any(x in toxicity.CUES[toxicity.REPORT] for x in before) else "plain"
+        seen = any(t < k for t in targets)
+        if hit[0] == toxicity.THREAT and not seen:
+            waiting.append((hit[0], hit[1], path, k))
+            continue
+        out.append((k, hit[0], hit[1], "targeted" if seen and path == "plain" else path))
+    return [x[1:] for x in out]
+
+
+def test_grammar_composition():
+    terms = {"blathek": (toxicity.INSULT, 5.0), "zorgl": (toxicity.INSULT, 7.0), "grumph": (toxicity.THREAT, 3.0)}
+    g = toxicity.Grammar(terms)
+    both = terms | {t: (toxicity.THREAT, 2.0) for t in toxicity.CUES[toxicity.THREAT]}
+    r = random.Random(6)
+    pool = ["blathek", "blatheks", "zorgling", "grumph", "kill", "you", "your", "not", "never", "said", "claims", "and", "house", "tree"]
+    for _ in range(3000):
+        words = r.choices(pool, k=r.randint(0, 9))
+        assert [(x.kind, x.weight, x.path) for x in g.clause(words)] == brute_clause(words, both), words
+    for text in ("I will kill you", "kill you", "you, kill"):
+        assert g.evidence(text)[1] > 0 and g.evidence(text)[0] == 0
+    assert not g.evidence("they kill time. You wait").any()
+
+
+def test_learned_threats_and_linear_time():
+    import time
+
+    rows = [(f"{prose(i, 30)} i will grumph you. {prose(i + 99, 9)} blathek {prose(i, 9)}", 1) for i in range(12)] + [(prose(1000 + i, 50), 0) for i in range(200)]
+    terms = toxicity.learn_terms(rows)
+    assert terms["grumph"][0] == toxicity.THREAT and terms["blathek"][0] == toxicity.INSULT
+    g, took = toxicity.Grammar(terms), []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        g.evidence("a blathek b? " * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
+
+
+def test_toxicity_edge_cases(spark):
+    rows = [(1, None), (1, "you blathek"), (None, ""), (2, "word " * 100_000), (3, "you blathek"), (3, "you blathek")]
+    df = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "doc_id long, text string, score int, held_out int, toxic int")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(1, 0, 0)], "doc_id long, toxic int, text int")
+    out = toxicity.score(df, ({"blathek": (toxicity.INSULT, 5.0)}, np.array([1.0] * 6 + [-2]))).collect()
+    assert len(out) == 6 and out[4].score == out[5].score == out[1].score > out[0].score == out[2].score == out[3].score
+    assert toxicity.score(df, toxicity.fit(df, labels)).count() == 6
+
+
 # 5 ---------------------------------------------------------------------------
 
 
