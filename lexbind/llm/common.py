@@ -109,6 +109,13 @@ def release_memory() -> None:
         trim(0)
 
 
+def kept_name(column: str, own: list[str]) -> str:
+    """Name of a kept input column beside an operator's own columns."""
+    while column in own:
+        column = f"input_{column}"
+    return column
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column over all rows."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

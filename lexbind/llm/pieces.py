@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexbind.llm.common import release_memory, small_batches, table
+from lexbind.llm.common import kept_name, release_memory, small_batches, table
 
 SPACE = "▁"
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 200_000
 #: Segments of at most so many characters advance together in rounds.
 ROUND_CHARS = 64
 #: Characters of segments that one suffix array indexes.
-INDEX_CHARS = 600_000
+INDEX_CHARS = 400_000
 
 
 class Vocabulary:
@@ -423,8 +423,9 @@ def encoder(path: str) -> Encoder:
 
 def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, decoded_crc32 (UTF-8), round_trip, the ids
-    if asked for, and the columns named in ``keep``."""
-    small_batches(docs.sparkSession, 1000)
+    if asked for, and the columns named in ``keep`` (``input_`` before the name of
+    one that clashes)."""
+    small_batches(docs.sparkSession, 700)
     inputs = docs.select("doc_id", "text", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,7 +449,7 @@ def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = (), with_i
     names = ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip", *(["piece_ids"] if with_ids else []), *[f"_k{i}" for i in range(len(keep))]]
     schema = f"doc_id {inputs.schema[0].dataType.simpleString()}, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean" + (", piece_ids array<int>" if with_ids else "")
     schema += "".join(f", _k{i} {f.dataType.simpleString()}" for i, f in enumerate(inputs.schema[2:]))
-    return inputs.mapInArrow(rows, schema).withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
+    return inputs.mapInArrow(rows, schema).withColumnsRenamed({f"_k{i}": kept_name(c, names) for i, c in enumerate(keep)})
 
 
 def op10_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

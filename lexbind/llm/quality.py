@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexbind.llm.common import release_memory, small_batches, table
+from lexbind.llm.common import kept_name, release_memory, small_batches, table
 
 #: Labelled rows that training looks at (those with the smallest hash of the
 #: id); a text of the sample counts whole.
@@ -193,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float], keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, base figures, base_failed, quality (calibrated probability), kept,
-    and the columns named in ``keep``, unchanged."""
+    and the columns named in ``keep``, unchanged; those with the name of a figure
+    as ``input_`` and the name."""
     small_batches(docs.sparkSession)
     weights, slope, offset = model
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), slope, offset))  # SIZE floats, fixed
@@ -226,7 +227,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float], keep: tuple[s
     schema = f"doc_id {inputs.schema[0].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in fixed) + ", base_failed boolean, quality double, kept boolean"
     schema += "".join(f", _k{i} {kind}" for i, kind in enumerate(kinds))
     out = inputs.mapInArrow(rows, schema)
-    return out.withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)}) if keep else out
+    return out.withColumnsRenamed({f"_k{i}": kept_name(c, names) for i, c in enumerate(keep)}) if keep else out
+
+
+def keep_good(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
+    """The rows that the rules keep, with all their columns."""
+    columns = docs.columns
+    renamed = docs.select("doc_id", "text", *[F.col(c).alias(f"_in{i}") for i, c in enumerate(columns)])
+    scored = score(renamed, model, tuple(f"_in{i}" for i in range(len(columns)))).where("kept")
+    return scored.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def op3_quality_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexbind.llm.common import table
+from lexbind.llm.common import kept_name, table
 
 #: Sub-buckets of an arc.
 SUBS = 64
@@ -83,9 +83,12 @@ def bounded_ring(df: DataFrame, key: Column, order: list[Column], shards: int, v
     """Add ``shard`` (int), ``slot`` (long, gapless from 0 in each shard) and
     ``home_shard`` (the owner of the key's arc, whether or not it was full).
 
-    ``key`` decides the point; ``order`` breaks ties inside a sub-bucket.
+    ``key`` decides the point; ``order`` breaks ties inside a sub-bucket.  Input
+    columns with these names are kept as ``input_`` and the name.
     """
     spark = df.sparkSession
+    own = ["home_shard", "shard", "slot"]
+    df = df.withColumnsRenamed({c: kept_name(c, own) for c in df.columns if c in own})
     points = ring_points(shards, vnodes)
     owners = [s for _, s in points]
     placed = df.withColumn("_point", F.shiftrightunsigned(F.xxhash64(key), 1))
@@ -98,14 +101,25 @@ def bounded_ring(df: DataFrame, key: Column, order: list[Column], shards: int, v
     for arc, shard, first, n in fill(per_arc, owners, quotas):
         segments.append((arc, shard, first, first + n, used[shard]))
         used[shard] += n
+    of_arc: dict[int, list] = {}
+    for arc, *segment in segments:
+        of_arc.setdefault(arc, []).append(segment)
     starts = []
-    for a in range(len(points)):
-        at = 0
+    for a, mine in of_arc.items():
+        at = k = 0
         for s in range(SUBS):
-            if n := counted.get((a, s), 0):
-                here = [(shard, max(first, at) - at, min(last, at + n) - at, slot + max(first, at) - first) for arc, shard, first, last, slot in segments if arc == a and first < at + n and last > at]
-                starts += [(a, s, owners[a], *piece) for piece in here]
-                at += n
+            n = counted.get((a, s), 0)
+            # Segments of an arc and its sub-buckets both follow its ranks.
+            while n and k < len(mine):
+                shard, first, last, slot = mine[k]
+                begin, end = max(first, at), min(last, at + n)
+                starts.append((a, s, owners[a], shard, begin - at, end - at, slot + begin - first))
+                if last > at + n:
+                    break
+                k += 1
+                if last == at + n:
+                    break
+            at += n
     pieces = spark.createDataFrame(starts, "_arc int, _sub int, home_shard int, shard int, _from long, _to long, _slot long")
     ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc", "_sub").orderBy(*order)).cast("long") - 1)
     # At most shards * vnodes * SUBS + shards * vnodes pieces: a bound that the input does not move.

@@ -599,6 +599,31 @@ def test_ring(docs, empty):
     assert ring.bounded_ring(empty, key, [F.col("doc_id")], 8).count() == 0
 
 
+def test_ring_columns_and_movement(spark):
+    df = spark.range(20_000).select("id", F.lit(1).alias("shard"), F.lit(2).alias("slot"), F.lit(3).alias("home_shard"))
+    out = ring.bounded_ring(df, F.col("id"), [F.col("id")], 8)
+    assert set(out.columns) == {"id", "input_shard", "input_slot", "input_home_shard", "shard", "slot", "home_shard"}
+    assert out.where("input_shard = 1 and input_slot = 2 and input_home_shard = 3").count() == 20_000
+    place = lambda frame, n: {r.id: r.shard for r in ring.bounded_ring(frame, F.col("id"), [F.col("id")], n).select("id", "shard").collect()}
+    eight, nine, fewer = place(df, 8), place(df, 9), place(df.where("id % 100 <> 0"), 8)
+    # A plain rehash moves 8 of 9 rows; without a hundredth of the rows it moves none, the quotas a few.
+    assert sum(eight[k] != nine[k] for k in eight) < 0.45 * len(eight)
+    assert sum(eight[k] != fewer[k] for k in fewer) < 0.10 * len(fewer)
+
+
+def test_clashing_columns(spark):
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept", "_k0", "_in1", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip", "piece_ids"]
+    df = spark.createDataFrame([(i, prose(i, 60), *range(len(own))) for i in range(5)], "doc_id long, text string, " + ", ".join(f"{c} int" for c in own))
+    model = quality.train([(prose(i, 60), i % 2, i % 5) for i in range(20)])
+    kept = quality.keep_good(df, (model[0], 0.0, 40.0))
+    assert kept.columns == df.columns and sorted(kept.collect()) == sorted(df.collect())
+    scored = quality.score(df, model, ("kept", "quality", "text"))
+    assert scored.columns[-3:] == ["input_kept", "input_quality", "text"] and scored.where("input_kept = 7 and input_quality = 6").count() == 5
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    coded = pieces.encode_decode(df, public_tokenizers.path("piece_bpe_32k.model"), ("round_trip", "n_words"), True)
+    assert coded.columns[-2:] == ["input_round_trip", "n_words"] and coded.where("round_trip and input_round_trip = 13").count() == 5
+
+
 def test_ring_hot_key(spark):
     df = spark.range(3000).withColumn("text", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")))
     out = ring.bounded_ring(df, F.col("text"), [F.col("id")], 8).collect()
