@@ -20,10 +20,7 @@ from lexbind.llm.common import stored, table
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality rules reject (operator 3)."""
-    columns = docs.columns
-    others = tuple(c for c in columns if c != "doc_id")
-    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), others)
-    return scored.where("kept").select(*columns)
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
