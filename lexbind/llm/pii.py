@@ -3,15 +3,21 @@
 1. Base generators (email, ip, card, phone) and wider generators (secrets, keys,
    loose digit groups) propose spans; all are Java regular expressions inside
    SQL expressions.  Spans found by the base rules stay whatever the trees say.
-2. Each wider candidate gets discrete format and context features (character
-   classes, length, separators, entropy proxy, neighbouring cue words).
-3. Gradient-boosted trees are trained on weak labels: spans that a strict check
-   confirms (a known key prefix, a cue such as ``password=``, quoted long hex,
-   a valid base span) against the rest.  Features are discrete, so training
-   needs only (feature cell, label) counts over all rows: at most a few thousand
-   cells reach the driver, whatever the input's size.
-4. The trees become one SQL CASE expression; a calibrated threshold, chosen on
-   the held-out fold of cells, selects the spans to add.
+2. Each wider candidate gets discrete features of two views: its format
+   (character classes, length, runs, known prefixes) and its context (quotes and
+   cue words beside it).
+3. Two models of gradient-boosted trees teach each other: the format model learns
+   from labels that the context gives (a cue stands before the span), the context
+   model from labels that the format gives (a key prefix, long hex, mixed digits);
+   neither sees the features its labels come from.  Features are discrete, so
+   training needs only (feature cell, counts) over all rows: at most a few
+   thousand cells reach the driver, whatever the input's size.
+4. The sum of both scores is calibrated by Platt scaling on the held-out fold of
+   cells, where either view's label counts.  The trees become one SQL CASE
+   expression, and spans of a calibrated probability of KEEP_AT or more are added.
+
+Texts are scanned once: spans and features are stored, and both training and
+selection read them.
 
 The main path has no Python on the executors.
 
@@ -28,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexbind.llm.common import table
+from lexbind.llm.common import stored, table
 
 #: Base patterns: equal to the contract's, with possessive loops and anchored
 #: starts (after the previous match, or where no earlier start could match).
@@ -46,8 +52,8 @@ KINDS = ("email", "ip", "card", "phone", "secret", "key", "number")
 BASE = KINDS[:4]
 CUES = r"(?i)(?:pass|pwd|secret|token|key|auth|credential|bearer|login)[^\n]{0,12}$"
 CALL_CUES = r"(?i)(?:tel|phone|call|fax|mobile|ssn|contact)[^\n]{0,12}$"
-#: Tree count, depth-2 trees, shrinkage, precision that the threshold must reach.
-TREES, SHRINK, PRECISION = 24, 0.4, 0.9
+#: Tree count, depth-2 trees, shrinkage, and the probability that adds a span.
+TREES, SHRINK, KEEP_AT = 24, 0.4, 0.5
 #: Characters of context on the left that features look at.
 CONTEXT = 24
 
@@ -123,6 +129,8 @@ def _wide_spans(text: Column) -> dict[str, Column]:
 
 
 FEATURES = ("kind", "size", "digits", "cases", "hexes", "prefix", "quoted", "cue", "call", "runs")
+#: The features of each view, by place; both have the kind.
+FORMAT, CONTEXT_VIEW = (0, 1, 2, 3, 4, 5, 9), (0, 6, 7, 8)
 
 
 def _features(text: Column, kind: str, span: Column) -> Column:
@@ -169,16 +177,19 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return out.select("doc_id", *held, *BASE, F.concat(*wide).alias("wide"))
 
 
-def weak_label(f: Column) -> Column:
-    """Strict confirmation of a candidate, from which the trees generalise."""
-    secret = (f["kind"] == KINDS.index("secret")) & ((f["digits"] > 0) | (f["size"] >= 4))
-    key = (f["kind"] == KINDS.index("key")) & ((f["prefix"] == 1) | ((f["hexes"] == 1) & (f["size"] >= 5)) | ((f["cue"] == 1) & (f["digits"] > 0)))
-    number = (f["kind"] == KINDS.index("number")) & ((f["call"] == 1) | (f["digits"] >= 2))
-    return secret | key | number
+def context_label(f: tuple[int, ...]) -> bool:
+    """Whether the words beside a candidate say what it is."""
+    return bool(f[7]) if f[0] == KINDS.index("key") else bool(f[8]) if f[0] == KINDS.index("number") else bool(f[6] or f[7])
 
 
-def train(cells: list[tuple[tuple[int, ...], int, int]]) -> list[tuple]:
-    """Depth-2 boosted trees on (features, positives, negatives) cells.
+def format_label(f: tuple[int, ...]) -> bool:
+    """Whether a candidate looks like a secret, whatever stands beside it."""
+    return bool(f[5]) or (bool(f[4]) and f[1] >= 5) or (f[0] != KINDS.index("number") and 0 < f[2] < 4 and f[9] >= 1) or (f[0] == KINDS.index("number") and f[2] >= 2)
+
+
+def train(cells: list[tuple[tuple[int, ...], int, int]], view: tuple[int, ...] = tuple(range(len(FEATURES)))) -> list[tuple]:
+    """Depth-2 boosted trees on (features, positives, negatives) cells, over the
+    features of a view.
 
     Returns trees (feature, cut, left leaf or (feature, cut, a, b), right ...)
     preceded by the prior log-odds.
@@ -187,7 +198,7 @@ def train(cells: list[tuple[tuple[int, ...], int, int]]) -> list[tuple]:
     prior = math.log((pos + 1) / (neg + 1))
     score = [prior] * len(cells)
     trees: list[tuple] = []
-    cuts = [(k, v) for k in range(len(FEATURES)) for v in sorted({c[0][k] for c in cells})[:-1]]
+    cuts = [(k, v) for k in view for v in sorted({c[0][k] for c in cells})[:-1]]
 
     def sums(rows):
         g = h = 0.0
@@ -236,18 +247,35 @@ def value(tree, features: tuple[int, ...]) -> float:
     return tree
 
 
-def calibrate(model: list, cells: list[tuple[tuple[int, ...], int, int]]) -> float:
-    """Lowest score whose held-out precision reaches PRECISION."""
-    scored = sorted(((model[0] + sum(value(t, f) for t in model[1:]), a, b) for f, a, b in cells), reverse=True)
-    best, good, bad = math.inf, 0, 0
-    for s, a, b in scored:
-        good, bad = good + a, bad + b
-        if good >= PRECISION * (good + bad):
-            best = s - 1e-9
-    return best
-
-
-def model_column(model: list, f: Column) -> Column:
+def score(models: list[list], f: tuple[int, ...]) -> float:
+    """Sum of the models' log-odds for a cell."""
+    return sum(m[0] + sum(value(t, f) for t in m[1:]) for m in models)
+
+
+def calibrate(models: list[list], cells: list[tuple[tuple[int, ...], int]]) -> float:
+    """The score whose calibrated probability is KEEP_AT: Platt scaling on cells
+    (features, rows), which are positive if either view says so (a secret often
+    stands bare, and a cue before odd text); infinite without positives."""
+    judged = [(score(models, f), context_label(f) or format_label(f), n) for f, n in cells]
+    pos, neg = sum(n for _, y, n in judged if y), sum(n for _, y, n in judged if not y)
+    if not pos:
+        return math.inf
+    high, low = (pos + 1) / (pos + 2), 1 / (neg + 2)
+    a, b = 1.0, 0.0
+    for _ in range(100):
+        ga, gb, haa, hab, hbb = 1e-3 * (a - 1), 0.0, 1e-3, 0.0, 1e-6
+        for s, y, n in judged:
+            p = 1 / (1 + math.exp(-max(-40.0, min(40.0, a * s + b))))
+            g, h = n * (p - (high if y else low)), n * p * (1 - p)
+            ga, gb, haa, hab, hbb = ga + g * s, gb + g, haa + h * s * s, hab + h * s, hbb + h
+        det = haa * hbb - hab * hab
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        step = min(1.0, 1 / max(1e-9, abs(da), abs(db)))
+        a, b = a - step * da, b - step * db
+    return (math.log(KEEP_AT / (1 - KEEP_AT)) - b) / a if a > 0 else math.inf
+
+
+def model_column(models: list[list], f: Column) -> Column:
     """The boosted score as a CASE expression."""
 
     def node(tree) -> Column:
@@ -256,33 +284,33 @@ def model_column(model: list, f: Column) -> Column:
         k, v, left, right = tree
         return F.when(f[FEATURES[k]] <= v, node(left)).otherwise(node(right))
 
-    out = F.lit(model[0])
-    for tree in model[1:]:
+    out = F.lit(sum(m[0] for m in models))
+    for tree in (t for m in models for t in m[1:]):
         out = out + node(tree)
     return out
 
 
-def fit(docs: DataFrame) -> tuple[list, float]:
-    """(trees, threshold) from all rows; the fold crc32(doc_id) mod 5 = 0 calibrates."""
-    cells = (
-        candidates(docs)
-        .select((F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).alias("held"), F.explode("wide").alias("c"))
-        .select("held", F.col("c.f").alias("f"))
-        .groupBy("held", "f")
-        .agg(F.sum(weak_label(F.col("f")).cast("long")).alias("pos"), F.count("*").alias("n"))
-        .collect()
-    )
+def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`candidates`, stored."""
+    return stored(candidates(docs, keep), "candidates")
+
+
+def fit(scanned: DataFrame) -> tuple[list[list], float]:
+    """(format and context trees, threshold) from all rows of :func:`scan`; the
+    fold crc32(doc_id) mod 5 = 0 calibrates."""
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    counted = scanned.select(held.alias("held"), F.explode("wide.f").alias("f")).groupBy("held", "f").agg(F.count("*").alias("n")).collect()
     split: dict[bool, list] = {True: [], False: []}
-    for r in sorted(cells, key=lambda r: (r.held, tuple(r.f))):
-        split[r.held].append((tuple(r.f), r.pos, r.n - r.pos))
-    model = train(split[False])
-    return model, calibrate(model, split[True] or split[False])
+    for r in sorted(counted, key=lambda r: (r.held, tuple(r.f))):
+        split[r.held].append((tuple(r.f), r.n))
+    models = [train([(f, n * label(f), n * (not label(f))) for f, n in split[False]], view) for view, label in ((FORMAT, context_label), (CONTEXT_VIEW, format_label))]
+    return models, calibrate(models, split[True] or split[False])
 
 
-def find_spans(docs: DataFrame, model: list, threshold: float, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, base spans by kind, and ``added``: the selected candidates that
+def find_spans(scanned: DataFrame, model: list[list], threshold: float) -> DataFrame:
+    """Rows of :func:`scan` with the base spans by kind, and ``added``: the selected candidates that
     overlap neither a base span nor an earlier or longer selected one."""
-    found = candidates(docs, keep)
+    found = scanned
     if threshold == math.inf:
         return found.withColumn("added", F.array().cast("array<struct<kind:string,s:int,e:int>>")).drop("wide")
     picked = F.transform(
@@ -344,20 +372,20 @@ def redacted_text(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
 
 
-def redact(docs: DataFrame, model: list, threshold: float) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind in angle
-    brackets; null texts stay null, other columns stay as they are."""
-    columns = docs.columns
-    found = find_spans(docs, model, threshold, tuple(c for c in columns if c != "doc_id"))
-    found = found.select("doc_id", "kept", merged_spans().alias("_all"))
+def redact(scanned: DataFrame, model: list[list], threshold: float) -> DataFrame:
+    """The columns kept by :func:`scan`, ``text`` among them, with every span in
+    the text replaced by its kind in angle brackets; null texts stay null, other
+    columns stay as they are."""
+    found = find_spans(scanned, model, threshold).select("kept", merged_spans().alias("_all"))
     text = F.col("kept.text")
     clean = F.when(F.size("_all") > 0, redacted_text(text, F.col("_all"))).otherwise(text)
-    return found.select(*[F.col(c) if c == "doc_id" else clean.alias("text") if c == "text" else F.col("kept")[c].alias(c) for c in columns])
+    return found.select(*[clean.alias("text") if c == "text" else F.col("kept")[c].alias(c) for c in scanned.schema["kept"].dataType.names])
 
 
 def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole ``documents`` text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = find_spans(docs, *fit(docs))
+    scanned = scan(docs)
+    out = find_spans(scanned, *fit(scanned))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE]
     return out.select("doc_id", *counts, F.sha2(_listed(list(BASE)), 256).alias("base_sha256"), _listed(list(KINDS)).alias("spans"))

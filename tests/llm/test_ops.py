@@ -462,24 +462,66 @@ def brute_spans(t):
 TEXTS = ["a.b@c.de_x@y.zz @a.b q@w", "é 1.2.3.4 1.2.3 4.5.6.7.8 999.1.1.1 01.002.3.0255", "4041 8949 7460 8795 x 4041894974608795-1 5", "+1 (724) 555-7058. +12 +1.2.3.4.5.6.7 +", "ü@x.y é@é.fr a%b@c-d.e", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "9" * 5000, "a" * 20000 + "@b.c", "1." * 3000, "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" password=e9b9ed9cc9d9"]
 
 
+def brute_features(t, kind, m):
+    body, before, after = m[0], t[max(0, m.start() - pii.CONTEXT) : m.start()], t[m.end() : m.end() + 1]
+    has = lambda p, x: bool(re.search(p, x))
+    runs = len(re.sub("[0-9]+|[A-Z]+|[a-z]+", "x", body))
+    return (
+        pii.KINDS.index(kind), min(len(body) // 4, 10), len(re.sub("[^0-9]", "", body)) * 4 // max(1, len(body)), has("[A-Z]", body) * 2 + has("[a-z]", body),
+        int(has("^[0-9a-fA-F]+$", body)), int(has("^(?:AKIA|ASIA|ghp_|gho_|sk_|sk-|xox[bp]-|eyJ|AIza)", body)), int(has("[\"'`]$", before) and has("^[\"'`]", after)),
+        int(has(pii.CUES, before)), int(has(pii.CALL_CUES, before)), min(runs // 3, 5),
+    )
+
+
+def brute_candidates(t):
+    base = [tuple(map(int, x.split(":")[1:])) for x in brute_spans(t).split(",") if x]
+    out = []
+    for kind, pattern, needs in (("secret", pii.ASSIGN, r"(?i)passw|pwd|secret|token|key"), ("key", pii.TOKEN, ""), ("number", pii.GROUPS, r"[0-9]{3}\)?[\x20.-][0-9]")):
+        for m in re.finditer(pattern, t) if re.search(needs, t) else ():
+            if not any(a < m.end() and m.start() < b for a, b in base):
+                out.append((m.start(), -m.end(), kind, brute_features(t, kind, m)))
+    return out
+
+
+def brute_added(t, models, threshold):
+    out = []
+    for begin, end, kind, f in sorted(c for c in brute_candidates(t) if pii.score(models, c[3]) >= threshold):
+        if not out or out[-1][2] <= begin:
+            out.append((kind, begin, -end))
+    return out
+
+
 def test_pii_base_spans(spark, docs, rows, empty):
     data = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + k, r[1]) for k, r in enumerate(rows)] + [(999, None)]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.find_spans(df, *pii.fit(df)).withColumn("b", pii._listed(list(pii.BASE))).collect()}
+    scanned = pii.scan(df)
+    out = {r.doc_id: r for r in pii.find_spans(scanned, *pii.fit(scanned)).withColumn("b", pii._listed(list(pii.BASE))).collect()}
     for i, t in data:
         assert out[i].b == brute_spans(t or ""), t
-    assert pii.find_spans(empty, *pii.fit(empty)).count() == 0
+    nothing = pii.scan(empty)
+    assert pii.find_spans(nothing, *pii.fit(nothing)).count() == 0
 
 
 def test_pii_added_and_redacted(spark):
-    quoted = [(i, f'{prose(i, 20)} api_key = "{hashlib.sha1(str(i).encode()).hexdigest()}" {prose(i, 5)}') for i in range(30)]
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
+    quoted = [(i, f'{prose(i, 20)} api_key = "{keys[i]}" {prose(i, 5)}') for i in range(30)]
+    bare = [(50 + i, f"{prose(i, 9)} {keys[30 + i]} {prose(i, 5)}") for i in range(5)]
+    calls = [(70 + i, f"{prose(i, 5)} call (555) 010-{1000 + i} or password=e9b9ed{i}9cc9d9, token: abcdefgh {prose(i, 4)}") for i in range(12)]
     plain = [(100 + i, prose(i, 40) + " internationalisations") for i in range(60)]
-    df = spark.createDataFrame(quoted + plain + [(500, None)], "doc_id long, text string")
-    model = pii.fit(df)
-    found = {r.doc_id: r.added for r in pii.find_spans(df, *model).collect()}
-    assert all(len(found[i]) == 1 for i, _ in quoted) and not any(found[i] for i, _ in plain)
-    clean = {r.doc_id: r.text for r in pii.redact(df, *model).collect()}
-    assert all(hashlib.sha1(str(i).encode()).hexdigest() not in clean[i] for i, _ in quoted)
+    data = quoted + bare + calls + plain + [(900 + i, t) for i, t in enumerate(TEXTS)]
+    df = spark.createDataFrame([(*d, 0, 0) for d in data] + [(500, None, 0, 0)], "doc_id long, text string, wide int, kept int")
+    scanned = pii.scan(df, tuple(df.columns))
+    models, threshold = pii.fit(scanned)
+    # Neither model sees the features that its labels come from.
+    used = [{t[0] for tree in m[1:] for t in (tree, *tree[2:]) if isinstance(t, tuple)} for m in models]
+    assert not used[0] & {6, 7, 8} and not used[1] & {1, 2, 3, 4, 5, 9}
+    found = {r.doc_id: [(a.kind, a.s, a.e) for a in r.added] for r in pii.find_spans(scanned, models, threshold).collect()}
+    assert found == {i: brute_added(t, models, threshold) for i, t in data} | {500: []}
+    assert all(len(found[i]) == 1 for i, _ in quoted + bare) and not any(found[i] for i, _ in plain)
+    clean = pii.redact(scanned, models, threshold)
+    assert clean.columns == df.columns
+    clean = {r.doc_id: r.text for r in clean.collect()}
+    assert all(k not in t for k in keys[:35] for t in clean.values() if t)
     assert all(clean[i] == t for i, t in plain) and clean[500] is None
 
 
