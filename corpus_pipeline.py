@@ -36,7 +36,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind (operator 6); n_chars follows the text."""
-    out = pii.redact(docs, *pii.fit(docs))
+    scanned = pii.scan(docs, tuple(docs.columns))
+    out = pii.redact(scanned, *pii.fit(scanned))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
     return out.select(*docs.columns)
