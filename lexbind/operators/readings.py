@@ -32,13 +32,13 @@ def with_margins(crops: DataFrame, passes: int) -> DataFrame:
     return crops.select("*", F.explode(margins).alias("_m")).select(*crops.columns, "_m.pass_index", "_m.margin")
 
 
-def quantile(values: Column, q: float) -> Column:
-    """Linearly interpolated quantile of an array; null if empty."""
-    ordered = F.array_sort(values)
-    at = (F.size(ordered) - 1) * F.lit(q)
+def quantile(values: Column, q: float, ordered: bool = False) -> Column:
+    """Linearly interpolated quantile of an array (``ordered`` or not); null if empty."""
+    ranked = values if ordered else F.sort_array(values)
+    at = (F.size(values) - 1) * F.lit(q)
     low = F.floor(at).cast("int")
-    a, b = F.try_element_at(ordered, low + 1), F.try_element_at(ordered, F.least(low + 2, F.size(ordered)))
-    return F.when(F.size(ordered) > 0, a + (b - a) * (at - low))
+    a, b = F.try_element_at(ranked, low + 1), F.try_element_at(ranked, F.least(low + 2, F.size(values)))
+    return F.when(F.size(values) > 0, a + (b - a) * (at - low))
 
 
 def gated(readings: DataFrame, multilingual: bool = True) -> DataFrame:
@@ -47,11 +47,11 @@ def gated(readings: DataFrame, multilingual: bool = True) -> DataFrame:
     visible = F.length(F.regexp_replace("text", r"(?U)\s", ""))
     rows = readings.withColumn("text", T.collapse_repeats("text")).withColumn("_c", F.slice("char_conf", F.lit(1), visible))
     n = F.size("_c")
-    rows = rows.withColumns({
+    rows = rows.withColumn("_s", F.sort_array("_c")).withColumns({
         "mean": F.when(n > 0, F.aggregate("_c", F.lit(0.0), lambda a, c: a + c) / n),
-        "least": F.when(n > 0, F.array_min("_c")),
-        "quartile": quantile(F.col("_c"), 0.25),
-    }).drop("_c")
+        "least": F.try_element_at("_s", F.lit(1)),
+        "quartile": quantile(F.col("_s"), 0.25, ordered=True),
+    }).drop("_c", "_s")
     good = T.plausible("text", multilingual) & (F.col("mean") >= MEAN) & (F.col("least") >= LEAST) & (F.col("quartile") >= QUARTILE)
     return rows.withColumn("accepted", F.coalesce(good, F.lit(False)))
 
