@@ -1,7 +1,8 @@
 """Operator 5: near-duplicates by bottom-k sketches of one hash function.
 
-A document's set holds the distinct 64-bit hashes of its 5-word shingles (ASCII
-lower case).  Its sketch is the ``SKETCH`` smallest hashes.
+A document's set holds the distinct hashes of its 5-word shingles (ASCII lower
+case), 63 bits each: sizes and similarities are exact but for equal hashes of
+different shingles, which a document of 20,000 words has with a chance of 2e-11.  Its sketch is the ``SKETCH`` smallest hashes.
 
 1. Documents with equal sets collapse to one node.
 2. Inverted lists of retained values generate candidate pairs.  A list key is a

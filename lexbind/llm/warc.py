@@ -41,6 +41,8 @@ BUNDLE_BYTES = 24 * 1024 * 1024
 REVISIT_BYTES = 100
 #: Parts that the rows of one payload are dealt to.
 SALTS = 64
+#: Time of capture of every record: the input has none, and results must not depend on the clock.
+DATE = "1970-01-01T00:00:00Z"
 SEEK_MAGIC = 0x8F92EAB1
 SKIP_MAGIC = 0x184D2A5E
 INDEX_MAGIC = 0x184D2A50
@@ -51,6 +53,7 @@ def record_bytes(page_id: int | None, url: str, kind: str, refers_to: int | None
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
+        f"WARC-Date: {DATE}",
         f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>",
         "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha256:{digest}",

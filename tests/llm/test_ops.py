@@ -96,6 +96,21 @@ def test_odd_texts_equal_the_library():
         assert simple8b.encode_texts(pa.array([t, "plain"]), path)[0].tolist()[: -len(whole.encode("plain").ids)] == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_token_cuts_by_character():
+    """The cut into pieces equals the library on whole texts: every character
+    below U+0250 and some beyond, alone, doubled and beside letters, digits and marks."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    odd = [*range(1, 0x250), 0x2028, 0x2019, 0x3000, 0x4E2D, 0x1F600, 0x0301, 0x0130]
+    texts = [f"ab{c}cd {c} {c}{c} 12{c}3 '{c}s {c}. A{c}{d}b" for c in map(chr, odd) for d in "a1.' \n\u00e9"]
+    ids, lengths = simple8b.encode_texts(pa.array(texts), path)
+    want = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 # 2 ---------------------------------------------------------------------------
 
 
