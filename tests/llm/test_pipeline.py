@@ -42,3 +42,27 @@ def test_pipeline(spark, tmp_path):
     assert seen["pieces"] == seen["personal_data"] == seen["leaks"]
     assert df.where("not round_trip").count() == 0
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == seen["pieces"]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, null ids and texts, repeated ids and rows, extra columns with the stages' own names."""
+    import corpus_pipeline
+
+    extra = "kept int, quality int, item_ids int, share int, wide int, tag int, n int, stay int, _k0 int, doc int"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    a, b, c = prose(1, 90), prose(2, 90), prose(3, 90)
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, c), (None, c), (None, None), (3, None), (4, ""), (5, prose(4, 3000))]
+    full = [(*r, "en", None, None, *range(10)) for r in rows]
+    for name, data, marks in (("all", full, [(1, 1, 0), (None, 0, 1), (2, None, None)]), ("none", [], [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        df = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            df = stage(spark, df, folder)
+            assert df.columns == docs.columns
+        got = sorted((str(r.doc_id), r.text) for r in df.collect())
+        assert got == (sorted([("1", a), ("1", b), ("None", c), ("5", prose(4, 3000))]) if data else [])
+        assert corpus_pipeline.run(spark, folder).count() == len(got)
