@@ -55,6 +55,8 @@ def drop_stored(df: DataFrame) -> None:
 
 #: A key with this share of a side's rows is hot; at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 1 / 256
+#: A key of at most so many rows is never hot.
+HOT_ROWS = 1000
 #: Parts that a hot key's rows are dealt to.
 HOT_PARTS = 32
 
@@ -73,8 +75,9 @@ def hot_safe_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner
         counted = right.select(F.col(key).alias("_hot"), F.col(count).alias("_n"))
     else:
         counted = of.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
-    total = (counted.agg(F.sum("_n")).first()[0] or 0) if count else of.count()
-    hot = [r[0] for r in counted.where(F.col("_n") > max(1000, total * HOT_SHARE)).select("_hot").limit(math.ceil(1 / HOT_SHARE)).collect() if r[0] is not None]
+    most = counted.where(F.col("_n") > HOT_ROWS).orderBy(F.desc("_n")).limit(math.ceil(1 / HOT_SHARE)).collect()
+    total = ((counted.agg(F.sum("_n")).first()[0] or 0) if count else of.count()) if most else 0
+    hot = [k for k, n in most if k is not None and n > total * HOT_SHARE]
     if not hot:
         return left.join(right, key, how)
     part = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*left.columns), F.lit(HOT_PARTS))).otherwise(0)
