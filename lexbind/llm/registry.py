@@ -16,6 +16,9 @@ MODULES = {
     "op8_ring_shards": "ring",
     "op9_seekable_warc": "warc",
     "op10_suffix_array_pieces": "pieces",
+    "op11_trie_collocations": "collocations",
+    "op12_simhash_balls": "simhash",
+    "op13_spelling_halves": "spelling",
 }
 
 
