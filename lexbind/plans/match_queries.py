@@ -131,8 +131,8 @@ SELECT doc_id, CAST(rank AS BIGINT) AS rank, item_id, CAST(votes AS BIGINT) AS v
 def block_tokens_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = X.token_postings(_forms(spark, sf_dir))
     n = table(spark, sf_dir, "benchmark").count()
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("obs_id"), F.lit(0).alias("qpos"), F.array(T.key("text")).alias("keys"))
-    top = blocking.top_per_line(blocking.line_votes(docs, tokens, None, n), 5)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("obs_id"), F.array(T.key("text")).alias("keys"))
+    top = blocking.best_by_line(docs, tokens, None, n, 5)
     return top.select(F.col("obs_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias("item_id"), "votes")
 
 
