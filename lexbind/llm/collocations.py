@@ -43,8 +43,8 @@ SHARD_WORDS, SHARD_VOCABULARY, SHARD_BYTES = 3_000_000, 900_000, 48_000_000
 SLICE, BLOCK_NODES, MARK, RANGE_NODES = 4_000_000, 1 << 17, 2048, 1_000_000
 #: Marks that the driver sees.
 MARKS = 100_000
-#: Parts that a language's candidates are ranked in first.
-RANK_PARTS = 64
+#: Parts that a language's candidates are ranked in, step by step.
+RANK_PARTS = (256, 16, 4)
 
 #: Stands for every border between pieces; no byte of UTF-8.
 BORDER = b"\xff"
@@ -336,8 +336,11 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     pairs = found.where("w3 = ''").join(around, ["lang", "w1", "w2"], "left").where(F.col("_in").isNull() | (F.col("_in") * 100 < F.col("a") * INSIDE_PERCENT)).drop("_in")
     kept = pairs.select(*found.columns).union(longer)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    dealt = kept.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
-    best = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_r") <= top)
+    # A language's best are the best of its parts, in fewer parts at each step.
+    best = kept.withColumn("_hash", F.xxhash64("phrase"))
+    for parts in RANK_PARTS:
+        place = F.row_number().over(Window.partitionBy("lang", F.pmod("_hash", F.lit(parts))).orderBy(*order))
+        best = best.withColumn("_r", place).where(F.col("_r") <= top)
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
