@@ -41,6 +41,25 @@ def first_of(payload: Column | str, names: tuple[str, ...] = WRAPPERS) -> Column
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), *members, F.array().cast("array<variant>"))
 
 
+#: Members that wrap the list of a page, in order (fixed values).
+PAGE_WRAPPERS = ("items", "data", "wines", "results")
+
+
+def first_filled(payload: Column | str, names: tuple[str, ...] = PAGE_WRAPPERS) -> Column:
+    """A VARIANT list, or an object's first member among ``names`` that is a list with
+    anything in it."""
+    v = F.col(payload) if isinstance(payload, str) else payload
+    lists = [F.try_variant_get(v, p, "array<variant>") for p in ("$", *(f"$.{n}" for n in names))]
+    return F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists], F.array().cast("array<variant>"))
+
+
+def filled(v: Column) -> Column:
+    """Whether a VARIANT says anything: not null, empty text or list or object, zero or false."""
+    text, kind = F.to_json(v), F.schema_of_variant(v)
+    zero = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (F.try_variant_get(v, "$", "double") == 0)
+    return F.coalesce(~text.isin("null", '""', "[]", "{}", "false") & ~F.coalesce(zero, F.lit(False)), F.lit(False))
+
+
 def record(raw: Column | str) -> dict[str, Column]:
     """Catalog columns of a raw metadata VARIANT."""
     v = F.col(raw) if isinstance(raw, str) else raw
@@ -165,11 +184,16 @@ def assign_ids(fresh: DataFrame, previous: DataFrame, key: str, start: int) -> D
 
 def scraped_record(raw: Column | str, position: Column) -> dict[str, Column]:
     """Metadata columns of a scraped item (a VARIANT): the first filled of the
-    member names that sources use; the item itself stays as ``raw_metadata``."""
+    member names that sources use (``grape`` stays a VARIANT, text or list); the item
+    itself stays as ``raw_metadata``."""
     v = F.col(raw) if isinstance(raw, str) else raw
 
+    def first(*names: str) -> Column:
+        members = [F.try_variant_get(v, f"$.{n}", "variant") for n in names]
+        return F.coalesce(*[F.when(filled(m), m) for m in members])
+
     def text(*names: str) -> Column:
-        return F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{n}", "string"), F.lit("")) for n in names])
+        return F.try_variant_get(first(*names), "$", "string")
 
     image = text("image_url", "image", "photo")
     scraped_id = F.coalesce(text("id", "code"), (position + 1).cast("string"))
@@ -182,7 +206,7 @@ def scraped_record(raw: Column | str, position: Column) -> dict[str, Column]:
         "color": text("color"),
         "sugar": text("sugar", "category"),
         "region": text("region"),
-        "grape": text("grape", "varieties"),
+        "grape": first("grape", "varieties"),
         "rating": text("rating_roskachestvo", "rating"),
         "remote_image_url": image,
         "local_name": F.when(image.isNotNull(), F.concat(F.lit("wine_"), scraped_id, suffix)),

@@ -88,8 +88,9 @@ def consensus(readings: DataFrame) -> DataFrame:
 
 def best_by_text(rows: DataFrame) -> DataFrame:
     """One accepted reading for each text of an observation: greatest mean, then
-    first crop; ``line_idx`` restores crop order."""
-    w = Window.partitionBy("obs_id", T.duplicate_key("text")).orderBy(F.desc("mean"), "crop_index")
+    first crop (and pass, if there are several); ``line_idx`` restores their order."""
+    place = [c for c in ("crop_index", "pass_index") if c in rows.columns]
+    w = Window.partitionBy("obs_id", T.duplicate_key("text")).orderBy(F.desc("mean"), *place)
     kept = rows.where("accepted").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    order = Window.partitionBy("obs_id").orderBy("crop_index")
+    order = Window.partitionBy("obs_id").orderBy(*place)
     return kept.withColumn("line_idx", F.row_number().over(order) - 1)

@@ -112,20 +112,23 @@ r AS (SELECT obs_id, crop_index, pass_index, CASE odd WHEN 0 THEN replace(text,
 
 
 @query(f"""
-WITH {READINGS}, c AS (SELECT obs_id, crop_index, pass_index, unnest(conf) / 100.0::DOUBLE AS c FROM r)
-SELECT obs_id, crop_index, CAST(pass_index AS BIGINT) AS pass_index, round(quantile_cont(c, 0.25), 6) AS quartile, min(c) AS least, round(avg(c), 6) AS mean FROM c GROUP BY ALL
+WITH {READINGS}, c AS (SELECT obs_id, crop_index, pass_index, unnest(conf) AS p FROM r)
+SELECT obs_id, crop_index, CAST(pass_index AS BIGINT) AS pass_index, round(quantile_cont(p / 100.0::DOUBLE, 0.25), 6) AS quartile, min(p) / 100.0::DOUBLE AS least, round(CAST(sum(p) AS BIGINT) / CAST(100 * count(*) AS DOUBLE), 6) AS mean FROM c GROUP BY ALL
 """)
 def conf_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = readings(spark, sf_dir).withColumn("mean", F.aggregate("char_conf", F.lit(0.0), lambda a, c: a + c) / F.size("char_conf"))
+    # Whole percents are summed, so that the order of the sum does not matter.
+    percents = F.aggregate("char_conf", F.lit(0).cast("long"), lambda a, c: a + F.round(c * 100).cast("long"))
+    rows = readings(spark, sf_dir).withColumn("mean", percents / (100 * F.size("char_conf")))
     return rows.select("obs_id", "crop_index", F.col("pass_index").cast("long").alias("pass_index"), F.round(R.quantile(F.col("char_conf"), 0.25), 6).alias("quartile"), F.array_min("char_conf").alias("least"), F.round("mean", 6).alias("mean"))
 
 
 def _gate_sql() -> str:
     return rf"""
 WITH {READINGS},
-w AS (SELECT obs_id, crop_index, pass_index, conf, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM r),
+w AS (SELECT obs_id, crop_index, pass_index, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM r),
 d AS (SELECT *, {DUP('w')} AS d, lag({DUP('w')}) OVER (PARTITION BY obs_id, crop_index, pass_index ORDER BY i) AS before FROM w),
-t AS (SELECT obs_id, crop_index, pass_index, any_value(conf) AS conf, string_agg(w, ' ' ORDER BY i) AS text FROM d WHERE before IS NULL OR d = '' OR d <> before GROUP BY 1, 2, 3),
+t0 AS (SELECT obs_id, crop_index, pass_index, string_agg(w, ' ' ORDER BY i) AS text FROM d WHERE before IS NULL OR d = '' OR d <> before GROUP BY 1, 2, 3),
+t AS (SELECT t0.*, r.conf FROM t0 JOIN r USING (obs_id, crop_index, pass_index)),
 v AS (SELECT *, list_transform(list_slice(conf, 1, length(regexp_replace(text, '\s', '', 'g'))), lambda x: x / 100.0::DOUBLE) AS c, string_split(lower(text), '') AS ch FROM t),
 q AS (SELECT *, list_sort(c) AS s, (len(c) - 1) * 0.25::DOUBLE AS spot FROM v),
 g AS (SELECT *, list_reduce(c, lambda a, b: a + b) / len(c) AS mean, list_min(c) AS least,
@@ -147,17 +150,17 @@ def consensus_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("obs_id", "crop_index", "text", F.round("mean", 6).alias("mean"), "accepted")
 
 
-@query(_gate_sql() + f""", a AS (SELECT obs_id, crop_index, text, CAST(list_sum(list_transform(c, lambda x: round(x * 100))) AS BIGINT) AS total, {DUP('text')} AS d FROM g WHERE pass_index = 2 AND looks AND mean >= 0.88 AND least >= 0.55 AND quartile >= 0.75),
-k AS (SELECT *, row_number() OVER (PARTITION BY obs_id, d ORDER BY total DESC, crop_index) AS n FROM a)
-SELECT obs_id, crop_index, text, row_number() OVER (PARTITION BY obs_id ORDER BY crop_index) - 1 AS line_idx FROM k WHERE n = 1
+@query(_gate_sql() + f""", a AS (SELECT obs_id, crop_index, pass_index, text, CAST(list_sum(list_transform(c, lambda x: round(x * 100))) AS BIGINT) AS total, {DUP('text')} AS d FROM g WHERE looks AND mean >= 0.88 AND least >= 0.55 AND quartile >= 0.75),
+k AS (SELECT *, row_number() OVER (PARTITION BY obs_id, d ORDER BY total DESC, crop_index, pass_index) AS n FROM a)
+SELECT obs_id, crop_index, CAST(pass_index AS BIGINT) AS pass_index, text, row_number() OVER (PARTITION BY obs_id ORDER BY crop_index, pass_index) - 1 AS line_idx FROM k WHERE n = 1
 """)
 def dedupe_best_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best reading of each text, by summed confidence so that no float decides."""
-    rows = R.gated(readings(spark, sf_dir)).where("pass_index = 2")
+    """Best reading of each text over all passes, by summed confidence so that no float decides."""
+    rows = R.gated(readings(spark, sf_dir))
     n = F.length(F.regexp_replace("text", r"(?U)\s", ""))
     total = F.aggregate(F.slice("char_conf", F.lit(1), n), F.lit(0).cast("long"), lambda a, c: a + F.round(c * 100).cast("long"))
     kept = R.best_by_text(rows.withColumn("mean", total.cast("double")))
-    return kept.select("obs_id", "crop_index", "text", F.col("line_idx").cast("long").alias("line_idx"))
+    return kept.select("obs_id", "crop_index", F.col("pass_index").cast("long").alias("pass_index"), "text", F.col("line_idx").cast("long").alias("line_idx"))
 
 
 @query(f"""

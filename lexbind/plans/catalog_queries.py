@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexbind.operators import catalog as C
@@ -149,3 +149,46 @@ def wrapped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.explode(C.first_of(F.parse_json(payload), ("items", "results", "data"))).alias("v"))
     rows = rows.where(F.schema_of_variant("v").startswith("OBJECT"))
     return rows.select(F.try_variant_get("v", "$.id", "long").alias("event_id"), F.try_variant_get("v", "$.p.k", "long").alias("k"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'data' WHEN 1 THEN 'list' ELSE 'results' END AS source FROM events WHERE event_id % 4 <> 3")
+def paged_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects out of pages whose first wrapper may be empty."""
+    e = F.col("event_id")
+
+    def page(source: str) -> Column:
+        items = F.when(e % 4 == 3, F.lit("[]")).otherwise(F.concat(F.lit('[{"id":'), e.cast("string"), F.lit(f',"source":"{source}"}}]')))
+        other = {"data": '{"items":[],"wines":[{"id":-1}],"data":', "results": '{"items":null,"data":[],"results":'}.get(source, "")
+        return F.concat(F.lit(other), items, F.lit("}" if other else ""))
+
+    payload = F.when(e % 3 == 0, page("data")).when(e % 3 == 1, page("list")).otherwise(page("results"))
+    # An empty "data" falls through to "wines", whose object is left out here.
+    rows = table(spark, sf_dir, "events").select(F.explode(C.first_filled(F.parse_json(payload))).alias("v"))
+    return rows.select(F.try_variant_get("v", "$.id", "long").alias("event_id"), F.try_variant_get("v", "$.source", "string").alias("source")).where("event_id >= 0")
+
+
+@query("""
+SELECT p_partkey AS position, CASE WHEN p_partkey % 3 = 0 THEN 'c' || p_partkey WHEN p_partkey % 3 = 1 THEN CAST(p_partkey AS VARCHAR) ELSE CAST(p_partkey + 1 AS VARCHAR) END AS scraped_id,
+       CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS name, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(1990 + p_size AS VARCHAR) END AS year,
+       CASE WHEN p_partkey % 4 = 0 THEN p_name || '|' || p_type WHEN p_partkey % 4 = 1 THEN p_brand END AS grapes FROM part
+""")
+def scraped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scraped items with zeros, empty texts and lists: each member is the first that says anything."""
+    k = F.col("p_partkey")
+
+    def text(c) -> Column:
+        return F.concat(F.lit('"'), c, F.lit('"'))
+
+    members = {
+        "id": F.when(k % 3 == 1, k.cast("string")).otherwise("0"), "code": F.when(k % 3 == 0, F.concat(F.lit('"c'), k, F.lit('"'))).otherwise('""'),
+        "name": F.when(k % 2 == 0, text(F.col("p_name"))).otherwise("null"), "title": text(F.col("p_type")),
+        "year": F.when(k % 5 == 0, "0").otherwise('""'), "vintage": F.when(k % 5 == 0, "false").otherwise((F.col("p_size") + 1990).cast("string")),
+        "grape": F.when(k % 4 == 0, F.concat(F.lit('["'), F.col("p_name"), F.lit('","'), F.col("p_type"), F.lit('"]'))).otherwise("[]"),
+        "varieties": F.when(k % 4 == 1, text(F.col("p_brand"))).otherwise("{}"),
+    }
+    item = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), c) for n, c in members.items()]), F.lit("}"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.parse_json(item).alias("raw"))
+    made = C.scraped_record("raw", k)
+    listed = F.try_variant_get(made["grape"], "$", "array<string>")
+    grapes = F.coalesce(F.array_join(listed, "|"), F.try_variant_get(made["grape"], "$", "string"))
+    return rows.select(k.alias("position"), made["scraped_id"].alias("scraped_id"), made["name"].alias("name"), made["year"].alias("year"), grapes.alias("grapes"))

@@ -1,22 +1,39 @@
-"""Task queue worker on Structured Streaming.
-
-Messages (JSON with task_id and object_key) come from any streaming source with
-a ``value`` column.  Ranking needs windows that a stream does not allow, so
-each micro-batch is resolved as a batch.  Malformed messages get no response;
-a task whose object cannot be read gets an error response.  Delivery is at
-least once; responses carry (batch_id, task_id) so that a keyed sink makes it
-exactly once.
+"""Task worker on Structured Streaming: every task is answered once.
+
+Messages (seq, at, value: JSON with task_id and object_key) come from a stream, such as
+:func:`lexbind.streaming.queue.consume`.
+
+* Messages that are no task go to the dead letters with a reason; they get no answer.
+* A task_id is remembered in keyed state for ``KEEP`` after its first message; of its
+  messages in a micro-batch the first counts, those of later batches are ignored.
+* A micro-batch resolves each object once, however many tasks ask for it.  A task
+  whose object cannot be read, or whose lines break the input contract, gets an error
+  answer alone.  Should a batch fail as a whole, it is halved by object until the
+  object that fails stands alone.
+* A batch's answers are written to a folder of its own, which a repeated attempt
+  replaces: together with the state, each task has exactly one answer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexbind.operators import lines
 from lexbind.operators.matcher import CatalogIndex, resolve
+from lexbind.operators.store import stored
+
+#: How long a task_id is remembered, in seconds of ``at``, and how late messages may come.
+KEEP, LATE = 86_400, "1 hour"
+#: Error answers (fixed values).
+FAILED = "recognition_failed"
+RESULT = ("status", "ocr_lines", "best_match", "alternatives", "candidates", "score_type", "rejection_reason")
+SCORE_TYPE = "uncalibrated_catalog_match_score"
 
 
 def parse_tasks(messages: DataFrame, column: str = "value") -> DataFrame:
@@ -32,6 +49,12 @@ def parse_tasks(messages: DataFrame, column: str = "value") -> DataFrame:
     return rows.withColumn("valid", F.col("task_id").isNotNull() & F.col("object_key").isNotNull())
 
 
+def dead_letters(messages: DataFrame) -> DataFrame:
+    """Messages that are no task, with the ``reason``."""
+    reason = F.when(F.try_parse_json("value").isNull(), "not JSON").when(F.col("task_id").isNull(), "no task_id").otherwise("no object_key")
+    return parse_tasks(messages).where("not valid").select("seq", "at", "value", reason.alias("reason"))
+
+
 def route(tasks: DataFrame, objects: DataFrame) -> DataFrame:
     """Tasks with ``route``: drop (malformed), error (no such object) or resolve."""
     known = objects.select("object_key").distinct().withColumn("_has", F.lit(True))
@@ -39,56 +62,125 @@ def route(tasks: DataFrame, objects: DataFrame) -> DataFrame:
     return rows.withColumn("route", F.when(~F.col("valid"), "drop").when(F.col("_has").isNull(), "error").otherwise("resolve")).drop("_has")
 
 
-#: Catalog columns that responses show beside a candidate's own.
-SHOWN = ("region", "style", "color", "grapes", "year", "alcohol_percent", "slug")
+def first_messages(tasks: DataFrame, keep: int = KEEP, late: str = LATE) -> DataFrame:
+    """(task_id, seq, object_key): the first message of each task_id of a stream of
+    valid tasks (seq, at, task_id, object_key); state expires ``keep`` seconds after
+    a task's latest message."""
+
+    def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, latest = None, 0
+        for frame in frames:
+            row = frame.loc[frame["seq"].idxmin()]
+            latest = max(latest, int(frame["at"].max().timestamp() * 1000))
+            if best is None or row["seq"] < best["seq"]:
+                best = row
+        known = state.exists
+        if best is None:
+            return
+        state.update((True,))
+        state.setTimeoutTimestamp(max(latest + keep * 1000, state.getCurrentWatermarkMs() + 1))
+        if not known:
+            yield pd.DataFrame({"task_id": [key[0]], "seq": [int(best["seq"])], "object_key": [best["object_key"]]})
+
+    rows = tasks.select("seq", "at", "task_id", "object_key").withWatermark("at", late)
+    return rows.groupBy("task_id").applyInPandasWithState(first, "task_id string, seq long, object_key string", "answered boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def enriched(decided: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Decisions whose best match, alternatives and candidates carry the
-    catalog's columns; where both have a column the candidate's stays, and
-    candidates that the catalog lacks stay as they are."""
+    """Decisions whose best match, alternatives and candidates are catalog rows with
+    the candidate's other members: where both have one, the catalog's value wins.
+    A candidate that the catalog lacks stays as it is, other members null."""
     lists = ("candidates", "alternatives", "best_match")
     ids = F.array_compact(F.flatten(F.array(F.transform("candidates", lambda c: c["id"]), F.array("best_match.id"))))
     asked = decided.select("obs_id", F.explode(F.array_distinct(ids)).alias("id"))
-    known = asked.join(catalog.select("id", F.struct(*SHOWN).alias("product")), "id").groupBy("obs_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "product"))).alias("_products"))
+    columns = catalog.columns
+    known = asked.join(catalog, "id").groupBy("obs_id").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct(*columns).alias("product")))).alias("_products"))
     rows = decided.join(known, "obs_id", "left")
+    types = {f.name: f.dataType for f in catalog.schema}
+    members = {f: (decided.schema[f].dataType if f == "best_match" else decided.schema[f].dataType.elementType).names for f in lists}
+
+    def wider(f: str) -> Callable[[Column], Column]:
+        def of(c: Column) -> Column:
+            product = F.try_element_at("_products", c["id"])
+            own = {m: c[m] for m in members[f]}
+            merged = [F.when(product.isNotNull(), product[m]).otherwise(own[m].cast(types[m]) if m in own else F.lit(None)).alias(m) for m in columns]
+            return F.struct(*merged, *[v.alias(m) for m, v in own.items() if m not in columns])
+
+        return of
+
+    return rows.withColumns({f: F.when(F.col(f).isNotNull(), wider(f)(F.col(f))) if f == "best_match" else F.transform(f, wider(f)) for f in lists}).drop("_products")
 
-    def wider(c: Column) -> Column:
-        return c.withField("product", F.try_element_at("_products", c["id"]))
 
-    return rows.withColumns({f: F.when(F.col(f).isNotNull(), wider(F.col(f))) if f == "best_match" else F.transform(f, wider) for f in lists}).drop("_products")
+def resolver(ix: CatalogIndex, top_k: int = 5) -> Callable[[DataFrame], DataFrame]:
+    """The engine as a worker's resolver: lines to (obs_id, status, result as JSON)."""
 
+    def run(observed: DataFrame) -> DataFrame:
+        rows = enriched(resolve(observed, ix, top_k), ix.catalog)
+        return rows.select("obs_id", "status", F.to_json(F.struct(*RESULT)).alias("result"))
 
-def respond(tasks: DataFrame, lines_of: Callable[[DataFrame], DataFrame], ix: CatalogIndex, top_k: int = 5) -> DataFrame:
-    """(task_id, status, error, result as JSON) of parsed tasks.
+    return run
 
-    ``lines_of`` maps tasks (task_id, object_key) to observed lines (obs_id =
-    task_id); a task without any row there is an error.
+
+def _error(error: str) -> Column:
+    none = F.array().cast("array<string>")
+    members = {"status": F.lit("error"), "ocr_lines": none, "alternatives": none, "candidates": none, "score_type": F.lit(SCORE_TYPE), "error": F.lit(error)}
+    return F.to_json(F.struct(*[c.alias(k) for k, c in members.items()]))
+
+
+def answers(tasks: DataFrame, lines_of: Callable[[DataFrame], DataFrame], resolve_lines: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(task_id, seq, object_key, status, result) of tasks with distinct ids.
+
+    ``lines_of`` maps objects (object_key) to observed lines (obs_id = object_key);
+    ``resolve_lines`` maps lines to (obs_id, status, result).
     """
-    # Of messages with one task_id the smallest object_key counts.
-    valid = tasks.where("valid").groupBy("task_id").agg(F.min("object_key").alias("object_key"))
-    observed = lines_of(valid)
-    decided = enriched(resolve(observed, ix, top_k), ix.catalog).withColumnRenamed("obs_id", "task_id")
-    rows = valid.join(decided, "task_id", "left")
+    objects = tasks.select("object_key").distinct()
+    observed = lines_of(objects)
+    bad = lines.invalid_lines(observed).select("obs_id").distinct()
+    decided = resolve_lines(observed.join(bad, "obs_id", "left_anti")).withColumnRenamed("obs_id", "object_key")
+    rows = tasks.join(decided.select("object_key", "status", "result"), "object_key", "left")
     lost = F.col("status").isNull()
-    return rows.select(
-        "task_id", F.when(lost, "error").otherwise(F.col("status")).alias("status"), F.when(lost, "object could not be read").alias("error"),
-        F.when(~lost, F.to_json(F.struct("status", "ocr_lines", "best_match", "alternatives", "candidates", "score_type", "rejection_reason"))).alias("result"),
-    )
+    return rows.select("task_id", "seq", "object_key", F.when(lost, "error").otherwise(F.col("status")).alias("status"), F.when(lost, _error(FAILED)).otherwise(F.col("result")).alias("result"))
 
 
-def file_source(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFrame:
-    """Messages from text files, ``per_trigger`` files a batch (the prefetch window)."""
-    return spark.readStream.format("text").option("maxFilesPerTrigger", per_trigger).load(folder)
+def isolated(tasks: DataFrame, answer: Callable[[DataFrame], DataFrame], round_: int = 0) -> list[DataFrame]:
+    """Answers of a stored table of tasks, stored: where they fail as a whole, halves
+    by object are tried, until an object that fails stands alone."""
+    try:
+        return [stored(answer(tasks), "answers")]
+    except Exception:
+        if tasks.select("object_key").distinct().limit(2).count() < 2:
+            return [stored(tasks.select("task_id", "seq", "object_key", F.lit("error").alias("status"), _error(FAILED).alias("result")), "answers")]
+    out = []
+    for half in (0, 1):
+        part = stored(tasks.where(F.pmod(F.xxhash64("object_key", F.lit(round_)), F.lit(2)) == half), "tasks")
+        if not part.isEmpty():
+            out += isolated(part, answer, round_ + 1)
+    return out
 
 
-def start(messages: DataFrame, lines_of: Callable[[DataFrame], DataFrame], ix: CatalogIndex, sink: Callable[[DataFrame, int], None], checkpoint: str, top_k: int = 5) -> StreamingQuery:
-    """Resolve every micro-batch and hand its responses to ``sink``."""
+def start(messages: DataFrame, lines_of: Callable[[DataFrame], DataFrame], resolve_lines: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, keep: int = KEEP) -> StreamingQuery:
+    """Answer every task of a stream of messages once, into ``folder``."""
+    tasks = first_messages(parse_tasks(messages).where("valid"), keep)
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        sink(respond(parse_tasks(rows), lines_of, ix, top_k).withColumn("batch_id", F.lit(batch_id)), batch_id)
+        held = stored(rows, "tasks")
+        if held.isEmpty():
+            return
+        parts = isolated(held, lambda t: answers(t, lines_of, resolve_lines))
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.union(part)
+        every.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+
+    return tasks.writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+
 
-    return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+def start_dead_letters(messages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep every message of a stream that is no task, once, in ``folder``."""
+    return dead_letters(messages).writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).start()
 
 
-__all__ = ["file_source", "parse_tasks", "respond", "route", "start"]
+__all__ = ["answers", "dead_letters", "enriched", "first_messages", "isolated", "parse_tasks", "resolver", "route", "start", "start_dead_letters"]

@@ -73,7 +73,7 @@ def test_likeness(spark):
     pairs = [(a, b) for a in keys for b in keys]
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", likeness_udf("a", "b").alias("x")).collect()
     for row in got:
-        want = plain.similarity(row.a, row.b)
+        want = plain.likeness(row.a, row.b)
         assert row.x == pytest.approx(want if want >= 0.62 else 0.0, abs=1e-12)
     assert SequenceMatcher(None, "tide", "diet").ratio() != SequenceMatcher(None, "diet", "tide").ratio()
 
@@ -83,7 +83,7 @@ def test_queries(engine):
     for row in engine[3].orderBy("obs_id", "qpos").collect():
         got.setdefault(row.obs_id, []).append((row.text, row.confidence and round(row.confidence, 9), list(row["keys"]), tuple(row.indices)))
     for k, v in observations().items():
-        want = [(t, c and round(c, 9), keys, at) for t, c, keys, at in plain.composites(plain.lines_of(v))]
+        want = [(t, c and round(c, 9), keys, tuple(at)) for t, c, keys, at in plain.composites(plain.lines(v))]
         assert got.get(k, []) == want
 
 
@@ -93,7 +93,7 @@ def test_candidates(engine, brute):
         got.setdefault(row.obs_id, []).append(row.id)
     catalog, _ = brute
     for k, v in observations().items():
-        assert got.get(k, []) == catalog.candidates(plain.composites(plain.lines_of(v)))
+        assert got.get(k, []) == catalog.retrieved(plain.composites(plain.lines(v)))
 
 
 def shown(e):
@@ -101,14 +101,14 @@ def shown(e):
 
 
 def wanted(e):
-    return (e["field"], e["text"], e["form"], e["at"], e["similarity"], e["weighted"], e["contribution"], e["lines"])
+    return tuple(e)
 
 
 def test_evidence_and_scores(engine, brute):
     ix, _, parsed, queries, candidates = engine
     rows = ranking.rank(candidates, ix.catalog, ix.forms, parsed, queries, ix.token_df, ix.size).collect()
     got = {(r.obs_id, r.id): r for r in rows}
-    want = {(k, r[0]): r for k, d in brute[1].items() for r in d["ranked"]}
+    want = {(k, r[0]): r for k, d in brute[1].items() for r in d.scores}
     assert got.keys() == want.keys() and len(got) > 1000
     for key, (_, score, found) in want.items():
         assert [shown(e) for e in got[key].evidence] == [wanted(e) for e in found], key
@@ -121,14 +121,13 @@ def test_best_evidence_and_spread_titles(engine, brute):
     spec = index.specificity(keys.union(keys.select(F.explode(F.split("key", " ")).alias("key"))), ix.token_df, ix.size)
     catalog, _ = brute
     seen = observations()
-    for row in evidence.best_evidence(candidates, ix.forms, queries, spec).orderBy("obs_id", "id", "field").limit(400).collect():
-        text, form, at, s, score = catalog.best(row.id, row.field, plain.composites(plain.lines_of(seen[row.obs_id])))
-        assert shown(row.evidence) == (row.field, text, form, at, round(s, 3), round(score, 3), round(score * plain.WEIGHTS[row.field], 4), None)
+    asked = {(r.obs_id, r.id) for r in candidates.select("obs_id", "id").collect()}
+    best = {(r.obs_id, r.id, r.field): shown(r.evidence) for r in evidence.best_evidence(candidates, ix.forms, queries, spec).collect()}
+    assert best == {(k, i, f): wanted(e) for k, v in seen.items() for (i, f), e in catalog.evidence(plain.composites(plain.lines(v))).items() if (k, i) in asked}
     got = {(r.obs_id, r.id): shown(r.evidence) for r in evidence.spread_titles(candidates, ix.forms, parsed, spec).collect()}
     want = {}
-    for row in candidates.select("obs_id", "id").collect():
-        if e := catalog.spread(row.id, plain.lines_of(seen[row.obs_id])):
-            want[row.obs_id, row.id] = wanted(e)
+    for k, v in seen.items():
+        want |= {(k, i): wanted(e) for i, e in catalog.titles(plain.lines(v)).items() if (k, i) in asked}
     assert got == want and len(got) > 50
 
 
@@ -139,10 +138,10 @@ def test_decisions(engine, brute):
     assert rows.keys() == want.keys()
     for k, d in want.items():
         r = rows[k]
-        assert (r.status, [c.id for c in r.candidates], bool(r.rejection_reason)) == (d["status"], d["candidates"], d["reason"]), k
+        assert (r.status, [c.id for c in r.candidates], bool(r.rejection_reason)) == (d.status, d.candidates, d.reason), k
         if r.best_match:
-            assert r.best_match.evidence_coverage == d["coverage"]
-    assert len({d["status"] for d in want.values()}) == 3
+            assert r.best_match.evidence_coverage == d.coverage
+    assert len({d.status for d in want.values()}) == 3
 
 
 def test_consensus(spark):

@@ -123,7 +123,14 @@ def test_catalog_details(spark):
 def test_enriched_and_checked(spark, ix):
     observed = spark.createDataFrame([("o", 0, "Château Montbrise", 1.0)], schemas.LINES)
     got = worker.enriched(matcher.resolve(observed, ix), ix.catalog).first()
-    assert got.best_match.product.grapes == ["tarnac"] and got.candidates[0].product.grapes == ["tarnac"]
+    assert got.best_match.grapes == ["tarnac"] and got.candidates[0].grapes == ["tarnac"]
+    assert got.candidates[0].match_score > 0 and got.candidates[0].evidence and "evidence_coverage" in got.best_match
+    # The catalog's value wins; a candidate that it lacks stays as it is.
+    other = ix.catalog.where("id <> %r" % got.best_match.id).union(ix.catalog.where("id = %r" % got.best_match.id).withColumn("name", F.lit("Other name")))
+    decided = matcher.resolve(observed, ix)
+    assert worker.enriched(decided, other).first().best_match.name == "Other name"
+    lone = worker.enriched(decided, ix.catalog.where("id = 'none'")).first().best_match
+    assert lone.name == got.best_match.name and lone.grapes is None and lone.match_score == got.best_match.match_score
     with pytest.raises(catalog.ConstraintError):
         matcher.resolve(spark.createDataFrame([("o", 0, "x", float("nan"))], schemas.LINES), ix)
     # Text that is not composed matches with the exact normaliser on both sides.
@@ -323,20 +330,6 @@ def test_evaluation(spark):
     assert out[None].cer == 0.4 and out["b"].casefold_exact_match == 1.0 and out["a"].exact_match == 0.0
 
 
-def test_stream(spark, ix, tmp_path):
-    inbox = tmp_path / "in"
-    inbox.mkdir()
-    good = [json.dumps({"task_id": "t1", "object_key": "k1", "more": 1}), json.dumps({"task_id": "t2", "object_key": "lost"}), "{broken", json.dumps({"task_id": "t3"})]
-    (inbox / "m.txt").write_text("\n".join(good))
-    known = spark.createDataFrame([("k1", 0, "Chateau Montbrise", 1.0)], "object_key string, line_idx int, text string, confidence double")
-    out = str(tmp_path / "out")
-    query = worker.start(worker.file_source(spark, str(inbox)), lambda tasks: tasks.join(known, "object_key").select(F.col("task_id").alias("obs_id"), "line_idx", "text", "confidence"), ix, lambda df, _: df.write.mode("append").parquet(out), str(tmp_path / "progress"))
-    query.processAllAvailable()
-    query.stop()
-    got = {r.task_id: r.status for r in spark.read.parquet(out).collect()}
-    assert got == {"t1": "matched", "t2": "error"}
-
-
 def test_entry_points():
     import __spark_entry__ as entry
 
@@ -356,16 +349,3 @@ def test_whole_lines_are_resolved(spark, tmp_path):
     assert found == {10: "1", 11: "2"}
     read = {(r.obs_id, r.crop_index): r.text for r in box_queries.QUERIES["consensus_pick"](spark, str(tmp_path)).collect()}
     assert len(read[10, 0].split()) == len(read[11, 0].split()) == 8
-
-
-def test_stream_resolves_every_event(spark, tmp_path, monkeypatch):
-    from lexbind.plans import stream_queries
-
-    monkeypatch.setattr(stream_queries, "BATCH_MESSAGES", 30)
-    events = [14, 23, 58, 64, 75, 86, 90, 91, 92, 1234, 99999]
-    spark.createDataFrame([(64, "alpha beta gamma"), (34, "delta epsilon")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon zeta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame([(e,) for e in events], "event_id long").coalesce(2).write.parquet(f"{tmp_path}/events.parquet")
-    out = {r.task_id: r.status for r in stream_queries.QUERIES["stream_resolve"](spark, str(tmp_path)).collect()}
-    assert set(out) == {f"t{e}" for e in events if e % 10 > 2}
-    assert {t for t, status in out.items() if status != "error"} == {"t64", "t1234"}
