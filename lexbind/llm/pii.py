@@ -12,8 +12,8 @@
    neither sees the features its labels come from.  Features are discrete, so
    training needs only (feature cell, counts) over all rows: at most a few
    thousand cells reach the driver, whatever the input's size.
-4. The sum of both scores is calibrated by Platt scaling on the held-out fold of
-   cells, where either view's label counts.  The trees become one SQL CASE
+4. The sum of both scores is calibrated by Platt scaling on all cells, each scored by
+   trees that did not see its fold, where either view's label counts.  The trees become one SQL CASE
    expression, and spans of a calibrated probability of KEEP_AT or more are added.
 
 Texts are scanned once: spans and features are stored, and both training and
@@ -54,6 +54,8 @@ CUES = r"(?i)(?:pass|pwd|secret|token|key|auth|credential|bearer|login)[^\n]{0,1
 CALL_CUES = r"(?i)(?:tel|phone|call|fax|mobile|ssn|contact)[^\n]{0,12}$"
 #: Tree count, depth-2 trees, shrinkage, and the probability that adds a span.
 TREES, SHRINK, KEEP_AT = 24, 0.4, 0.5
+#: Folds of rows whose cells are scored by trees of the other folds.
+FOLDS = 5
 #: Characters of context on the left that features look at.
 CONTEXT = 24
 
@@ -252,14 +254,12 @@ def score(models: list[list], f: tuple[int, ...]) -> float:
     return sum(m[0] + sum(value(t, f) for t in m[1:]) for m in models)
 
 
-def calibrate(models: list[list], cells: list[tuple[tuple[int, ...], int]]) -> float:
-    """The score whose calibrated probability is KEEP_AT: Platt scaling on cells
-    (features, rows), which are positive if either view says so (a secret often
-    stands bare, and a cue before odd text); infinite without positives."""
-    judged = [(score(models, f), context_label(f) or format_label(f), n) for f, n in cells]
+def calibrate(judged: list[tuple[float, bool, int]]) -> float | None:
+    """The score whose calibrated probability is KEEP_AT: Platt scaling on (score,
+    positive, rows); None where nothing is positive or higher scores are not likelier."""
     pos, neg = sum(n for _, y, n in judged if y), sum(n for _, y, n in judged if not y)
     if not pos:
-        return math.inf
+        return None
     high, low = (pos + 1) / (pos + 2), 1 / (neg + 2)
     a, b = 1.0, 0.0
     for _ in range(100):
@@ -272,7 +272,7 @@ def calibrate(models: list[list], cells: list[tuple[tuple[int, ...], int]]) -> f
         da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
         step = min(1.0, 1 / max(1e-9, abs(da), abs(db)))
         a, b = a - step * da, b - step * db
-    return (math.log(KEEP_AT / (1 - KEEP_AT)) - b) / a if a > 0 else math.inf
+    return (math.log(KEEP_AT / (1 - KEEP_AT)) - b) / a if a > 0 else None
 
 
 def model_column(models: list[list], f: Column) -> Column:
@@ -296,15 +296,36 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def fit(scanned: DataFrame) -> tuple[list[list], float]:
-    """(format and context trees, threshold) from all rows of :func:`scan`; the
-    fold crc32(doc_id) mod 5 = 0 calibrates."""
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
-    counted = scanned.select(held.alias("held"), F.explode("wide.f").alias("f")).groupBy("held", "f").agg(F.count("*").alias("n")).collect()
-    split: dict[bool, list] = {True: [], False: []}
-    for r in sorted(counted, key=lambda r: (r.held, tuple(r.f))):
-        split[r.held].append((tuple(r.f), r.n))
-    models = [train([(f, n * label(f), n * (not label(f))) for f, n in split[False]], view) for view, label in ((FORMAT, context_label), (CONTEXT_VIEW, format_label))]
-    return models, calibrate(models, split[True] or split[False])
+    """(format and context trees, threshold) from all rows of :func:`scan`.
+
+    Rows fall into FOLDS by crc32(doc_id).  Trees of the other folds score each
+    fold's cells, and the threshold is calibrated on these scores of all cells; a cell
+    is positive if either view says so (a secret often stands bare, and a cue before
+    odd text).  The trees that are returned know all cells.  Where the scores of other
+    folds do not tell (a cell that one fold alone has, say), the threshold is the least
+    score that the returned trees give a positive cell; it is infinite only where no
+    candidate of the table is positive.
+    """
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS
+    counted = scanned.select(fold.alias("fold"), F.explode("wide.f").alias("f")).groupBy("fold", "f").agg(F.count("*").alias("n")).collect()
+    cells = sorted((int(r.fold), tuple(r.f), r.n) for r in counted)
+
+    def trained(held: int | None) -> list[list]:
+        known: dict[tuple[int, ...], int] = {}
+        for k, f, n in cells:
+            if k != held:
+                known[f] = known.get(f, 0) + n
+        return [train([(f, n * label(f), n * (not label(f))) for f, n in sorted(known.items())], view) for view, label in ((FORMAT, context_label), (CONTEXT_VIEW, format_label))]
+
+    def positive(f: tuple[int, ...]) -> bool:
+        return context_label(f) or format_label(f)
+
+    models = trained(None)
+    folds = {k: trained(k) for k in sorted({k for k, _, _ in cells})}
+    threshold = calibrate([(score(folds[k], f), positive(f), n) for k, f, n in cells])
+    if threshold is None:
+        threshold = min((score(models, f) for _, f, _ in cells if positive(f)), default=math.inf)
+    return models, threshold
 
 
 def find_spans(scanned: DataFrame, model: list[list], threshold: float) -> DataFrame:

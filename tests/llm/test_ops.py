@@ -540,6 +540,24 @@ def test_pii_added_and_redacted(spark):
     assert all(clean[i] == t for i, t in plain) and clean[500] is None
 
 
+def fold(i):
+    return zlib.crc32(str(i).encode()) % 5
+
+
+@pytest.mark.parametrize("folds", [(1, 2, 3, 4), (0,), (0, 1, 2, 3, 4)])
+def test_pii_positive_cells_in_some_folds_only(spark, folds):
+    """Secrets are added wherever their rows fall: none in a fold, or all in one."""
+    ids = [i for i in range(2000) if fold(i) in folds][:200]
+    keys = {i: hashlib.sha1(str(i).encode()).hexdigest() for i in ids}
+    rows = [(i, f'{prose(i, 12)} api_key = "{keys[i]}" {prose(i + 1, 5)}') for i in ids]
+    rows += [(5000 + i, prose(i, 30) + " internationalisations") for i in range(60)]
+    scanned = pii.scan(spark.createDataFrame(rows, "doc_id long, text string"), ("doc_id", "text"))
+    models, threshold = pii.fit(scanned)
+    found = {r.doc_id: [(a.s, a.e) for a in r.added] for r in pii.find_spans(scanned, models, threshold).collect()}
+    for i, t in rows:
+        assert [keys.get(i, "?") in t[s:e] for s, e in found[i]] == [True] * (i in keys)
+
+
 # 7 ---------------------------------------------------------------------------
 
 
@@ -597,6 +615,11 @@ def test_decontamination_rows_and_blocks(spark, monkeypatch):
         kept = latent.clean(df, bench)
         assert kept.columns == df.columns
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(k for k, v in want if not v)
+    # An item without an id marks its copies too.
+    nameless = spark.createDataFrame([(None, items[0][1]), (None, "one two three"), (1, items[1][1])], "item_id long, text string")
+    marked = latent.decontaminate(df, nameless).where("contaminated").collect()
+    assert sorted((str(r.doc_id), list(r.item_ids)) for r in marked) == [("1", []), ("4", []), ("None", [1])]
+    assert latent.clean(df, nameless).count() == len(rows) - 3
     # No document has a word of the benchmark.
     odd = spark.createDataFrame([(1, "?!"), (2, "zzz yyy")], "doc_id long, text string")
     assert latent.decontaminate(odd, bench).where("contaminated").count() == 0
