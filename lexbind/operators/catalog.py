@@ -239,3 +239,8 @@ def enrich(candidates: DataFrame, catalog: DataFrame, columns: list[str]) -> Dat
 def to_enrich(records: DataFrame) -> DataFrame:
     """Records worth a lookup: a slug, and no year or no rating."""
     return records.where("slug is not null and slug <> '' and not (year is not null and rating is not null)")
+
+
+def alias_sources(catalog: DataFrame) -> DataFrame:
+    """(source, n): admitted aliases by where they come from."""
+    return catalog.select(F.explode("aliases").alias("a")).groupBy(F.col("a.source").alias("source")).agg(F.count("*").alias("n"))

@@ -50,17 +50,26 @@ def length_histogram(rows: DataFrame, label: str, width: int) -> DataFrame:
 
 
 def timing_summary(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """Median, P95 (the value at int(0.95 * (n - 1)) of the sorted ones) and maximum."""
-    known = stored(rows.where(F.col(column).isNotNull()).select(*by, column), "timings")
-    sizes = known.groupBy(*by).agg(F.count("*").alias("_n"), F.max(column).alias("greatest")).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    """Median, P95 (the value at int(0.95 * (n - 1)) of the sorted ones) and maximum.
+
+    Equal values are counted first, so that a value which half of the rows have is
+    one row; its places are those of the values before it and its count.
+    """
+    known = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_c"))
+    known = stored(known, "timings")
+    sizes = known.groupBy(*by).agg(F.sum("_c").alias("_n"), F.max(column).alias("greatest")).withColumnsRenamed({c: f"_by_{c}" for c in by})
     same = F.lit(True)
-    placed = running(known, by, [column], _at=F.lit(1))
+    placed = running(known, by, [column], _at=F.col("_c"))
     for c in by:
         same = same & placed[c].eqNullSafe(sizes[f"_by_{c}"])
     placed = placed.join(sizes, same)
-    middle = F.col("_at").between(F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2))
-    late = F.col("_at") == F.floor(0.95 * (F.col("_n") - 1))
-    return placed.groupBy(*by).agg(F.avg(F.when(middle, F.col(column))).alias("median"), F.max(F.when(late, F.col(column))).alias("p95"), F.max("greatest").alias("greatest"))
+
+    def holds(place):
+        return (F.col("_at") <= place) & (place < F.col("_at") + F.col("_c"))
+
+    low, high, late = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2), F.floor(0.95 * (F.col("_n") - 1))
+    middle = [F.max(F.when(holds(place), F.col(column))) for place in (low, high)]
+    return placed.groupBy(*by).agg(((middle[0] + middle[1]) / 2).alias("median"), F.max(F.when(holds(late), F.col(column))).alias("p95"), F.max("greatest").alias("greatest"))
 
 
 def coverage(fonts: DataFrame, required: DataFrame) -> DataFrame:

@@ -67,3 +67,21 @@ def charset(labels: DataFrame, base: str, column: str = "label") -> str:
     """Base characters, then the unseen ones by code point."""
     seen = labels.select(F.explode(F.split(column, "")).alias("c")).where("c <> ''").distinct()
     return base + "".join(sorted(r.c for r in seen.collect() if r.c not in base))
+
+
+def strip_suffixes(rows: DataFrame, column: str, terms: DataFrame) -> DataFrame:
+    """``rows`` with ``stripped``: the cleaned text without the longest of the terms
+    (``term``; of equally long ones the smallest) that ends it, ignoring case, and
+    without the marks and spaces before it; something must stand before it.
+
+    Endings of the lengths that terms have meet the terms by a join, so a term table
+    of any size serves; rows are told apart by their text.
+    """
+    known = terms.select(T.lexicon_clean("term").alias("_term")).where("_term <> ''").distinct()
+    lengths = known.agg(F.array_sort(F.collect_set(F.length("_term"))).alias("_lengths"))
+    texts = rows.select(F.col(column).alias("_raw")).distinct().withColumn("_text", T.lexicon_clean("_raw"))
+    ends = texts.join(F.broadcast(lengths)).select("_raw", "_text", F.explode(F.filter("_lengths", lambda n: n < F.length("_text"))).alias("_n"))
+    ends = ends.withColumn("_end", F.lower(F.expr("right(_text, _n)")))
+    met = ends.join(known.select(F.lower("_term").alias("_end")).distinct(), "_end").groupBy("_raw").agg(F.max("_n").alias("_n"))
+    cut = texts.join(met, "_raw", "left").select("_raw", F.coalesce(F.btrim(F.expr("left(_text, length(_text) - _n)"), F.lit(" ,.-")), "_text").alias("stripped"))
+    return rows.join(cut, rows[column].eqNullSafe(cut["_raw"]), "left").drop("_raw")

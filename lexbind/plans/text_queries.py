@@ -39,10 +39,6 @@ lines AS (
 """
 
 
-#: Terms that a term table may have; a larger one is refused.
-MOST_TERMS = 1000
-
-
 def query(sql: str | None = None):
     """Register a query, and its SQL if it has any."""
 
@@ -173,11 +169,9 @@ SELECT p_partkey, substr(full_name, 1, length(full_name) - length(p_type) - 2) A
 """)
 def strip_known_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    types = [r[0] for r in part.select("p_type").distinct().take(MOST_TERMS + 1)]  # the caller's term table
-    if len(types) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} terms")
     rows = part.select("p_partkey", F.concat("p_name", F.lit(", "), "p_type").alias("full_name"))
-    return rows.select("p_partkey", T.strip_suffix("full_name", types).alias("stripped"), T.key("full_name").alias("key"))
+    stripped = lexicon.strip_suffixes(rows, "full_name", part.select(F.col("p_type").alias("term")))
+    return stripped.select("p_partkey", "stripped", T.key("full_name").alias("key"))
 
 
 @query("SELECT p_partkey, p_name AS short_name FROM part")

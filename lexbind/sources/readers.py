@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexbind import schemas
 from lexbind.operators.catalog import WRAPPERS, ConstraintError, catalog_problems, first_of, require_none
+from lexbind.operators.order import running
 
 BAD = "_corrupt_record"
 
@@ -17,7 +21,9 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     JSON, wrong versions, missing and repeated ids, or no row at all fail."""
     lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", "^﻿", "")).where(F.trim("value") != "")
     rows = lines.select("value", F.from_json("value", f"{schemas.CATALOG}, {BAD} string", {"columnNameOfCorruptRecord": BAD}).alias("r"))
-    require_none(rows.where(f"r.{BAD} is not null").select(F.substring("value", 1, 80).alias("line")), "bad JSON")
+    bad = rows.where(f"r.{BAD} is not null")
+    if not bad.isEmpty():
+        require_none(_numbered(spark, path).join(bad.select("value").distinct(), "value", "left_semi").select("row", F.substring("value", 1, 80).alias("line")).orderBy("row"), "bad JSON")
     catalog = rows.select("r.*").drop(BAD)
     if catalog.isEmpty():
         raise ConstraintError("the catalog is empty")
@@ -25,6 +31,12 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return catalog
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(row, value): the lines of a file with their 1-based numbers, blank ones counted."""
+    lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", "^\ufeff", "")).withColumn("_id", F.monotonically_increasing_id())
+    return running(lines, [], ["_id"], row=F.lit(1).cast("long")).select((F.col("row") + 1).alias("row"), "value")
+
+
 def read_objects(spark: SparkSession, path: str, wrappers: tuple[str, ...] = WRAPPERS) -> DataFrame:
     """(pos, raw VARIANT): the objects of a JSON list, or of the first
     list under one of ``wrappers``; anything that is no object is dropped."""
@@ -103,13 +115,48 @@ def first_paths(explicit: DataFrame, found: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("path", "part", "pos")
 
 
+def audited_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """:func:`list_files`; a folder without any such file fails."""
+    rows = list_files(spark, folder, suffixes)
+    if rows.isEmpty():
+        raise ConstraintError(f"no file of {', '.join(suffixes)} in {folder}")
+    return rows
+
+
+def image_paths(spark: SparkSession, explicit: list[str], folder: str | None = None, default: str | None = None, suffixes: tuple[str, ...] = (".jpg", ".jpeg", ".png")) -> DataFrame:
+    """(path, part, pos): the explicit paths, then a folder's images in order, each
+    path once; the default file if that is none."""
+    files = spark.createDataFrame([(p, k) for k, p in enumerate(explicit)], "path string, pos int")
+    found = list_files(spark, folder, suffixes) if folder else spark.createDataFrame([], "path string, length long")
+    rows = first_paths(files, found)
+    if default is not None and rows.isEmpty():
+        return spark.createDataFrame([(default, 0, 0)], "path string, part int, pos int")
+    return rows
+
+
 def fetch_objects(spark: SparkSession, tasks: DataFrame, root: str) -> DataFrame:
     """Tasks (a micro-batch of them) with the content of their object under a root
-    folder or bucket URL; only the files that they name are read."""
-    key = F.regexp_replace("path", "^.*?" + root.rstrip("/").split("://")[-1].replace(".", r"\.") + "/", "")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", key.alias("object_key"))
-    paths = [r.path for r in listed.join(tasks.select("object_key").distinct(), "object_key", "left_semi").collect()]
-    if not paths:
-        return tasks.withColumn("content", F.lit(None).cast("binary"))
-    files = spark.read.format("binaryFile").load(paths).select(key.alias("object_key"), "content")
-    return tasks.join(files, "object_key", "left")
+    folder or bucket URL; null where there is none.
+
+    Each key is opened by the executor that holds it, once however many tasks name
+    it; nothing is listed and no path passes the driver.  Keys lead into the root
+    only.
+    """
+    root = root.rstrip("/")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                content = None
+                if key and ".." not in key.split("/"):
+                    path = f"{base}/{key}"
+                    if files.get_file_info(path).type == fs.FileType.File:
+                        with files.open_input_stream(path) as f:
+                            content = f.read()
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([content], pa.binary())], ["object_key", "content"])
+
+    keys = tasks.select("object_key").where("object_key is not null").distinct()
+    return tasks.join(keys.mapInArrow(read, "object_key string, content binary"), "object_key", "left").select(*tasks.columns, "content")

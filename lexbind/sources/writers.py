@@ -34,9 +34,13 @@ def write_manifest(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def write_report(df: DataFrame, ratios: list[str], path: str, overwrite: bool = False) -> None:
-    """CSV report with ratios to four places."""
-    out = df.withColumns({c: F.format_string("%.4f", F.col(c)) for c in ratios})
-    out.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
+    """A report as CSV, with ratios to four places, and as JSON lines, as they are:
+    the folders ``csv`` and ``json`` of a path."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    lists = [f.name for f in df.schema if f.dataType.simpleString().startswith("array")]
+    out = df.withColumns({c: F.format_string("%.4f", F.col(c)) for c in ratios} | {c: F.array_join(c, " ") for c in lists})
+    out.write.mode(mode).option("header", True).csv(f"{path}/csv")
+    df.write.mode(mode).option("ignoreNullFields", False).json(f"{path}/json")
 
 
 def run_summary(counts: dict[str, DataFrame], **settings) -> str:
