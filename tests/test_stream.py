@@ -93,8 +93,14 @@ def test_failing_object_stands_alone(spark, tmp_path):
     known = lines_of(spark, [(f"k{i}", 0, "bad" if i == 3 else "good", 1.0) for i in range(8)])
     tasks = spark.createDataFrame([(f"t{i}", i, f"k{i}") for i in range(8)], "task_id string, seq long, object_key string")
 
+    def read(frames):
+        for frame in frames:
+            if (frame["text"] == "bad").any():
+                raise ValueError("no")
+            yield frame
+
     def fragile(observed):
-        return count(observed.withColumn("text", F.when(F.col("text") == "bad", F.raise_error(F.lit("no"))).otherwise(F.col("text"))).where("text is not null"))
+        return count(observed.mapInPandas(read, observed.schema))
 
     parts = worker.isolated(tasks, lambda t: worker.answers(t, known, fragile))
     got = {r.task_id: r.status for part in parts for r in part.collect()}
