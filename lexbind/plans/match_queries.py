@@ -11,7 +11,7 @@ from lexbind.functions.similarity import edit_similarity
 from lexbind.operators import blocking, evidence, lines, matcher, ranking
 from lexbind.operators import index as X
 from lexbind.operators.store import stored
-from lexbind.plans.data import benchmark_catalog, benchmark_titles, part_catalog, printed_lines, table
+from lexbind.plans.data import benchmark_catalog, part_catalog, printed_lines, table
 from lexbind.plans.text_queries import ACCENTLESS, KEY, LINES
 
 QUERIES: dict = {}
