@@ -182,3 +182,30 @@ def test_consensus(spark):
         want[crop] = (best[1], best[2], bool(good))
     df = spark.createDataFrame(rows, "obs_id int, crop_index int, pass_index int, text string, mean double, accepted boolean")
     assert {r.crop_index: (r.text, r.mean, r.accepted) for r in readings.consensus(df).collect()} == want
+
+
+def test_confidence_of_first_values(spark):
+    """One pass gives all figures; arrays without a value, or with a missing one, give none."""
+    rows = [(0, [0.29, 0.9, 0.95], 3), (1, [0.5, 0.1], 1), (2, [], 0), (3, [0.5, None], 2), (4, None, 1)]
+    df = spark.createDataFrame(rows, "k int, c array<double>, n int")
+    got = {r.k: r.s for r in df.select("k", readings.confidence("c", "n", F.lit(True)).alias("s")).collect()}
+    assert (got[0].mean, got[0].least, got[0].percent, got[0].n) == ((0.29 + 0.9 + 0.95) / 3, 0.29, 214, 3)
+    assert abs(got[0].quartile - 0.595) < 1e-12 and got[1].quartile == 0.5
+    assert all(got[k].mean is None and got[k].percent is None and not got[k].accepted for k in (2, 3, 4))
+
+
+def test_readings_are_judged_once(spark):
+    """Texts are compared only where no two passes agree, and a filter does not judge twice."""
+    rows = [(1, 0, p, "monte riva", [0.99] * 9) for p in range(3)]
+    good = readings.gated(spark.createDataFrame(rows, "obs_id long, crop_index long, pass_index int, text string, char_conf array<double>"))
+    plan = readings.best_by_text(good)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_confidence(") == 1
+    picked = readings.consensus(good)
+    assert " Join " not in picked._jdf.queryExecution().optimizedPlan().toString() and picked.first().text == "monte riva"
+
+
+def test_lines_without_visible_characters_have_no_quantile(spark, tmp_path):
+    spark.createDataFrame([(1, "\t\nab")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from lexbind.plans import box_queries
+
+    assert {r.crop_index for r in box_queries.QUERIES["conf_quantile"](spark, str(tmp_path)).collect()} == {1}
