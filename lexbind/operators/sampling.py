@@ -48,25 +48,34 @@ def item_seed(seed: Column, job: Column, name: Column) -> Column:
     return F.conv(swapped, 16, 10).cast("decimal(20,0)")
 
 
+def label_key(label: Column | str, seed: int) -> Column:
+    """Digest that stands for a label, ignoring case; its order is that of the draw."""
+    return F.unhex(F.sha2(F.concat(F.lit(f"{seed}|"), F.lower(label)), 256))
+
+
 def grouped_split(samples: DataFrame, fraction: float, seed: int) -> DataFrame:
     """``samples`` (sample_id, label, pool) with ``fold``: whole label groups
     (ignoring case) go to ``val`` until each pool has its fraction; at least one
-    group of a pool stays in ``train``."""
-    folded = samples.withColumn("_g", F.lower("label"))
-    groups = folded.groupBy("_g").agg(F.min_by("pool", "sample_id").alias("_p"), F.count("*").alias("_n"))
-    groups = stored(groups.withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}|"), F.col("_g")), 256)), "groups")
+    group of a pool stays in ``train``.  ``label_key`` (:func:`label_key` of the seed)
+    may stand for the label."""
+    # Labels meet as digests: short rows, and the order of the draw is theirs alone.
+    folded = samples.withColumn("_k", F.col("label_key") if "label_key" in samples.columns else label_key("label", seed))
+    groups = stored(folded.where("_k is not null").groupBy("_k").agg(F.min_by("pool", "sample_id").alias("_p"), F.count("*").alias("_n")), "groups")
     sizes = groups.groupBy("_p").agg(F.sum("_n").alias("_rows"), F.count("*").alias("_groups"))
-    placed = running(groups, ["_p"], ["_h", "_g"], _before=F.col("_n"), _place=F.lit(1)).withColumnRenamed("_p", "_q")
-    placed = placed.join(sizes, placed["_q"].eqNullSafe(sizes["_p"]))
+    placed = running(groups, ["_p"], ["_k"], _before=F.col("_n"), _place=F.lit(1)).withColumnRenamed("_p", "_q")
+    placed = placed.join(F.broadcast(sizes), placed["_q"].eqNullSafe(sizes["_p"]))
     target = F.greatest(F.lit(1), F.bround(F.col("_rows") * fraction).cast("long"))
     placed = placed.withColumn("fold", F.when((F.col("_before") < target) & (F.col("_groups") - F.col("_place") > 1), "val").otherwise("train"))
-    return folded.join(placed.select("_g", "fold"), "_g").drop("_g")
+    return folded.join(placed.select("_k", "fold"), "_k").drop("_k")
 
 
 def leakage(split: DataFrame) -> DataFrame:
-    """Labels (ignoring case) on both sides; must be empty."""
-    train = split.where("fold = 'train'").select(F.lower("label").alias("label"))
-    return train.intersect(split.where("fold = 'val'").select(F.lower("label").alias("label")))
+    """Labels (ignoring case; their keys, where those stand for them) on both sides;
+    must be empty."""
+    shown = F.lower("label") if "label" in split.columns else F.col("label_key")
+    rows = split.where("fold in ('train', 'val')").select(shown.alias("label"), "fold")
+    sides = rows.groupBy(F.sha2(F.col("label").cast("binary"), 256).alias("_h")).agg(F.min("fold").alias("_a"), F.max("fold").alias("_b"), F.min("label").alias("label"))
+    return sides.where("_a <> _b").select("label")
 
 
 def fingerprint(labels: DataFrame, by: list[str], label: str = "label") -> DataFrame:

@@ -73,7 +73,9 @@ _SAMPLES = f"{LINES}, s AS (SELECT obs_id * 10000 + line_idx AS sample_id, lines
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("obs_id"), F.col("lang").alias("pool"))
-    return printed_lines(spark, sf_dir).join(docs, "obs_id").select((F.col("obs_id") * 10000 + F.col("line_idx")).alias("sample_id"), F.col("text").alias("label"), "pool")
+    # Digests, not lines, meet the pools.
+    rows = printed_lines(spark, sf_dir).select("obs_id", (F.col("obs_id") * 10000 + F.col("line_idx")).alias("sample_id"), S.label_key("text", 7).alias("label_key"))
+    return rows.join(docs, "obs_id").select("sample_id", "label_key", "pool")
 
 
 @query(f"""
