@@ -209,3 +209,23 @@ def test_lines_without_visible_characters_have_no_quantile(spark, tmp_path):
     from lexbind.plans import box_queries
 
     assert {r.crop_index for r in box_queries.QUERIES["conf_quantile"](spark, str(tmp_path)).collect()} == {1}
+
+
+def test_split_moves_digests(spark):
+    """Whole labels neither meet nor are drawn; both sides of a split share none."""
+    from lexbind.operators import sampling
+
+    rows = [(k, f"Label {k % 40}" * 50, "ab"[k % 2]) for k in range(400)]
+    split = sampling.grouped_split(spark.createDataFrame(rows, "sample_id long, label string, pool string"), 0.2, 3)
+    plan = split.select("sample_id", "fold")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_k#" in plan and "_g#" not in plan
+    mixed = split.union(split.where("sample_id = 0").withColumn("fold", F.when(F.col("fold") == "val", "train").otherwise("val")))
+    assert sampling.leakage(split).count() == 0 and [r.label for r in sampling.leakage(mixed).collect()] == [rows[0][1].lower()]
+
+
+def test_coverage_counts_in_place(spark):
+    """Hits of a line and a product are counted where the observation is, without a shuffle of them."""
+    parsed = lines.parse_lines(spark.createDataFrame([(1, 0, "red mill", 0.9), (1, 1, "red sea", 0.9), (1, 2, "abc", 0.9)], "obs_id long, line_idx long, text string, confidence double"))
+    rows = ranking.line_coverage(parsed, spark.createDataFrame([("red", ["a", "b"]), ("mill", ["a"]), ("abc", ["c"])], "token string, ids array<string>").hint("broadcast"))
+    assert {r.id: r.evidence_coverage for r in rows.collect()} == {"a": 1.0, "b": 1.0, "c": 0.0}
+    assert rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
