@@ -104,8 +104,17 @@ def admitted_aliases(name: Column, raw_title: Column, detailed_title: Column, st
     empty = F.array().cast("array<struct<text:string,key:string,source:string>>")
     sources = [("name", name, TITLE_KEY), ("raw_title", raw_title, TITLE_KEY), ("detailed_title", detailed_title, TITLE_KEY)]
     sources += [("name_without_style", T.without_style(name, styles), DERIVED_KEY), ("slug", T.name_from_slug(slug), DERIVED_KEY)]
-    entries = F.array(*[F.when(F.length(T.key(t)) >= least, F.struct(T.display(t).alias("text"), T.key(t).alias("key"), F.lit(source).alias("source"))) for source, t, least in sources])
-    return F.aggregate(F.array_compact(entries), empty, lambda acc, a: F.when(F.exists(acc, lambda x: x["key"] == a["key"]), acc).otherwise(F.array_append(acc, a)))
+    offered = F.array(*[F.struct(t.alias("text"), F.lit(source).alias("source"), F.lit(least).alias("least")) for source, t, least in sources])
+    # Each text's key is made once; the fold only compares keys.
+    keyed = F.transform(offered, lambda e: F.struct(T.display(e["text"]).alias("text"), T.key(e["text"]).alias("key"), e["source"].alias("source"), e["least"].alias("least")))
+    entries = F.transform(F.filter(keyed, lambda e: F.length(e["key"]) >= e["least"]), lambda e: F.struct(e["text"].alias("text"), e["key"].alias("key"), e["source"].alias("source")))
+    return F.aggregate(entries, empty, lambda acc, a: F.when(F.exists(acc, lambda x: x["key"] == a["key"]), acc).otherwise(F.array_append(acc, a)))
+
+
+def alias_rows(catalog: DataFrame) -> DataFrame:
+    """(id, source, text, key) of every admitted alias."""
+    # The outer form: the plain one would work out the aliases again for filters on them.
+    return catalog.select("id", F.explode_outer("aliases").alias("a")).where("a is not null").select("id", "a.source", "a.text", "a.key")
 
 
 def build_catalog(raw: DataFrame, column: str = "raw") -> DataFrame:
@@ -242,4 +251,4 @@ def to_enrich(records: DataFrame) -> DataFrame:
 
 def alias_sources(catalog: DataFrame) -> DataFrame:
     """(source, n): admitted aliases by where they come from."""
-    return catalog.select(F.explode("aliases").alias("a")).groupBy(F.col("a.source").alias("source")).agg(F.count("*").alias("n"))
+    return alias_rows(catalog).groupBy("source").agg(F.count("*").alias("n"))

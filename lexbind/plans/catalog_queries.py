@@ -46,8 +46,7 @@ def catalog_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT CAST(p_partkey AS VARCHAR) AS id, 'name' AS source, p_name AS text, {KEY('p_name')} AS key FROM part")
 def alias_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.build_catalog(_raw(spark, sf_dir)).select("id", F.explode("aliases").alias("a"))
-    return rows.select("id", "a.source", "a.text", "a.key")
+    return C.alias_rows(C.build_catalog(_raw(spark, sf_dir)))
 
 
 @query("SELECT p_name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")

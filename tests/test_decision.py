@@ -229,3 +229,18 @@ def test_coverage_counts_in_place(spark):
     rows = ranking.line_coverage(parsed, spark.createDataFrame([("red", ["a", "b"]), ("mill", ["a"]), ("abc", ["c"])], "token string, ids array<string>").hint("broadcast"))
     assert {r.id: r.evidence_coverage for r in rows.collect()} == {"a": 1.0, "b": 1.0, "c": 0.0}
     assert rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
+
+
+def test_aliases_are_made_once(spark):
+    """Reading the aliases does not work them out again in a filter, and distinct
+    texts make each key once."""
+    from lexbind.functions import text as T
+    from lexbind.operators import catalog
+
+    df = spark.createDataFrame([(1, ["Riva", None, "RIVA", "", "Mo", "ri va"])], "id int, v array<string>")
+    assert df.select(T.distinct_text("v").alias("d")).first().d == ["Riva", "Mo", "ri va"]
+    rows = spark.range(3).select(F.col("id"), F.when(F.col("id") < 2, F.array(F.struct(F.lit("a").alias("text"), F.lit("b").alias("key"), F.lit("name").alias("source")))).alias("aliases"))
+    assert catalog.alias_rows(rows).count() == 2 and {(r.source, r.n) for r in catalog.alias_sources(rows).collect()} == {("name", 2)}
+    made = catalog.alias_rows(rows.withColumn("aliases", F.transform("aliases", lambda a: a)))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "transform(" in line]
