@@ -3,10 +3,10 @@
 1. Terms are the words of the benchmark items (lower-cased, outer punctuation
    off).  Their document frequencies are counted over all documents; every term
    weighs at least FLOOR, however common it is.
-2. TF-IDF passages (the items, and 64-word passages of a bounded sample of
-   documents, :data:`SAMPLE_DOCS`) are factored by a distributed randomised SVD:
-   tasks return partial products with a random test matrix (terms x RANK), so
-   what meets is bounded by the benchmark, not by the documents.
+2. TF-IDF passages (the items, and the 64-word passages of all documents) are
+   factored by a distributed randomised SVD: tasks return partial products with a
+   random test matrix (terms x RANK), so what meets is bounded by the benchmark, not
+   by the documents.
 3. Every document is cut into overlapping passages; each is projected and
    compared with all items by cosine, whose lengths are those of the whole
    passage and item, words outside the benchmark included (one matrix product
@@ -41,10 +41,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexbind.llm.common import drop_stored, release_memory, small_batches, stored, table
+from lexbind.llm.common import release_memory, small_batches, table
 
-#: Documents (smallest hash of the id) whose passages help to fit the factors.
-SAMPLE_DOCS = 2000
 ITEM_BLOCK = 5000
 RANK, OVERSAMPLE = 64, 8
 #: Passages: CHUNKS chunks of STRIDE words, starting at every chunk.
@@ -103,6 +101,7 @@ class Items:
         self.index = pa.array(list(seen), pa.large_string())
 
     def weigh(self, df: np.ndarray, documents: int) -> None:
+        self.documents = documents
         self.weight = np.maximum(np.log((documents + 1) / (df + 1)), FLOOR).astype(np.float32)
         self.dense = np.sort(np.argsort(-df, kind="stable")[:DENSE])
         self.answers, terms, values = [], [], []
@@ -258,30 +257,42 @@ def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int
     return df, total
 
 
-def _products(sample: DataFrame, items: Items, right: np.ndarray) -> np.ndarray:
-    """A' A right over the sample's passages: partial sums from the tasks, added
-    by row block; terms x columns of ``right`` floats in all."""
-    shared = sample.sparkSession.sparkContext.broadcast((items.index, items.weight, right))
+def _products(docs: DataFrame, items: Items, right: np.ndarray) -> np.ndarray:
+    """A' A right over the passages of all documents: partial sums from the tasks,
+    added by row block; terms x columns of ``right`` floats in all."""
+    shared = docs.sparkSession.sparkContext.broadcast((items.index, items.weight, right.astype(np.float32)))
     block = 512
 
+    def part(rows: np.ndarray, cols: np.ndarray, weight: np.ndarray, right_: np.ndarray, out: np.ndarray) -> None:
+        """Add the products of some passages' words; ``rows`` ascend."""
+        width = len(weight)
+        pair, n = np.unique(rows.astype(np.int64) * width + cols, return_counts=True)
+        rows, cols = np.divmod(pair, width)
+        tf = n.astype(np.float32) * weight[cols]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows))))
+        tf /= np.sqrt(np.add.reduceat(tf * tf, first))[of]
+        projected = np.add.reduceat(tf[:, None] * right_[cols], first)
+        order = np.argsort(cols, kind="stable")
+        begin = np.flatnonzero(np.diff(cols[order], prepend=-1))
+        out[cols[order][begin]] += np.add.reduceat(tf[order, None] * projected[of[order]], begin)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, weight, right_ = shared.value
-        out = np.zeros_like(right_, np.float64)
+        out = np.zeros(right_.shape, np.float64)
         for batch in batches:
             codes, bounds = _coded(batch.column(0), index)
-            size = STRIDE * CHUNKS
-            starts = np.concatenate([np.arange(a, b, size) for a, b in zip(bounds[:-1], bounds[1:])]) if len(codes) else np.zeros(0, np.int64)
-            owner = np.searchsorted(starts, np.arange(len(codes)), "right") - 1
-            ok = codes >= 0
-            rows, cols = owner[ok], codes[ok]
-            pair, n = np.unique(rows.astype(np.int64) * len(index) + cols, return_counts=True)
-            tf = n * weight[pair % len(index)].astype(np.float64)
-            rows, cols = pair // len(index), pair % len(index)
-            norm = np.sqrt(np.bincount(rows, tf * tf, len(starts)))
-            tf /= np.maximum(1e-9, norm[rows])
-            projected = np.zeros((len(starts), right_.shape[1]))
-            np.add.at(projected, rows, tf[:, None] * right_[cols])
-            np.add.at(out, cols, tf[:, None] * projected[rows])
+            # Passages of each document, numbered through the batch.
+            lengths = np.diff(bounds)
+            passages = -(-lengths // (STRIDE * CHUNKS))
+            first = np.cumsum(passages) - passages
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            owner = first[doc] + (np.arange(len(codes)) - bounds[doc]) // (STRIDE * CHUNKS)
+            held = np.flatnonzero(codes >= 0)
+            for lo in range(0, len(held), 1 << 16):
+                # A passage that is cut here counts as two.
+                some = held[lo : lo + (1 << 16)]
+                part(owner[some], codes[some], weight, right_, out)
         n = len(out)
         release_memory()
         yield pa.RecordBatch.from_arrays([pa.array(list(range(0, n, block)), pa.int64()), pa.array([out[k : k + block].tobytes() for k in range(0, n, block)], pa.binary())], ["row", "part"])
@@ -291,26 +302,27 @@ def _products(sample: DataFrame, items: Items, right: np.ndarray) -> np.ndarray:
         return pa.table([group.column("row")[:1], pa.array([parts.tobytes()], pa.binary())], names=["row", "part"])
 
     out = np.zeros(right.shape)
-    for row, part in sample.select("text").mapInArrow(run, "row long, part binary").groupBy("row").applyInArrow(add, "row long, part binary").collect():
-        values = np.frombuffer(bytes(part)).reshape(-1, right.shape[1])
+    for row, part_ in docs.select("text").mapInArrow(run, "row long, part binary").groupBy("row").applyInArrow(add, "row long, part binary").collect():
+        values = np.frombuffer(bytes(part_)).reshape(-1, right.shape[1])
         out[row : row + len(values)] = values
     return out
 
 
 def factors(docs: DataFrame, items: Items) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the items and sampled passages."""
+    """Right singular vectors (terms x rank at most) of the items and of the passages
+    of all documents, from one pass: with Y = A' A T for orthonormal T, A' A is close
+    to Y (T' Y)^-1 Y' (Nystrom)."""
     rank = min(RANK, len(items.index))
     cols = min(len(items.index), rank + OVERSAMPLE)
-    chosen = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("passages")), "doc_id").limit(SAMPLE_DOCS)
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text"), "passages")
-    # Items weigh as much as all sampled passages together.
-    test = np.random.default_rng(11).standard_normal((len(items.index), cols))
-    scale = max(1.0, SAMPLE_DOCS / len(items.codes))
-    q, _ = np.linalg.qr(_products(sample, items, test) + scale * items.spread(items.times(test)))
-    small = q.T @ (_products(sample, items, q) + scale * items.spread(items.times(q)))
-    drop_stored(sample)
+    test, _ = np.linalg.qr(np.random.default_rng(11).standard_normal((len(items.index), cols)))
+    # Items weigh as much as all documents together.
+    scale = max(1.0, items.documents / len(items.codes))
+    y = _products(docs, items, test) + scale * items.spread(items.times(test))
+    small = test.T @ y
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    return (q @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
+    some = values > 1e-7 * values.max()
+    left, _, _ = np.linalg.svd(y @ (vectors[:, some] / np.sqrt(values[some])), full_matrices=False)
+    return left[:, :rank].astype(np.float32)
 
 
 def lcs(a: list[int], masks: dict[int, int], size: int) -> int:

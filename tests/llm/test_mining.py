@@ -241,3 +241,31 @@ def test_one_edit_and_automaton():
         assert machine.near(w) == {v for v in words if spelling.one_edit(w, v)}
         others = {w[:k] + x + w[k:] for k in range(len(w) + 1) for x in "ab"} | {w[:k] + w[k + 1 :] for k in range(len(w))} | {w[:k] + x + w[k + 1 :] for k in range(len(w)) for x in "ab"}
         assert {v for v in words if spelling.one_edit(w, v)} == set(words) & others - {w}
+
+
+def test_factors_come_from_all_documents(spark):
+    """The product that is factored holds every passage of every document, rows without an id included."""
+    import numpy as np
+
+    from lexbind.llm import latent
+
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words + ["out"], 150)) for _ in range(2500)]
+    docs = spark.createDataFrame([(None if k % 2 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    items = latent.Items([(1, words[:40]), (2, words[30:])])
+    items.weigh(*latent.document_frequencies(docs, items))
+    assert items.documents == 2500
+    want = np.zeros((60, 60))
+    for t in texts:
+        codes = [items.index.to_pylist().index(w) if w != "out" else -1 for w in t.split()]
+        for at in range(0, len(codes), 64):
+            row = np.zeros(60)
+            for c in codes[at : at + 64]:
+                if c >= 0:
+                    row[c] += items.weight[c]
+            want += np.outer(row, row) / (row @ row)
+    got = latent._products(docs, items, np.eye(60))
+    assert abs(got - want).max() < 0.02 * abs(want).max() and abs(np.trace(got) - np.trace(want)) < 0.02 * np.trace(want)
+    vectors = latent.factors(docs, items)
+    assert vectors.shape == (60, 60) and np.abs(vectors.T @ vectors - np.eye(60)).max() < 1e-3
