@@ -349,3 +349,14 @@ def test_whole_lines_are_resolved(spark, tmp_path):
     assert found == {10: "1", 11: "2"}
     read = {(r.obs_id, r.crop_index): r.text for r in box_queries.QUERIES["consensus_pick"](spark, str(tmp_path)).collect()}
     assert len(read[10, 0].split()) == len(read[11, 0].split()) == 8
+
+
+def test_queries_are_read_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and int(out.stdout) > 100, out.stderr[-500:]
