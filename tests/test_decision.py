@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexbind import schemas
+from lexbind.functions import text as T
 from lexbind.functions.similarity import likeness_udf
 from lexbind.operators import blocking, evidence, index, lines, matcher, ranking, readings
 from tests import plain_matcher as plain
@@ -244,3 +245,28 @@ def test_aliases_are_made_once(spark):
     made = catalog.alias_rows(rows.withColumn("aliases", F.transform("aliases", lambda a: a)))
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "transform(" in line]
+
+
+@pytest.mark.parametrize("cells", [blocking.TABLE_CELLS, 0])
+def test_lines_stay_where_they_are(spark, monkeypatch, cells):
+    """Retrieval from an index that tasks hold moves no line: no join with lines, no
+    shuffle of them; terms of two keys count twice; ties go by id; joins agree."""
+    monkeypatch.setattr(blocking, "TABLE_CELLS", cells)
+    rng = random.Random(7)
+    words = ["rosé", "clos", "1234", "a12b4", "château", "ab", "mont", "montagne", "ontario", "брют"]
+    names = [(i, "name", 0, 0, " ".join(rng.choices(words, k=3))) for i in range(60)]
+    forms = spark.createDataFrame(names, "id long, field string, field_pos int, form_pos int, form string")
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(80)] + ["", "1234", "???"]
+    queries = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "obs_id long, t string").select("obs_id", T.forms("t").alias("keys"))
+    tokens, grams = index.token_postings(forms), index.gram_postings(forms)
+    here = blocking.best_by_line(queries, tokens, grams, 60, 7)
+    plan = here._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    there = blocking.best_by_line(queries, tokens, grams, 60, 7, local=0)
+    got, want = (sorted((r.obs_id, r["rank"], r.id, r.votes) for r in df.collect()) for df in (here, there))
+    assert got == want and len({g[0] for g in got}) > 60
+
+
+def test_forms_work_a_key_out_in_compiled_code(spark):
+    df = spark.createDataFrame([("a",)], "t string").select(T.forms("t").alias("k"))
+    assert "filter(" not in df._jdf.queryExecution().optimizedPlan().toString()
