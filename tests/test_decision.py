@@ -267,6 +267,16 @@ def test_lines_stay_where_they_are(spark, monkeypatch, cells):
     assert got == want and len({g[0] for g in got}) > 60
 
 
+def test_missing_words_meet_once(spark):
+    """Rare words are counted from what each product holds; words and products never
+    stand beside each other for every observation."""
+    parsed = spark.createDataFrame([(1, ["alpha bravo", "alphà bravo"]), (1, ["gamma xx bravo"]), (2, ["delta"]), (3, ["none of these"])], "obs_id long, keys array<string>")
+    lists = spark.createDataFrame([("alpha", [7, 8]), ("bravo", [8]), ("gamma", [9]), ("delta", list(range(101)))], "token string, ids array<long>")
+    rows = ranking.missing_words(parsed, lists)
+    assert sorted((r.obs_id, r.id, r.missing) for r in rows.collect()) == [(1, 7, 2), (1, 8, 1), (1, 9, 2)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_forms_work_a_key_out_in_compiled_code(spark):
     df = spark.createDataFrame([("a",)], "t string").select(T.forms("t").alias("k"))
     assert "filter(" not in df._jdf.queryExecution().optimizedPlan().toString()
