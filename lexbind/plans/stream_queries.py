@@ -79,6 +79,12 @@ def _queued(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
     return root, max(1, min(BATCH_MESSAGES, -(-end // 3)))
 
 
+def _span(spark: SparkSession, sf_dir: str) -> int:
+    """Seconds from the first message to the last: tasks are asked again as late."""
+    first, last = table(spark, sf_dir, "events").agg(F.min("event_id"), F.max("event_id")).first()
+    return max(worker.KEEP, (last or 0) - (first or 0) + 1)
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return printed_lines(spark, sf_dir).select(F.col("obs_id").cast("string").alias("object_key"), "line_idx", "text", (F.col("pct") / 100.0).alias("confidence"))
 
@@ -108,7 +114,7 @@ def worker_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(observed: DataFrame) -> DataFrame:
         return observed.groupBy("obs_id").agg(F.lit("answered").alias("status"), F.count("*").cast("string").alias("result"))
 
-    _drain(worker.start(queue.consume(spark, f"{root}/queue", prefetch), _lines_of(lines), count, f"{root}/out", f"{root}/progress"))
+    _drain(worker.start(queue.consume(spark, f"{root}/queue", prefetch), _lines_of(lines), count, f"{root}/out", f"{root}/progress", _span(spark, sf_dir), fixed=True))
     numbers = table(spark, sf_dir, "events").select("event_id")
     places = running(numbers, [], ["event_id"], seq=F.lit(1).cast("long"))
     out = spark.read.parquet(f"{root}/out").join(places, "seq")
@@ -139,5 +145,5 @@ def stream_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The worker end to end on whole lines and whole items: (task_id, status, object_key)."""
     root, _ = _queued(spark, sf_dir)
     ix = CatalogIndex.build(benchmark_catalog(spark, sf_dir))
-    _drain(worker.start(queue.consume(spark, f"{root}/queue", BATCH_MESSAGES), _lines_of(_lines(spark, sf_dir)), worker.resolver(ix), f"{root}/out", f"{root}/progress"))
+    _drain(worker.start(queue.consume(spark, f"{root}/queue", BATCH_MESSAGES), _lines_of(_lines(spark, sf_dir)), worker.resolver(ix), f"{root}/out", f"{root}/progress", _span(spark, sf_dir), fixed=True))
     return spark.read.parquet(f"{root}/out").select("task_id", "status", "object_key")

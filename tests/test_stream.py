@@ -117,3 +117,32 @@ def test_stream_resolves_every_event(spark, tmp_path):
     out = {r.task_id: r.status for r in stream_queries.QUERIES["stream_resolve"](spark, str(tmp_path)).collect()}
     assert set(out) == {f"t{e // 3 if e % 7 == 6 else e}" for e in events if e % 10 > 2}
     assert {t for t, status in out.items() if status != "error"} == {"t64", "t1234"}
+
+
+def test_objects_that_never_change_are_resolved_once(spark, tmp_path):
+    """Later batches look at new objects only, a failed one among them; first messages win."""
+    folder, asked = str(tmp_path / "queue"), []
+    known = lines_of(spark, [("k1", 0, "a", 1.0), ("k1", 1, "b", None), ("k2", 0, "a", 0.5)])
+
+    def look(objects):
+        asked.append(sorted(r.object_key for r in objects.collect()))
+        if len(asked) == 2:
+            raise ValueError("not now")
+        return known(objects)
+
+    for part, at in (([("t1", "k1"), ("t1", "k2")], 0), ([("t2", "k1"), ("t3", "k2"), ("t1", "k2")], 2), ([("t4", "k2"), ("t5", "k1")], 5)):
+        queue.publish(messages(spark, part, at), folder, "k")
+        drain(worker.start(queue.consume(spark, folder, 100), look, count, str(tmp_path / "out"), str(tmp_path / "progress"), fixed=True))
+    assert asked == [["k1"], ["k2"], ["k2"]]  # the second failed, and was not kept
+    got = {r.task_id: (r.object_key, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"t1": ("k1", "answered"), "t2": ("k1", "answered"), "t3": ("k2", "error"), "t4": ("k2", "answered"), "t5": ("k1", "answered")}
+
+
+def test_tasks_asked_again_days_later_are_answered_once(spark, tmp_path):
+    from lexbind.plans import stream_queries
+
+    events = [100006, 100007, 290004, 290005, 300019, 300023]  # 300019 asks for the task of 100006
+    spark.createDataFrame([(100006, "alpha beta")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(e,) for e in events], "event_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    rows = stream_queries.QUERIES["worker_answers"](spark, str(tmp_path)).collect()
+    assert sorted((r.task_id, r.event_id) for r in rows) == [(f"t{e}", e) for e in events if e != 300019]
