@@ -146,3 +146,21 @@ def test_tasks_asked_again_days_later_are_answered_once(spark, tmp_path):
     spark.createDataFrame([(e,) for e in events], "event_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     rows = stream_queries.QUERIES["worker_answers"](spark, str(tmp_path)).collect()
     assert sorted((r.task_id, r.event_id) for r in rows) == [(f"t{e}", e) for e in events if e != 300019]
+
+
+def test_objects_are_read_once_for_all_looks(spark):
+    """The engine looks at an object's lines several times; reading them runs once."""
+    tasks = spark.createDataFrame([("t1", 0, "k1"), ("t2", 1, "k2")], "task_id string, seq long, object_key string")
+    known, reads = lines_of(spark, [("k1", 0, "a", 1.0), ("k2", 0, "b", 1.0)]), spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            reads.add(len(frame))
+            yield frame
+
+    def read(objects):
+        rows = known(objects)
+        return rows.mapInPandas(counted, rows.schema)
+
+    got = worker.answers(tasks, read, count).collect()
+    assert {r.task_id: r.status for r in got} == {"t1": "answered", "t2": "answered"} and reads.value == 2
