@@ -116,6 +116,36 @@ def test_evidence_and_scores(engine, brute):
         assert got[key].match_score == score, key
 
 
+def test_lines_are_compared_for_scores_that_can_be_shown(engine, brute):
+    ix, _, parsed, queries, candidates = engine
+    rows = ranking.rank(candidates, ix.catalog, ix.forms, parsed, queries, ix.token_df, ix.size, least=ranking.SHOWN).collect()
+    got = {(r.obs_id, r.id): r for r in rows}
+    want = {(k, r[0]): r for k, d in brute[1].items() for r in d.scores}
+    best = {k: max([r[1] for r in d.scores], default=0.0) for k, d in brute[1].items()}
+    assert got.keys() == want.keys()
+    for key, (_, score, found) in want.items():
+        if best[key[0]] >= ranking.SHOWN:
+            assert got[key].match_score == score and [shown(e) for e in got[key].evidence] == [wanted(e) for e in found], key
+        else:
+            assert got[key].match_score < ranking.SHOWN
+    assert max(best.values()) >= ranking.SHOWN
+
+
+def test_hopeless_lines_are_not_compared(spark):
+    head = "one two three four five"
+    tails = ["zorgling crumpot blathek", "quistern vaddock hummel", "brindlow stappard ockley"]
+    catalog = [(1, str(i), f"{head} {t}", None, None, [], None, [], None, None, None, None, None, None, None) for i, t in enumerate(tails)]
+    ix = matcher.CatalogIndex.build(spark.createDataFrame(catalog, schemas.CATALOG))
+    observed = spark.createDataFrame([("1", 0, f"{head} {tails[0]}", 0.9), ("2", 0, "three four", 0.9)], schemas.LINES)
+    parsed = lines.parse_lines(observed).cache()
+    queries = lines.query_lines(parsed).cache()
+    candidates = blocking.retrieve(queries, ix.tokens, ix.grams, ix.size).cache()
+    every, some = (ranking.rank(candidates, ix.catalog, ix.forms, parsed, queries, ix.token_df, ix.size, least=x).collect() for x in (None, ranking.SHOWN))
+    assert {r.obs_id for r in every} == {r.obs_id for r in some} == {"1", "2"}
+    assert sorted(r for r in every if r.obs_id == "1") == sorted(r for r in some if r.obs_id == "1")
+    assert any(r.evidence for r in every if r.obs_id == "2") and not any(r.evidence for r in some if r.obs_id == "2")
+
+
 def test_best_evidence_and_spread_titles(engine, brute):
     ix, _, parsed, queries, candidates = engine
     keys = ix.forms.where("field = 'name'").select(F.col("form").alias("key"))
