@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import uuid
 import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +96,19 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark removes a job's shuffle files as soon as the job has ended, not
+    when the driver's collector finds that no frame can read them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of few rows: whole texts are long, and a batch is held in
     memory on both sides of the Python boundary."""

@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexbind.llm.common import drop_stored, fold_of, free_shuffles, release_memory, small_batches, stored, table
+from lexbind.llm.common import drop_stored, fold_of, free_shuffles, release_memory, shuffles_end, small_batches, stored, table
 
 DEPTH, HEAD, TAIL = 4, 3, 3
 #: Bytes of a word whose prefix deals it out; contexts of more of them are long.
@@ -535,6 +535,6 @@ def score_blocks(blocks: DataFrame, tree: Tree, chunk_rows: int = CHUNK_ROWS) ->
 
 def op2_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all whole ``documents``."""
-    blocks = count_blocks(table(spark, sf_dir, "documents"))
-    free_shuffles(spark)
-    return score_blocks(blocks, fit_tree(blocks))
+    with shuffles_end(spark):
+        blocks = count_blocks(table(spark, sf_dir, "documents"))
+        return score_blocks(blocks, fit_tree(blocks))

@@ -768,3 +768,25 @@ def test_unigram_path_is_best():
         return max((v.score[v.id_of[s[:k]]] + (best(s[k:]) if k < len(s) else 0) for k in range(1, len(s) + 1) if s[:k] in v.id_of), default=-1e9)
 
     assert abs(sum(v.score[i] for i in ids) - best(word)) < 1e-9
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    import time
+
+    from lexbind.llm import common
+
+    def files() -> set[str]:
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in held.split("\n") if f.endswith(".data")}
+
+    before = files()
+    with common.shuffles_end(spark):
+        kept = common.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "freed")
+    assert kept.count() == 7
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    left = files() - before
+    common.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "held")
+    assert files() - before - left and len(left) <= 1  # the count above has one of its own
