@@ -60,6 +60,8 @@ NULL_ID = 2**63 - 1
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs (at least 1), exact for 64-bit values."""
+    if not len(ids) or ids.max() < 1 << 52:  # a double's exponent tells
+        return np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.uint8)
     out = np.ones(len(ids), np.uint8)
     for b in range(1, 64):
         more = ids >= np.uint64(1 << b)
@@ -200,6 +202,18 @@ def _encoder(path: str) -> list:
     return _TOKENIZERS[path]
 
 
+def _encode_words(words: list[str], tokenizer) -> list[bytes]:
+    """Ids of words.  Spaces end a piece, so words that are one piece each go through
+    the library as one text, which says whose piece an id is of."""
+    e = tokenizer.encode(" ".join(words), add_special_tokens=False)
+    piece = np.array(e.word_ids, np.int64) if None not in e.word_ids else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.diff(piece, prepend=-1))
+    if len(cuts) != len(words) or "" in words:
+        return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    raw, at = array("I", e.ids).tobytes(), [*(4 * cuts).tolist(), 4 * len(piece)]
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
 def _encode_plain(texts: pa.Array, state: list) -> tuple[np.ndarray, np.ndarray]:
     """(ids, bounds) of plain texts: pieces of the pre-tokenizer encode
     independently, so each distinct one of a batch is looked up once and unknown
@@ -217,13 +231,16 @@ def _encode_plain(texts: pa.Array, state: list) -> tuple[np.ndarray, np.ndarray]
         if ids is None:
             ids = older.get(words[at])
             if ids is None:
-                new.append(at)
+                if words[at]:
+                    new.append(at)
+                else:
+                    found[at] = b""
             else:
                 found[at] = cache[words[at]] = ids
     for k in range(0, len(new), 1024):
         part = new[k : k + 1024]
-        for at, e in zip(part, tokenizer.encode_batch_fast([words[at] for at in part], add_special_tokens=False)):
-            found[at] = cache[words[at]] = array("I", e.ids).tobytes()
+        for at, ids in zip(part, _encode_words([words[at] for at in part], tokenizer)):
+            found[at] = cache[words[at]] = ids
     known = np.frombuffer(b"".join(found), "<u4")
     size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
     first = np.cumsum(size) - size

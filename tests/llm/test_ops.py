@@ -790,3 +790,25 @@ def test_shuffle_files_go_with_their_job(spark):
     left = files() - before
     common.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "held")
     assert files() - before - left and len(left) <= 1  # the count above has one of its own
+
+
+def test_simple8b_words_go_through_together():
+    import public_tokenizers
+
+    tokenizer = simple8b._encoder(public_tokenizers.path("word_bpe_49k.json"))[0]
+
+    class Counted:
+        calls = 0
+
+        def encode(self, *args, **kwargs):
+            Counted.calls += 1
+            return tokenizer.encode(*args, **kwargs)
+
+        encode_batch_fast = tokenizer.encode_batch_fast
+
+    for words, calls in ((["the", "'s", "7", "ñandú", "!?", "zorglingcrumpot", "the"], 1), (["ab1", "x"], 2)):
+        want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        assert simple8b._encode_words(words, Counted()) == want and Counted.calls == calls
+    ids = np.array([0, 1, 2, 3, 2**20 - 1, 2**20, 2**52 - 1], np.uint64)
+    assert simple8b._bits(ids).tolist() == [max(1, int(x).bit_length()) for x in ids]
+    assert simple8b._bits(np.append(ids, np.uint64(2**63))).tolist()[-1] == 64
