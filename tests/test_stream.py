@@ -164,3 +164,21 @@ def test_objects_are_read_once_for_all_looks(spark):
 
     got = worker.answers(tasks, read, count).collect()
     assert {r.task_id: r.status for r in got} == {"t1": "answered", "t2": "answered"} and reads.value == 2
+
+
+def test_batch_without_new_objects_is_one_pass(spark, tmp_path, monkeypatch):
+    """Tasks whose objects are known are answered without tables in between; beside a
+    new object too, and the session's settings stay as they were."""
+    folder, names, kept = str(tmp_path / "queue"), [], worker.stored
+    known = lines_of(spark, [("k1", 0, "a", 1.0), ("k2", 0, "a", 0.5)])
+    monkeypatch.setattr(worker, "stored", lambda df, name: names.append(name) or kept(df, name))
+    settings = {k: spark.conf.get(k, None) for k in [*worker.STATE, "spark.sql.shuffle.partitions"]}
+    for part, at, made in (([("t1", "k1"), ("t2", "k1")], 0, 3), ([("t3", "k1"), ("t1", "k1")], 2, 0), ([("t4", "k2"), ("t5", "k1")], 4, 3), ([("t6", "k2"), ("t5", "k2")], 6, 0)):
+        names.clear()
+        queue.publish(messages(spark, part, at), folder, "k")
+        drain(worker.start(queue.consume(spark, folder, 100), known, count, str(tmp_path / "out"), str(tmp_path / "progress"), fixed=True))
+        assert len(names) == made, names
+        assert {k: spark.conf.get(k, None) for k in settings} == settings
+    got = sorted((r.task_id, r.object_key, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(f"t{k}", "k2" if k in (4, 6) else "k1", "answered") for k in range(1, 7)]
+    assert "RocksDB" in (tmp_path / "progress" / "offsets" / "0").read_text()
