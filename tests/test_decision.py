@@ -310,3 +310,61 @@ def test_missing_words_meet_once(spark):
 def test_forms_work_a_key_out_in_compiled_code(spark):
     df = spark.createDataFrame([("a",)], "t string").select(T.forms("t").alias("k"))
     assert "filter(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_observations_that_cannot_be_shown_are_not_compared(spark, monkeypatch):
+    """A title's part in one of many lines scores, but explains too few of them; a whole
+    title, read as it stands or almost, does not need the others."""
+    head, title = "one two three four five", "one two three four five zorgling crumpot blathek"
+    catalog = [(1, str(i), t, None, None, [], None, [], None, None, None, None, None, None, None) for i, t in enumerate([title, f"{head} quistern vaddock hummel", f"{head} brindlow stappard ockley"])]
+    ix = matcher.CatalogIndex.build(spark.createDataFrame(catalog, schemas.CATALOG))
+    rest = ["nothing of this sort", "stands in any of them", "however long one looks", "at lines without end"]
+    texts = {"part": ["zorgling crumpot blathek", *rest], "whole": [title, *rest], "almost": [title.replace("crumpot", "crumpat"), *rest], "alone": [title]}
+    observed = spark.createDataFrame([(k, i, t, 1.0) for k, v in texts.items() for i, t in enumerate(v)], schemas.LINES)
+    asked, best = set(), evidence.best_evidence
+
+    def seen(candidates, *a):
+        asked.update(r.obs_id for r in candidates.select("obs_id").distinct().collect())
+        return best(candidates, *a)
+
+    monkeypatch.setattr(evidence, "best_evidence", seen)
+    rows = {r.obs_id: (r.status, r.best_match and r.best_match.id, len(r.candidates), r.rejection_reason) for r in matcher.resolve(observed, ix).collect()}
+    assert asked == {"whole", "almost", "alone"}
+    with monkeypatch.context() as m:  # all candidates of all observations
+        m.setattr(ranking, "rank_shown", lambda candidates, *a: ranking.rank(candidates, *a))
+        assert rows == {r.obs_id: (r.status, r.best_match and r.best_match.id, len(r.candidates), r.rejection_reason) for r in matcher.resolve(observed, ix).collect()}
+    assert rows["whole"][:2] == rows["alone"][:2] == ("matched", "0") and rows["part"] == ("unresolved", None, 0, ranking.REASON)
+
+
+def test_titles_are_read_where_the_lines_are(engine, monkeypatch):
+    ix, _, parsed, _, candidates = engine
+    keys = ix.forms.where("field = 'name'").select(F.col("form").alias("key"))
+    spec = index.specificity(keys.union(keys.select(F.explode(F.split("key", " ")).alias("key"))), ix.token_df, ix.size)
+
+    def rows():
+        return {(r.obs_id, r.id): shown(r.evidence) for r in evidence.spread_titles(candidates, ix.forms, parsed, spec).collect()}
+
+    local, joined, calls = rows(), evidence._joined_titles, []
+    monkeypatch.setattr(evidence, "LOCAL_TITLES", 0)
+    monkeypatch.setattr(evidence, "_joined_titles", lambda *a: calls.append(1) or joined(*a))
+    assert rows() == local and len(local) > 50 and calls == [1]
+
+
+def test_similar_words_by_letters(monkeypatch):
+    from lexbind.functions import gestalt
+    from lexbind.operators import qgrams
+
+    r = random.Random(3)
+    words = sorted({"".join(r.choices("abcdeéñ", k=r.randint(1, 9))) for _ in range(300)} | {"a" * 300, "ab" * 90, "7" * 20, "12"})
+    for columns in (qgrams.LETTERS, 3):  # columns that letters share
+        monkeypatch.setattr(qgrams, "LETTERS", columns)
+        index_, asked = qgrams.WordIndex(words[::2], 0.78), words[1::2] + ["a" * 280, "zz", words[0]]
+        place, ids, like = index_.similar(asked)
+        got = {(asked[p], index_.words[i]): x for p, i, x in zip(place, ids, like)}
+        pairs = [(a, b) for a in asked for b in words[::2]]
+        want = dict(zip(pairs, gestalt.ratios(*map(list, zip(*pairs)))))
+        assert got == {p: x for p, x in want.items() if x >= 0.78} and len(got) > 20
+        reach = gestalt.may_reach(*map(list, zip(*pairs)), 0.6)
+        assert all(m or want[p] < 0.6 for p, m in zip(pairs, reach)) and not reach.all()
+    empty = qgrams.WordIndex([], 0.78).similar(["abc"])
+    assert [len(x) for x in empty] == [0, 0, 0]
